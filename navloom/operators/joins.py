@@ -33,7 +33,7 @@ def asof(events: DataFrame, series: DataFrame, values: list[str], by: list[str]
     return events.join(found, [*by, on], "left")
 
 
-def forward_first(series: DataFrame, by: list[str], start: str, date: str, value: str):
+def forward_first(start: str, date: str, value: str):
     """Aggregate: value at the first date not before the start."""
     ok = F.col(date) >= F.col(start)
     return F.min_by(F.when(ok, F.col(value)), F.when(ok, F.col(date)))

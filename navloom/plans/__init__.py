@@ -12,4 +12,4 @@ def catalog():
     return QUERIES
 
 
-MODULES = ["screen"]
+MODULES = ["screen", "nav", "holdings", "ledger"]

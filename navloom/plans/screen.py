@@ -312,7 +312,7 @@ def trading_calendar(spark, d):
     return cal.groupBy(F.year("trade_date").alias("y")).agg(
         F.count("*").alias("open_days"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day")
     ).join(tested, "y", "left").select(
-        "y", "open_days", "first_day", "last_day", F.coalesce("ship_days_open", F.lit(0)).alias("ship_days_open"))
+        F.col("y").cast("bigint").alias("y"), "open_days", "first_day", "last_day", F.coalesce("ship_days_open", F.lit(0)).alias("ship_days_open"))
 
 
 @query("base_trade_days", "J9", "trade_dates", """

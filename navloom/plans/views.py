@@ -68,10 +68,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         join (select fund_code, min(trade_date) establish_date, max(trade_date) last_date from nav_weekly group by 1)
           on p_brand=fund_code"""),
     "stock_industry": ((), f"""
-        select {c6('p_partkey')} stock_code, p_type sw_l1, p_brand sw_l2,
-          case when p_size%3=0 then '' else p_brand||'-'||(p_size%7) end sw_l3,
-          case when p_size%5=0 then '' else p_type end em_industry, case when p_size=50 then 1 else 0 end manual
-        from part"""),
+        select stock_code, l1 sw_l1, sw_l2, sw_l3, case when z%5=0 then '' when l1='' then '软件服务' else l1 end em_industry, manual from (
+          select {c6('p_partkey')} stock_code, p_brand sw_l2, p_size z,
+            case p_type when 'MEDIUM' then '电子' when 'STANDARD' then '通信' when 'SMALL' then '医药生物' when 'LARGE' then '银行'
+              when 'ECONOMY' then '新行业' else '' end l1,
+            case when p_size%3=0 then '' else p_brand||'-'||(p_size%7) end sw_l3, case when p_size=50 then 1 else 0 end manual
+          from part)"""),
     "trade_dates": ((), """
         select distinct cast(o_orderdate as date) trade_date from orders where dayofweek(o_orderdate) between 1 and 5"""),
     "holding_txns": ((), f"""
@@ -132,3 +134,8 @@ def with_views(names: list[str], body: str) -> str:
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
+
+
+def f32(x: str) -> str:
+    """Value at single precision: prices are decimals, and decimal rounding would hit ties."""
+    return f"cast(cast({x} as float) as double)"

@@ -171,13 +171,17 @@ def brand_funds(spark, d) -> DataFrame:
     )
 
 
+L1_OF_TYPE = {"MEDIUM": "电子", "STANDARD": "通信", "SMALL": "医药生物", "LARGE": "银行", "ECONOMY": "新行业"}
+
+
 def stock_industry(spark, d) -> DataFrame:
-    size = F.col("p_size")
+    size, kind = F.col("p_size"), F.col("p_type")
+    l1 = F.coalesce(F.create_map(*[F.lit(x) for kv in L1_OF_TYPE.items() for x in kv])[kind], F.lit(""))
     return table(spark, d, "part").select(
         code6("p_partkey").alias("stock_code"),
-        F.col("p_type").alias("sw_l1"), F.col("p_brand").alias("sw_l2"),
+        l1.alias("sw_l1"), F.col("p_brand").alias("sw_l2"),
         F.when(size % 3 == 0, "").otherwise(F.concat("p_brand", F.lit("-"), (size % 7).cast("string"))).alias("sw_l3"),
-        F.when(size % 5 == 0, "").otherwise(F.col("p_type")).alias("em_industry"),
+        F.when(size % 5 == 0, "").when(l1 == "", "软件服务").otherwise(l1).alias("em_industry"),
         F.when(size == 50, 1).otherwise(0).alias("manual"),
     )
 
