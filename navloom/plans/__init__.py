@@ -12,4 +12,4 @@ def catalog():
     return QUERIES
 
 
-MODULES = ["screen", "nav", "holdings", "ledger"]
+MODULES = ["screen", "nav", "holdings", "ledger", "themes"]

@@ -82,12 +82,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           o_totalprice amount from orders"""),
     "user_holdings": ((), f"""
         select c_custkey portfolio_id, {c6('c_custkey%100')} fund_code, abs(c_acctbal) market_value,
-          case when c_custkey%4<>0 then abs(c_acctbal)*0.875 end as cost, cast(null as double) base_shares
+          case when c_custkey%4<>0 then abs(c_acctbal)*0.8734567 end as cost, cast(null as double) base_shares
         from customer where c_custkey%3<>0"""),
     "portfolio_positions": ((), f"""
         select portfolio_id, fund_code, market_value, case when portfolio_id%5<>0 then c end as cost from (
           select c_nationkey portfolio_id, {c6('c_custkey%100')} fund_code, sum(abs(c_acctbal)) market_value,
-            sum(abs(c_acctbal)*0.875) c from customer group by 1,2)"""),
+            sum(abs(c_acctbal)*0.8734567) c from customer group by 1,2)"""),
     "fund_manager_tenure": ((), f"""
         select {c6('o_custkey')} fund_code,
           cast(row_number() over (partition by o_custkey order by o_orderdate desc,o_orderkey desc)-1 as integer) seq,

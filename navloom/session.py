@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+    """Write the rows as a table in the shared checkpoint folder and go on from there.
 
-    Used between rounds of an iterative operator: the plan stays short, and a lost
-    executor costs a re-read instead of all earlier rounds.
+    Used between rounds of an iterative operator: the plan stays short, the next round sees
+    real sizes, and a lost executor costs a re-read instead of all earlier rounds. A table is
+    used because a checkpointed plan keeps the constraints of all rounds before it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -209,7 +209,7 @@ def user_holdings(spark, d) -> DataFrame:
     return table(spark, d, "customer").where(k % 3 != 0).select(
         k.alias("portfolio_id"), code6(k % 100).alias("fund_code"),
         F.abs("c_acctbal").alias("market_value"),
-        F.when(k % 4 != 0, F.abs("c_acctbal") * 0.875).alias("cost"),
+        F.when(k % 4 != 0, F.abs("c_acctbal") * 0.8734567).alias("cost"),
         F.lit(None).cast("double").alias("base_shares"),
     )
 
@@ -220,7 +220,7 @@ def portfolio_positions(spark, d) -> DataFrame:
     return (
         table(spark, d, "customer")
         .groupBy(F.col("c_nationkey").alias("portfolio_id"), code6(F.col("c_custkey") % n_funds).alias("fund_code"))
-        .agg(F.sum(F.abs("c_acctbal")).alias("market_value"), F.sum(F.abs("c_acctbal") * 0.875).alias("cost"))
+        .agg(F.sum(F.abs("c_acctbal")).alias("market_value"), F.sum(F.abs("c_acctbal") * 0.8734567).alias("cost"))
         .withColumn("cost", F.when(F.col("portfolio_id") % 5 != 0, F.col("cost")))
     )
 
