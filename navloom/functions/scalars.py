@@ -309,7 +309,7 @@ def balance_cap(balance, cap) -> Column:
     pairs = [F.lit(x) for kv in K.BALANCE_CAPS.items() for x in kv]
     word = F.trim(F.coalesce(_col(balance), F.lit("")))
     named = F.coalesce(F.create_map(*pairs)[F.lower(word)], F.lit(K.DEFAULT_INDUSTRY_CAP))
-    given = F.least(F.greatest(_col(cap).cast("double"), F.lit(0.10)), F.lit(0.30))
+    given = F.when(_col(cap).isNotNull(), F.least(F.greatest(_col(cap).cast("double"), F.lit(0.10)), F.lit(0.30)))
     return F.coalesce(given, named)
 
 

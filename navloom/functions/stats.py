@@ -92,16 +92,19 @@ def robust_z(df: DataFrame, by: list[str], columns: list[str], floor: float = 0.
     """
     keys = by or ["_pool"]
     pool = df if by else df.withColumn("_pool", F.lit(0))
-    stats = pool.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    # all columns in one pass: (pool, column, value)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = pool.select(*keys, cells.alias("_x")).select(*keys, F.col("_x.c").alias("_column"), F.col("_x.v").alias("_value"))
+    spread = long.groupBy(*keys, "_column").agg(F.stddev_pop("_value").alias("s"))
+    middle = exact_median(long, [*keys, "_column"], "_value").drop("n").withColumnRenamed("median", "m")
+    both = spread.join(middle, [*keys, "_column"], "left").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_column", F.struct("m", "s")))).alias("_stats"))
+    out = pool.join(both, keys, "left")
     for c in columns:
-        stats = stats.join(exact_median(pool, keys, c).select(*keys, F.col("median").alias(f"_m_{c}")), keys, "left")
-    out = pool.join(stats, keys, "left")
-    for c in columns:
-        z = (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")
-        clipped = F.least(F.greatest(z, F.lit(-2.0)), F.lit(2.0))
-        ok = F.col(c).isNotNull() & (F.col(f"_s_{c}") > floor)
-        out = out.withColumn(f"z_{c}", F.when(ok, clipped).otherwise(0.0))
-    out = out.drop(*[f"_s_{c}" for c in columns], *[f"_m_{c}" for c in columns])
+        m, s = F.col("_stats")[c]["m"], F.col("_stats")[c]["s"]
+        clipped = F.least(F.greatest((F.col(c) - m) / s, F.lit(-2.0)), F.lit(2.0))
+        out = out.withColumn(f"z_{c}", F.when(F.col(c).isNotNull() & (s > floor), clipped).otherwise(0.0))
+    out = out.drop("_stats")
     return out if by else out.drop("_pool")
 
 

@@ -58,7 +58,7 @@ def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     Mergeable quantile sketches bound the middle of each group; only the distinct values
     between the bounds (about two per cent) are ordered.
     """
-    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))  # by is not empty
     bounds = v.groupBy(*by).agg(
         F.percentile_approx("_v", [0.49, 0.51], 10_000).alias("_b"), F.count("*").alias("n"))
     marked = v.join(bounds, by)

@@ -90,7 +90,7 @@ def theme_clusters(vectors: DataFrame, by: list[str], task_funds: int = TASK_FUN
     sized = vectors.join(sizes, by)
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*by).schema)
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, pdf):
         pdf = pdf.sort_values("pos")
         n = len(pdf)
         sim = (K.STOCK_SIM_WEIGHT * shared_mass(list(pdf["stk"]), list(pdf["stk"]))
