@@ -12,4 +12,4 @@ def catalog():
     return QUERIES
 
 
-MODULES = ["screen", "nav", "holdings", "ledger", "themes", "position", "quality"]
+MODULES = ["screen", "nav", "holdings", "ledger", "themes", "position", "quality", "history", "reconcile", "ingest"]
