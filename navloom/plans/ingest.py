@@ -88,7 +88,7 @@ def manager_html(spark, d):
 
 
 @query("parse_manager_pages", "S6 X4 X5", "fund_manager_tenure", """
-select fund_code, seq, start_date, end_date, end_date is null is_current, managers, dd//365||'年又'||dd%365||'天' tenure_text, cast(dd as integer) tenure_days, dd%100+0.5 tenure_return
+select fund_code, seq, start_date, end_date, end_date is null is_current, managers, dd//365||'年又'||dd%365||'天' tenure_text, cast(dd as integer) tenure_days, cast(dd%100+0.5 as double) tenure_return
 from (select *, date_diff('day', start_date, coalesce(end_date, date '2001-08-01')) dd from fund_manager_tenure)""")
 def parse_manager_pages(spark, d):
     return P.manager_pages(manager_html(spark, d))
@@ -103,7 +103,7 @@ def page_text(spark, d):
 
 @query("parse_detail_frames", "S7 X3", "fund_details", """
 select fund_code, fund_name, fund_company, case when cast(fund_code as int)%2=0 then scale else round(scale,2)/10000 end scale, position_stock, sharpe_3y, max_drawdown_3y,
- case when cast(fund_code as int)%3=0 then null else 12.5 end return_1y, fund_code||'/999' rank_1y, 7.0::double drawdown_1y from
+ case when cast(fund_code as int)%3=0 then null else 12.5::double end return_1y, fund_code||'/999' rank_1y, 7.0::double drawdown_1y from
  (select fund_code, fund_name, fund_company, scale, round(position_stock,4) position_stock, round(sharpe_3y,4) sharpe_3y, round(max_drawdown_3y,4) max_drawdown_3y from fund_details)""")
 def parse_detail_frames(spark, d):
     f = A.fund_details(spark, d)
@@ -124,7 +124,7 @@ def parse_detail_frames(spark, d):
 
 
 @query("parse_holding_rows", "S8 U2 U5 X2 X7", "fund_holdings", """
-select fund_code, quarter, holding_type, asset_code, round(hold_ratio,2) hold_ratio, case when holding_type='stock' then 100.0 end hold_amount from fund_holdings""")
+select fund_code, quarter, holding_type, asset_code, round(hold_ratio,2) hold_ratio, case when holding_type='stock' then 100.0::double end hold_amount from fund_holdings""")
 def parse_holding_rows(spark, d):
     h = A.fund_holdings(spark, d)
     raw = h.select("fund_code", F.concat(F.substring("quarter", 1, 4), F.lit("年"), F.substring("quarter", 6, 1), F.lit(" 季度投资明细")).alias("quarter_text"),
@@ -223,7 +223,7 @@ def date_functions(spark, d):
 
 @query("text_functions", "X1 X7 X8 X12 X25 F22", "", """
 select doc_id, upper(lang) w1, trim(regexp_replace('基金'||source||'(后端)','\\(后端\\)$','')) plain, regexp_matches(lpad(cast(doc_id as varchar),6,'0'),'^\\d{6}$') is_code,
- case when doc_id%3=0 then null else cast(n_chars as double) end num, len(list_filter(list_transform(string_split(replace(substr(text,1,200),chr(10),' '),','), x->trim(x)), x->x<>'')) n_items, '{"k": '||n_chars||'}' js from documents""")
+ case when doc_id%3=0 then null else cast(n_chars as double) end num, len(list_filter(list_transform(string_split(replace(substr(text,1,200),chr(10),' '),','), lambda x: trim(x)), lambda x: x<>'')) n_items, '{"k": '||n_chars||'}' js from documents""")
 def text_functions(spark, d):
     n = TEXT("n_chars")
     reply = F.concat(F.lit("Sure:\n```json\n{\"k\": "), n, F.lit("}\n```\nbye"))
@@ -237,8 +237,8 @@ def text_functions(spark, d):
 @query("ai_field_checks", "X24", "", """
 with r as (select event_id, case event_id%5 when 0 then 'rating' when 1 then 'luck_verdict' when 2 then 'tenure_years' when 3 then 'verdict' else 'whatever' end field,
  case event_id%5 when 0 then cast(event_id%6 as varchar) when 1 then case when event_id%2=0 then 'solid' else event_type end when 2 then case when event_id%3=0 then 'x' else '1.5' end else event_type end v from events)
-select event_id, field, case when field='rating' and cast(v as int)>3 then 'out of range' when field='luck_verdict' and v not in ('solid','mixed','luck') then 'value not allowed'
- when field='tenure_years' and v='x' then 'not a number' when field='whatever' then 'unknown field' end reason, case when field='rating' and cast(v as int)>3 or field='luck_verdict' and v not in ('solid','mixed','luck') or field='tenure_years' and v='x' or field='whatever' then null else v end clean from r""")
+select event_id, field, case when field='rating' and try_cast(v as int)>3 then 'out of range' when field='luck_verdict' and v not in ('solid','mixed','luck') then 'value not allowed'
+ when field='tenure_years' and v='x' then 'not a number' when field='whatever' then 'unknown field' end reason, case when field='rating' and try_cast(v as int)>3 or field='luck_verdict' and v not in ('solid','mixed','luck') or field='tenure_years' and v='x' or field='whatever' then null else v end clean from r""")
 def ai_field_checks(spark, d):
     k = F.col("event_id")
     field = F.when(k % 5 == 0, "rating").when(k % 5 == 1, "luck_verdict").when(k % 5 == 2, "tenure_years").when(k % 5 == 3, "verdict").otherwise("whatever")
@@ -291,9 +291,9 @@ def stream_sync_health(spark, d):
     rows, state = stream_paths(spark)
     kind = F.col("event_type")
     status = F.when(kind.isin("view", "click", "purchase"), "success").when(kind == "signup", "skip").otherwise("fail")
-    J_stream = J.sync_health(event_stream(spark, d).select("ts", status.alias("status")), fail_limit=2)
-    drain_update(J_stream, rows, state)
-    return J.current_rows(spark, rows, ["window_start"])
+    health = J.sync_health(event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), status.alias("status")), fail_limit=2)
+    drain_update(health, rows, state)
+    return J.current_rows(spark, rows, ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def drain_update(stream, rows, state):
@@ -306,7 +306,7 @@ def drain_update(stream, rows, state):
 
 
 @query("stream_nav_upsert", "T1 T2", "", f"""
-select {"lpad(cast(l_suppkey as varchar),6,'0')"} fund_code, cast(l_shipdate as date) trade_date, round(arg_max(l_extendedprice/l_quantity, l_orderkey*10+l_linenumber),6) nav, count(*) over () keys
+select {"lpad(cast(l_suppkey as varchar),6,'0')"} fund_code, cast(l_shipdate as date) trade_date, {sql32('arg_max(l_extendedprice/l_quantity, l_orderkey*10+l_linenumber)')} nav, count(*) over () keys
 from lineitem group by 1,2""")
 def stream_nav_upsert(spark, d):
     rows, state = stream_paths(spark)
@@ -320,7 +320,7 @@ def stream_nav_upsert(spark, d):
     J.append_versions(once, first_rows, first_state)
     keys = spark.read.parquet(first_rows).agg(F.count("*")).scalar()
     return J.current_rows(spark, rows, ["fund_code", "trade_date"], ["version"]).select(
-        "fund_code", "trade_date", F.round("nav", 6).alias("nav"), keys.alias("keys"))
+        "fund_code", "trade_date", *f32("nav"), keys.alias("keys"))
 
 
 @query("stream_positions", "T3", "", """

@@ -1,58 +1,58 @@
-"""StructTypes of the fund tables."""
+"""StructTypes of the fund tables, and typed reads."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _s(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-FUNDS = _s("code string, name string, type string, fund_type string")
-FUND_TYPES = _s("type_name string, category string")
-FUND_DETAILS = _s(
-    "fund_code string, fund_name string, fund_company string, scale double, establish_date date,"
-    " position_stock double, sharpe_3y double, risk_return_ratio_3y double, max_drawdown_3y double"
-)
-FUND_HOLDINGS = _s(
-    "fund_code string, quarter string, holding_type string, asset_code string, asset_name string,"
-    " hold_ratio double, hold_amount double, hold_market_value double"
-)
-FUND_NAV = _s("fund_code string, trade_date date, nav double, acc_nav double, daily_return double")
-FUND_CUM_RETURN = _s("fund_code string, trade_date date, cum_return double")
-FUND_MANAGER_TENURE = _s(
-    "fund_code string, seq int, start_date date, end_date date, is_current boolean,"
-    " managers string, tenure_text string, tenure_days int, tenure_return double"
-)
-STOCK_INDUSTRY = _s(
-    "stock_code string, stock_name string, market string, sw_l1 string, sw_l2 string, sw_l3 string,"
-    " em_industry string, source string, manual int"
-)
-TRADE_DATES = _s("trade_date date")
-CONDITION = _s("field string, op string, value double")
-FILTERS = _s(
-    "keyword string, name_contains string, fund_types array<string>, exclude_codes array<string>,"
-    " name_excludes array<string>, conditions array<struct<field:string,op:string,value:double>>"
-)
-QUERY_PRESETS = T.StructType(
-    [T.StructField("preset_id", T.IntegerType()), T.StructField("filters", FILTERS)]
-)
-FUND_SNAPSHOTS = _s("preset_id int, items_json string")
-USER_HOLDINGS = _s(
-    "portfolio_id bigint, fund_code string, fund_name string, market_value double, cost double,"
-    " base_shares double, base_date date"
-)
-HOLDING_TXNS = _s(
-    "id bigint, portfolio_id bigint, fund_code string, fund_name string, txn_type string,"
-    " trade_date date, amount double, nav double, shares double, transfer_id string"
-)
-AI_ANALYSIS = _s(
-    "fund_code string, luck_verdict string, concentration string, fund_kind string,"
-    " recommend int, skill_score int, rating int, tags array<string>"
-)
-NAV_SCRIPT_POINT = "array<struct<x:bigint,y:string,equityReturn:string>>"
-NAV_PAGE = _s(
-    "Data struct<LSJZList:array<struct<FSRQ:string,DWJZ:string,LJJZ:string,JZZZL:string,ACTUALSYI:string>>,"
-    "TotalCount:int>, ErrCode string, TotalCount int"
-)
+from pyspark.sql import DataFrame, SparkSession, types as T
+
+TEXT, REAL, DAY, INT, LONG, FLAG = (
+    T.StringType(), T.DoubleType(), T.DateType(), T.IntegerType(), T.LongType(), T.BooleanType())
+WORDS = T.ArrayType(TEXT)
+
+
+def _row(**fields) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CONDITION = _row(field=TEXT, op=TEXT, value=REAL)
+FILTERS = _row(keyword=TEXT, name_contains=TEXT, fund_types=WORDS, exclude_codes=WORDS, name_excludes=WORDS,
+               conditions=T.ArrayType(CONDITION))
+
+SCHEMAS = {
+    "funds": _row(code=TEXT, name=TEXT, type=TEXT, fund_type=TEXT),
+    "fund_types": _row(type_name=TEXT, category=TEXT),
+    "fund_details": _row(
+        fund_code=TEXT, fund_name=TEXT, fund_company=TEXT, scale=REAL, establish_date=DAY, position_stock=REAL,
+        sharpe_3y=REAL, risk_return_ratio_3y=REAL, max_drawdown_3y=REAL),
+    "fund_holdings": _row(
+        fund_code=TEXT, quarter=TEXT, holding_type=TEXT, asset_code=TEXT, asset_name=TEXT, hold_ratio=REAL,
+        hold_amount=REAL, hold_market_value=REAL),
+    "fund_nav": _row(fund_code=TEXT, trade_date=DAY, nav=REAL, acc_nav=REAL, daily_return=REAL),
+    "fund_cum_return": _row(fund_code=TEXT, trade_date=DAY, cum_return=REAL),
+    "fund_manager_tenure": _row(
+        fund_code=TEXT, seq=INT, start_date=DAY, end_date=DAY, is_current=FLAG, managers=TEXT, tenure_text=TEXT,
+        tenure_days=INT, tenure_return=REAL),
+    "stock_industry": _row(
+        stock_code=TEXT, stock_name=TEXT, market=TEXT, sw_l1=TEXT, sw_l2=TEXT, sw_l3=TEXT, em_industry=TEXT,
+        source=TEXT, manual=INT),
+    "trade_dates": _row(trade_date=DAY),
+    "query_presets": _row(preset_id=INT, filters=FILTERS),
+    "fund_snapshots": _row(preset_id=INT, items_json=TEXT),
+    "user_holdings": _row(
+        portfolio_id=LONG, fund_code=TEXT, fund_name=TEXT, market_value=REAL, cost=REAL, base_shares=REAL, base_date=DAY),
+    "holding_txns": _row(
+        id=LONG, portfolio_id=LONG, fund_code=TEXT, fund_name=TEXT, txn_type=TEXT, trade_date=DAY, amount=REAL,
+        nav=REAL, shares=REAL, transfer_id=TEXT),
+    "fund_ai_analysis": _row(
+        fund_code=TEXT, luck_verdict=TEXT, concentration=TEXT, fund_kind=TEXT, recommend=INT, skill_score=INT,
+        rating=INT, tags=WORDS),
+}
+
+NAV_PAGE = _row(
+    Data=_row(
+        LSJZList=T.ArrayType(_row(FSRQ=TEXT, DWJZ=TEXT, LJJZ=TEXT, JZZZL=TEXT, ACTUALSYI=TEXT)), TotalCount=INT),
+    ErrCode=TEXT, TotalCount=INT)
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored fund table with its declared types; filters and columns reach the scan."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
