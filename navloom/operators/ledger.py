@@ -11,6 +11,7 @@ from navloom.operators.scale import chunked
 from navloom.operators.windows import latest
 
 KEY = ["portfolio_id", "fund_code"]
+ID_BAND = 50_000
 
 
 def book_trades(trades: DataFrame, nav: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def freeze_base_shares(snaps: DataFrame, nav: DataFrame) -> DataFrame:
     return snaps.join(last, "fund_code", "left").withColumn("base_shares", F.coalesce("base_shares", derived)).drop("_nav")
 
 
-def _events(size: int):
+def _events():
     """Trades of one chunk in order, as an array of bounded length."""
     return F.transform(
         F.array_sort(F.collect_list(F.struct("trade_date", "id", "buy", "shares", "amount"))),
@@ -98,7 +99,9 @@ def positions(snaps: DataFrame, txns: DataFrame, nav: DataFrame, rows_per_chunk:
         .withColumn("cost0", F.coalesce("base_cost", "base_mv"))
     )
 
-    ordered = chunked(trades, KEY, ["trade_date"], rows_per_chunk).groupBy(*KEY, "chunk").agg(_events(rows_per_chunk).alias("events"))
+    # a granule is a day and a band of ids, so even one day of one ledger is split
+    banded = trades.withColumn("_band", F.floor(F.col("id") / ID_BAND))
+    ordered = chunked(banded, KEY, ["trade_date", "_band"], rows_per_chunk).groupBy(*KEY, "chunk").agg(_events().alias("events"))
     floor0 = F.lit(float("-inf"))
 
     def share_step(a, e):

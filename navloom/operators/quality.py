@@ -19,7 +19,8 @@ from navloom.operators.themes import best_share
 from navloom.operators.windows import tenure_at
 from navloom.session import cut_lineage
 
-GRAM_PARTS = 32
+FUNDS_PER_GRAM = 1000
+GRAM_FANIN = 32
 
 
 @dataclass(frozen=True)
@@ -133,12 +134,12 @@ def aligned_vectors(pool: DataFrame, nav: DataFrame, dates: DataFrame, p: Qualit
 def principal_axes(vectors: DataFrame, n: int) -> DataFrame:
     """Leading time directions per date: (as_of, dirs, scale, var_ratio).
 
-    The day x day products are summed over bounded parts of the funds and then over the parts,
-    so the work per task does not grow with the number of funds.
+    The day x day products of a thousand funds make one table; the tables are added up in two
+    levels, so no task's work grows with the number of funds.
     """
     def partial(key, pdf):
         z = np.vstack(pdf["z"].to_numpy())
-        return pd.DataFrame({"as_of": [key[0]], "gram": [(z.T @ z).ravel()]})
+        return pd.DataFrame({"as_of": [key[0]], "_part": [key[1]], "gram": [(z.T @ z).ravel()]})
 
     def solve(key, pdf):
         total = np.sum(np.vstack(pdf["gram"].to_numpy()), axis=0)
@@ -149,9 +150,14 @@ def principal_axes(vectors: DataFrame, n: int) -> DataFrame:
         return pd.DataFrame({"as_of": [key[0]], "dirs": [[dirs[:, i].tolist() for i in order]],
                              "scale": [np.sqrt(top)], "var_ratio": [top / max(np.trace(total.reshape(t, t)), 1e-300)]})
 
-    parts = vectors.withColumn("_part", F.pmod(F.hash("fund_code"), F.lit(GRAM_PARTS))).select("as_of", "_part", "z")
-    grams = parts.groupBy("as_of", "_part").applyInPandas(partial, "as_of date, gram array<double>")
-    return grams.groupBy("as_of").applyInPandas(
+    def add(key, pdf):
+        return pd.DataFrame({"as_of": [key[0]], "gram": [np.sum(np.vstack(pdf["gram"].to_numpy()), axis=0)]})
+
+    counts = vectors.groupBy("as_of").agg(F.ceil(F.count("*") / FUNDS_PER_GRAM).alias("_parts"))
+    parts = vectors.join(counts, "as_of").withColumn("_part", F.pmod(F.hash("fund_code"), F.col("_parts"))).select("as_of", "_part", "z")
+    grams = parts.groupBy("as_of", "_part").applyInPandas(partial, "as_of date, _part bigint, gram array<double>")
+    sums = grams.groupBy("as_of", (F.col("_part") % GRAM_FANIN).alias("_part")).applyInPandas(add, "as_of date, gram array<double>")
+    return sums.groupBy("as_of").applyInPandas(
         solve, "as_of date, dirs array<array<double>>, scale array<double>, var_ratio array<double>")
 
 

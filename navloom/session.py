@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster, once per session."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_navloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/navloom", "zip", root, "navloom")
+    sc.addPyFile(archive)
+    sc._navloom_shipped = True
