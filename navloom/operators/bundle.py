@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from navloom.functions import scalars as X
 from navloom.operators.joins import forward_first
+from navloom.session import cut_lineage
 
 
 def manager_attribution(tenure: DataFrame, as_of: str) -> DataFrame:
@@ -15,7 +16,7 @@ def manager_attribution(tenure: DataFrame, as_of: str) -> DataFrame:
     ends before the first segment that differs; its start is looked up by sequence number.
     """
     day = F.lit(as_of).cast("date")
-    rows = tenure.withColumn("team", F.trim("managers"))
+    rows = cut_lineage(tenure.select("fund_code", "seq", "start_date", F.trim("managers").alias("team")))
     current = rows.where(F.col("seq") == 0).select(
         "fund_code", F.col("team").alias("cur_team"), F.split("team", r"\s+")[0].alias("lead"))
     marked = rows.join(current, "fund_code")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from navloom.functions import scalars as X
 from navloom.operators.windows import top_holdings
+from navloom.session import cut_lineage
 
 
 # ---- held stocks and their industries -----------------------------------------------------
@@ -88,10 +89,11 @@ def profiles(items: DataFrame, industry: DataFrame, by: list[str]) -> tuple[Data
     items: by + fund_code, holding_type, asset_code, hold_ratio.
     """
     ok = (F.col("holding_type") == "stock") & (F.coalesce("asset_code", F.lit("")) != "") & (F.coalesce("hold_ratio", F.lit(0.0)) != 0)
-    rows = with_industry(items.where(ok), industry)
     key = [*by, "fund_code"]
-    stocks = rows.groupBy(*key, F.col("asset_code").alias("key")).agg(F.sum("hold_ratio").alias("ratio"))
-    industries = rows.groupBy(*key, F.col("label").alias("key")).agg(F.sum("hold_ratio").alias("ratio"))
+    held = items.where(ok).groupBy(*key, "asset_code").agg(F.sum("hold_ratio").alias("ratio"))
+    rows = cut_lineage(with_industry(held, industry).select(*key, "asset_code", "label", "ratio"))
+    stocks = rows.select(*key, F.col("asset_code").alias("key"), "ratio")
+    industries = rows.groupBy(*key, F.col("label").alias("key")).agg(F.sum("ratio").alias("ratio"))
     dropped = items.select(*key).distinct().join(stocks.select(*key).distinct(), key, "left_anti")
     return stocks, industries, dropped
 
@@ -112,10 +114,10 @@ def available_quarters(holdings: DataFrame) -> DataFrame:
 def style_drift(holdings: DataFrame, by: list[str] = ("fund_code",)) -> DataFrame:
     """Mean distance of adjacent quarters: sum|a-b| / sum(a+b), from shared assets and totals."""
     by = list(by)
-    totals = holdings.groupBy(*by, "quarter").agg(F.sum("hold_ratio").alias("total"))
+    now = cut_lineage(holdings.groupBy(*by, "quarter", "asset_code").agg(F.sum("hold_ratio").alias("a")))
+    totals = now.groupBy(*by, "quarter").agg(F.sum("a").alias("total"))
     seq = Window.partitionBy(*by).orderBy("quarter")  # quarters of a fund
     totals = totals.withColumn("next", F.lead("quarter").over(seq)).withColumn("next_total", F.lead("total").over(seq))
-    now = holdings.groupBy(*by, "quarter", "asset_code").agg(F.sum("hold_ratio").alias("a"))
     later = now.select(*by, F.col("quarter").alias("next"), "asset_code", F.col("a").alias("b"))
     shared = (
         now.join(totals.select(*by, "quarter", "next"), [*by, "quarter"]).join(later, [*by, "next", "asset_code"])
@@ -134,7 +136,8 @@ def quarter_profile(holdings: DataFrame, industry: DataFrame) -> DataFrame:
     counts = stocks.groupBy(*key).agg(F.count("*").alias("num_stock"))
     top = with_industry(top_holdings(stocks, 10, newest_only=False, by=["fund_code"]), industry)
     l1 = X.effective_l1()
-    top = top.withColumn("l1", F.when(l1 == "", "未知").otherwise(l1)).withColumn("theme", X.theme_of(l1))
+    # ten rows per fund and quarter, used four times below
+    top = cut_lineage(top.withColumn("l1", F.when(l1 == "", "未知").otherwise(l1)).withColumn("theme", X.theme_of(l1)))
     upto = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("hold_ratio")))
     shape = top.groupBy(*key).agg(
         upto(1).alias("top1_ratio"), upto(3).alias("top3_ratio"), upto(5).alias("top5_ratio"), upto(10).alias("top10_ratio"),
@@ -207,9 +210,9 @@ def look_through(weights: DataFrame, holdings: DataFrame, industry: DataFrame, b
     """
     live = weights.where(F.col("weight") > 0)
     rows = with_industry(live.join(holdings, "fund_code"), industry)
-    stocks = rows.groupBy(*by, "asset_code", "label").agg(
+    stocks = cut_lineage(rows.groupBy(*by, "asset_code", "label").agg(
         F.min("asset_name").alias("asset_name"), F.sum(F.col("weight") * F.coalesce("hold_ratio", F.lit(0.0))).alias("exposure"),
-        F.count_distinct("fund_code").alias("fund_count"))
+        F.count_distinct("fund_code").alias("fund_count")))
     industries = stocks.groupBy(*by, "label").agg(F.sum("exposure").alias("exposure"), F.count("*").alias("stock_count"))
     covered = rows.groupBy(*by).agg(F.count_distinct("fund_code").alias("funds_covered"))
     summary = stocks.groupBy(*by).agg(

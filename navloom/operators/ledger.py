@@ -9,6 +9,7 @@ from navloom.functions import scalars as X
 from navloom.operators.joins import asof
 from navloom.operators.scale import chunked
 from navloom.operators.windows import latest
+from navloom.session import cut_lineage
 
 KEY = ["portfolio_id", "fund_code"]
 ID_BAND = 50_000
@@ -85,7 +86,8 @@ def positions(snaps: DataFrame, txns: DataFrame, nav: DataFrame, rows_per_chunk:
         *KEY, F.lit(True).alias("has_snap"), "base_shares", F.col("cost").alias("base_cost"),
         F.coalesce("market_value", F.lit(0.0)).alias("base_mv"))
     buy = F.col("txn_type") == "buy"
-    trades = txns.withColumn("buy", buy)
+    trades = cut_lineage(txns.select(*KEY, "id", "trade_date", "amount", "shares", buy.alias("buy")))
+    buy = F.col("buy")
     totals = trades.groupBy(*KEY).agg(
         F.sum(F.when(buy, F.col("amount")).otherwise(0.0)).alias("bought"),
         F.sum(F.when(~buy, F.col("amount")).otherwise(0.0)).alias("sold"),

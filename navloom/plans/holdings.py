@@ -13,6 +13,7 @@ from navloom.operators import windows as W
 from navloom.operators.paging import page
 from navloom.plans.columns import r6
 from navloom.plans.registry import query
+from navloom.session import cut_lineage
 from navloom.sources import adapters as A
 
 LABEL = "coalesce(nullif(sw_l3,''),nullif(sw_l2,''),nullif(em_industry,''),'其他')"
@@ -308,7 +309,7 @@ select d.fund_code, fund_company, sector_focus, teams distinct_team_count, point
 from fund_details d left join summ using (fund_code) left join rg on rg.fund_code=d.fund_code and rg.points>=2 left join ch on ch.fund_code=d.fund_code""")
 def fund_bundle(spark, d):
     tenure = A.fund_manager_tenure(spark, d)
-    managers = B.manager_attribution(tenure, AS_OF)
+    managers = cut_lineage(B.manager_attribution(tenure, AS_OF))
     regimes = B.regime_returns(cum_returns(spark, d), managers, AS_OF)
     rows = B.fund_bundle(A.fund_details(spark, d), managers, O.holdings_summary(profile(spark, d)), regimes)
     return rows.select(

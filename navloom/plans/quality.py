@@ -59,11 +59,13 @@ def quality_scores(spark, d):
 
 def weekly_vectors(spark, d):
     """Weekly returns of the brand funds on their shared weeks, as vectors."""
-    members = A.nav_weekly(spark, d).select(F.lit("all").alias("set"), "fund_code").distinct()
+    nav = cut_lineage(A.nav_weekly(spark, d))
+    group = F.floor(F.length("fund_code") / 100)  # one set
+    members = nav.select(group.alias("set"), "fund_code").distinct()
     from navloom.operators.joins import common_dates
     from navloom.operators.scale import numbered
 
-    rows = S.simple_returns(common_dates(members, A.nav_weekly(spark, d), ["set"]), ["set", "fund_code"]).where(F.col("ret").isNotNull())
+    rows = S.simple_returns(common_dates(members, nav, ["set"]), ["set", "fund_code"]).where(F.col("ret").isNotNull())
     vectors = rows.groupBy("set", "fund_code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "ret"))), lambda s: s["ret"]).alias("rets"))
     return numbered(vectors.withColumn("_b", F.substring("fund_code", 1, 7)), ["set"], "_b", [F.col("fund_code")], "pos").drop("_b")
