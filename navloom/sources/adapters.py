@@ -109,36 +109,40 @@ def with_ratio(rows: DataFrame, by: list[str], value="hold_market_value", to="ho
     return rows.join(totals, by).withColumn(to, 100 * F.col(value) / F.col("_total")).drop("_total")
 
 
+def _quarter_number(c: str):
+    return F.year(c) * 10 + F.quarter(c)
+
+
+def _quarter_name(c: str):
+    return F.concat(F.expr(f"cast({c} div 10 as string)"), F.lit("Q"), (F.col(c) % 10).cast("string"))
+
+
 def fund_holdings(spark, d) -> DataFrame:
+    """Quarterly holdings; sums and ratios are taken on the numeric keys, names come last."""
     rows = (
         table(spark, d, "lineitem")
-        .join(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(
-            code6("l_suppkey").alias("fund_code"),
-            X.quarter_of("l_shipdate").alias("quarter"),
-            F.when(F.col("p_type") == "PROMO", "bond").otherwise("stock").alias("holding_type"),
-            code6("l_partkey").alias("asset_code"),
-            F.col("p_name").alias("asset_name"),
-        )
+        .groupBy("l_suppkey", _quarter_number("l_shipdate").alias("q"), "l_partkey")
         .agg(F.sum("l_extendedprice").alias("hold_market_value"))
     )
-    return with_ratio(rows, ["fund_code", "quarter"])
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return with_ratio(rows, ["l_suppkey", "q"]).select(
+        code6("l_suppkey").alias("fund_code"), _quarter_name("q").alias("quarter"),
+        F.when(F.col("p_type") == "PROMO", "bond").otherwise("stock").alias("holding_type"),
+        code6("l_partkey").alias("asset_code"), F.col("p_name").alias("asset_name"), "hold_market_value", "hold_ratio")
 
 
 def holdings_overlap(spark, d) -> DataFrame:
     """Yearly holdings on a small set of assets, so that funds overlap."""
     rows = (
         table(spark, d, "lineitem")
-        .groupBy(
-            code6("l_suppkey").alias("fund_code"),
-            F.concat(F.year("l_shipdate").cast("string"), F.lit("Q4")).alias("quarter"),
-            code6(F.col("l_partkey") % 97).alias("asset_code"),
-        )
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("y"), (F.col("l_partkey") % 97).alias("a"))
         .agg(F.sum("l_extendedprice").alias("hold_market_value"))
-        .withColumn("holding_type", F.lit("stock"))
-        .withColumn("asset_name", F.concat(F.lit("stock "), F.col("asset_code")))
     )
-    return with_ratio(rows, ["fund_code", "quarter"])
+    return with_ratio(rows, ["l_suppkey", "y"]).select(
+        code6("l_suppkey").alias("fund_code"), F.concat(F.col("y").cast("string"), F.lit("Q4")).alias("quarter"),
+        F.lit("stock").alias("holding_type"), code6("a").alias("asset_code"),
+        F.concat(F.lit("stock "), code6("a")).alias("asset_name"), "hold_market_value", "hold_ratio")
 
 
 def brand_holdings(spark, d) -> DataFrame:
@@ -146,16 +150,12 @@ def brand_holdings(spark, d) -> DataFrame:
     rows = (
         table(spark, d, "lineitem")
         .join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(
-            F.col("p_brand").alias("fund_code"),
-            X.quarter_of("l_shipdate").alias("quarter"),
-            code6(F.col("l_suppkey") % 50).alias("asset_code"),
-        )
+        .groupBy("p_brand", _quarter_number("l_shipdate").alias("q"), (F.col("l_suppkey") % 50).alias("a"))
         .agg(F.sum("l_extendedprice").alias("hold_market_value"))
-        .withColumn("holding_type", F.lit("stock"))
-        .withColumn("asset_name", F.concat(F.lit("stock "), F.col("asset_code")))
     )
-    return with_ratio(rows, ["fund_code", "quarter"])
+    return with_ratio(rows, ["p_brand", "q"]).select(
+        F.col("p_brand").alias("fund_code"), _quarter_name("q").alias("quarter"), F.lit("stock").alias("holding_type"),
+        code6("a").alias("asset_code"), F.concat(F.lit("stock "), code6("a")).alias("asset_name"), "hold_market_value", "hold_ratio")
 
 
 def brand_funds(spark, d) -> DataFrame:
