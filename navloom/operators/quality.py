@@ -116,8 +116,8 @@ def aligned_vectors(pool: DataFrame, nav: DataFrame, dates: DataFrame, p: Qualit
 
     Adds rets, z, total_days and common_days. A vector is as long as the window.
     """
-    rows = _at_dates(nav.where(F.col("trade_date") >= p.align_start), dates).join(
-        pool.select("as_of", "fund_code"), ["as_of", "fund_code"])
+    rows = cut_lineage(_at_dates(nav.where(F.col("trade_date") >= p.align_start), dates).join(
+        pool.select("as_of", "fund_code"), ["as_of", "fund_code"]))
     totals = rows.groupBy("as_of", "trade_date").agg(F.count("*").alias("_c")).groupBy("as_of").agg(F.count("*").alias("total_days"))
     have = rows.groupBy("as_of", "fund_code").agg(F.count("*").alias("_have")).join(totals, "as_of")
     aligned = have.where(F.col("_have") >= F.col("total_days") * K.ALIGN_COVERAGE).select("as_of", "fund_code", "total_days")

@@ -81,8 +81,10 @@ def manager_html(spark, d):
              F.concat((days % 100).cast("string"), F.lit(".50%"))]
     row = F.concat(F.lit('<tr class="r">'), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
     rows = A.fund_manager_tenure(spark, d).select("fund_code", F.col("seq").cast("int").alias("seq"), row.alias("row"))
-    body = rows.groupBy("fund_code").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda s: s["row"])).alias("rows"))
-    return body.select("fund_code", F.concat(
+    # a page lists at most 500 segments
+    key = F.struct("fund_code", F.floor(F.col("seq") / 500).cast("int").alias("page"))
+    body = rows.groupBy(key.alias("key")).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda s: s["row"])).alias("rows"))
+    return body.select("key", F.concat(
         F.lit("<html><table><tr><td>1</td></tr></table><table><tr><th>起始期</th><th>截止期</th><th>基金经理</th><th>任职期间</th><th>任职回报</th></tr>"),
         "rows", F.lit("</table><table><tr><td>2001-01-01</td></tr></table></html>")).alias("html"))
 
@@ -91,7 +93,9 @@ def manager_html(spark, d):
 select fund_code, seq, start_date, end_date, end_date is null is_current, managers, dd//365||'年又'||dd%365||'天' tenure_text, cast(dd as integer) tenure_days, cast(dd%100+0.5 as double) tenure_return
 from (select *, date_diff('day', start_date, coalesce(end_date, date '2001-08-01')) dd from fund_manager_tenure)""")
 def parse_manager_pages(spark, d):
-    return P.manager_pages(manager_html(spark, d))
+    rows = P.manager_pages(manager_html(spark, d), code="key")
+    rest = [c for c in rows.columns if c not in ("key", "seq")]
+    return rows.select("key.fund_code", (F.col("key.page") * 500 + F.col("seq")).alias("seq"), *rest)
 
 
 @query("page_text", "X5", "", r"""

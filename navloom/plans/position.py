@@ -53,10 +53,21 @@ def prosperity(spark, d):
     return out.select("portfolio_id", "fund_code", *r6("momentum", "risk_adj", "breadth", "consistency", "total"))
 
 
-@query("tilted_weights", "C4 X20")
+@query("tilted_weights", "C4 X20", "nav_weekly", f"""with recursive {SETS_SQL}, {PROS_SQL},
+g as (select w.portfolio_id, fac.*, min(mom) over (partition by portfolio_id) lo, max(mom) over (partition by portfolio_id) hi,
+  (row_number() over (partition by portfolio_id order by ra, fund_code)-1)*100.0/(count(*) over (partition by portfolio_id)-1) risk_adj from fac join w using (fund_code) where rn=1),
+sc as (select portfolio_id, fund_code, deviation, 0.35*(mom-lo)/(hi-lo)*100+0.25*risk_adj+0.25*breadth+0.15*consistency total from g),
+st as (select *, avg(total) over q mu, stddev_pop(total) over q sd from sc window q as (partition by portfolio_id)),
+raw as (select portfolio_id, fund_code, least(greatest(1+0.3*(total-mu)/sd,0.5),1.5)*case when abs(deviation)<=3 then 1.0 when total>=50 then 1+0.25*tanh(abs(deviation)/5)
+  when deviation>3 then 1-0.25*tanh(deviation/5) else 1-0.125*tanh(abs(deviation)/5) end r from st),
+it as (select portfolio_id, fund_code, r/sum(r) over (partition by portfolio_id) wt, false done, 0 n from raw
+  union all select portfolio_id, fund_code, case when done then wt when abs(ex)<1e-6 or fs<=0 then c when c>0.03 and c<0.25 then c+ex*c/fs else c end, done or abs(ex)<1e-6 or fs<=0, n+1
+  from (select *, sum(wt) over (partition by portfolio_id)-sum(c) over (partition by portfolio_id) ex, sum(case when c>0.03 and c<0.25 then c else 0 end) over (partition by portfolio_id) fs
+    from (select *, least(greatest(wt,0.03),0.25) c from it where n<10)))
+select portfolio_id, fund_code, round(wt/sum(wt) over (partition by portfolio_id),6) weight from it where n=10""")
 def tilted_weights(spark, d):
     scored = P.prosperity(brand_sets(spark, d).join(last_factors(spark, d), "fund_code"), ["portfolio_id"])
-    return P.tilted_weights(scored, ["portfolio_id"])
+    return P.tilted_weights(cut_lineage(scored), ["portfolio_id"]).select("portfolio_id", "fund_code", *r6("weight"))
 
 
 @query("weight_factors", "X20 X21", "nav_weekly", f"""with {SETS_SQL}, {PROS_SQL},

@@ -62,18 +62,18 @@ POSITION_ROW = ("portfolio_id bigint, fund_code string, shares double, cost doub
 def _fold_trades(key, chunks, state: GroupState):
     shares, cost, realised, invested, day, last_id = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, "", -1)
     late = 0
-    for pdf in chunks:
-        for t in pdf.sort_values(["trade_date", "id"]).itertuples(index=False):
-            if (str(t.trade_date), t.id) <= (day, last_id):
-                late += 1  # reported, to be settled by the batch ledger
-                continue
-            if t.txn_type == "buy":
-                shares, cost, invested = shares + t.shares, cost + t.amount, invested + t.amount
-            elif shares > 0:
-                sold = min(t.shares, shares)
-                part = cost * sold / shares
-                shares, cost, realised = shares - sold, cost - part, realised + t.amount - part
-            day, last_id = str(t.trade_date), int(t.id)
+    # the new trades of one key in one batch, whose size the trigger bounds
+    for t in pd.concat(list(chunks)).sort_values(["trade_date", "id"]).itertuples(index=False):
+        if (str(t.trade_date), t.id) <= (day, last_id):
+            late += 1  # reported, to be settled by the batch ledger
+            continue
+        if t.txn_type == "buy":
+            shares, cost, invested = shares + t.shares, cost + t.amount, invested + t.amount
+        elif shares > 0:
+            sold = min(t.shares, shares)
+            part = cost * sold / shares
+            shares, cost, realised = shares - sold, cost - part, realised + t.amount - part
+        day, last_id = str(t.trade_date), int(t.id)
     state.update((shares, cost, realised, invested, day, last_id))
     yield pd.DataFrame([(*key, shares, cost, realised, invested, late)], columns=[
         "portfolio_id", "fund_code", "shares", "cost", "realised", "invested", "late_rows"])
