@@ -54,11 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster, once per session."""
+    """Sends this package to the Python workers, once per session; they needn't share the driver's folder."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_navloom_shipped", False):
+    if getattr(sc, "_navloom_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/navloom", "zip", root, "navloom")
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='navloom-ship-')}/navloom", "zip", root, "navloom")
     sc.addPyFile(archive)
     sc._navloom_shipped = True
