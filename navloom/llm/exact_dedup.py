@@ -109,8 +109,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     groups = made.groupBy("recipe").agg(
         F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("d"))).alias("first"),
         F.count("*").alias("group_size"))
-    groups = groups.where("group_size > 1").select(
-        F.col("recipe"), F.col("first.d").alias("keep_id"), "group_size")
+    groups = cut_lineage(groups.where("group_size > 1").select(
+        F.col("recipe"), F.col("first.d").alias("keep_id"), "group_size"))
     out = made.join(groups, "recipe", "left").select(
         "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), "text_sha256",

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navloom.llm import decontaminate, exact_dedup, near_dedup, packing, token_counts
+from navloom.llm import (decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, personal_data,
+                         quality, token_counts, url_filter)
 from navloom.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,11 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+@query()
+def op2_url_filter(spark, sf_dir):
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
 @query(r"""
 with w as (
   select doc_id as id, false as item, list_filter(list_transform(
@@ -78,11 +84,26 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op4_html_text(spark, sf_dir):
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query()
+def op6_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_language(spark, sf_dir):
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 @query(r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(
@@ -111,6 +132,11 @@ def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_personal_data(spark, sf_dir):
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
