@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navloom.llm import decontaminate, exact_dedup, near_dedup, packing
+from navloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from navloom.llm.queries import vocabulary
 from navloom.llm.texts import table
 from navloom.session import cut_lineage, ship_package
@@ -17,6 +17,12 @@ def kept_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labels of documents that are there."""
+    ship_package(spark)
+    return quality.accepted(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     ship_package(spark)
@@ -42,7 +48,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.packed(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact_stage), ("near_dedup", near_stage),
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage),
           ("decontamination", benchmark_stage), ("packing", packing_stage)]
 
 #: the packing of real token ids and a trained classifier have no SQL form
