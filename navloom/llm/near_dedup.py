@@ -2,9 +2,9 @@
 
 A signature is SYMBOLS minima of BITS bits. Two documents are candidates when at most DISTANCE symbols differ.
 The signature is split into CHUNKS chunks of four symbols; if at most DISTANCE symbols differ, the pigeonhole
-principle leaves at least two chunks with at most one error (one such chunk only would mean at least
-2 * (CHUNKS - 1) = 38 errors). The allowed error of a chunk is enumerated: each of its four symbols is left out
-in turn, so a chunk gives four keys, and every pair under the threshold meets in a key of each of two chunks.
+principle leaves a chunk with at most one error (none would mean at least 2 * CHUNKS = 40 errors). The allowed error
+of a chunk is enumerated: each of its four symbols is left out in turn, so a chunk gives four keys, and every pair
+under the threshold meets in one of them.
 
 At a similarity of exactly 0.75 a symbol differs with probability 1/4; more than 37 of 80 differ with a
 probability of about 5e-6, and far less often above. Candidates are confirmed on the full shingle sets.
@@ -24,9 +24,9 @@ from navloom.llm.texts import WordHashes, as_bytes, mixed, rows_pass, shingles,
 from navloom.session import cut_lineage
 
 SYMBOLS, CHUNKS, DISTANCE = 80, 20, 37
-#: a key with more documents than this is not joined with itself but linked by stars and split by a second chunk
-WIDE = 48
-#: rounds of stars before what is left of wide keys is split
+#: a key with more documents than this is not joined with itself but thinned out and linked by stars
+WIDE = 32
+#: rounds of stars before what is left of wide keys is compared in full
 STARS = 3
 FACTORS = np.random.default_rng(8).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: shingles taken at once; bounds memory for very long documents
@@ -141,13 +141,11 @@ def near_by_signature(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows_pass(both.select("a", "b", "sa", "sb"), per_batch, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity.
+def sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """(d, s): the shingle sets of the documents in `ids` (d).
 
-    Sets are made for the documents of the pairs only. A filter of fixed size keeps the other texts from leaving
-    their task; the equi-join decides.
+    A filter of fixed size keeps the other texts from leaving their task; what passes it by chance does no harm.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
     wanted = members(ids.select(F.xxhash64("d").alias("x")), "x")
     held = WordHashes()
 
@@ -157,9 +155,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent: i
             if yes:
                 yield i, shingles(held.of(words(data))).tobytes()
 
-    sets = cut_lineage(rows_pass(
+    return cut_lineage(rows_pass(
         docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key).alias("x")),
         per_batch, "d bigint, s binary").dropDuplicates(["d"]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the similarity."""
     both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -173,57 +175,100 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent: i
     return rows_pass(both.select("a", "b", "sa", "sb"), check, "a bigint, b bigint")
 
 
+def promising(sets: DataFrame, percent: int) -> DataFrame:
+    """(d, share): the documents that have at least `percent` of their shingles in common with some other of `sets`.
+
+    A linked document shares that many with its partner alone, so the others have no partner here, whatever
+    passage they share with thousands. A filter of fixed size holds the shingles that several sets have.
+    """
+
+    def exploded(batches):
+        for batch in batches:
+            for one in batch["s"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64))], names=["s"])
+
+    common = sets.select("s").mapInArrow(exploded, "s bigint").groupBy("s").agg(F.count("*").alias("c"))
+    wanted = members(common.where("c > 1").select("s"), "s")
+
+    def per_batch(batch):
+        for d, one in zip(batch["d"].to_pylist(), batch["s"].to_pylist()):
+            hit = wanted.value.may_hold(np.frombuffer(one, np.uint64))
+            if 100 * int(hit.sum()) >= percent * len(hit):
+                yield d, float(hit.mean())
+
+    return cut_lineage(rows_pass(sets, per_batch, "d bigint, share double"))
+
+
 def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """(node, root) over all confirmed links between representatives (d, n, sig).
 
-    Narrow keys give all their pairs. A wide key's documents are compared with one of them, round by round; what
-    such stars join needs no further pairs. Where a wide key still spans several components, its documents must
-    share a second chunk's key as well (the threshold guarantees two), which splits groups that share a passage
-    only; what is left of those is compared in full across components.
+    Narrow keys give all their pairs. Of the documents of wide keys those stay that share enough with any other of
+    them; keys that are narrow by then are treated as such. The documents of a key that is still wide are compared
+    with one of them, round by round, and what such stars join needs no further pairs; what is left spans several
+    components and is compared in full across them.
     """
     keyed = cut_lineage(shared_keys(reps, cut_lineage(key_counts(reps))))
-    pairs = near_by_signature(narrow_pairs(keyed.where(F.col("c") <= WIDE), percent).distinct(), reps)
-    links = cut_lineage(confirmed(cut_lineage(pairs), docs, text, key, percent))
-    wide = cut_lineage(keyed.where(F.col("c") > WIDE).select("k", "chunk", "d", "n"))
-    if wide.isEmpty():
-        return components(links)
+    narrow = keyed.where(F.col("c") <= WIDE).select("k", "d", "n")
+    wide = keyed.where(F.col("c") > WIDE).select("k", "d", "n")
+    crowded = not wide.isEmpty()
+    if crowded:
+        wide_sets = sets_of(docs, wide.select("d").distinct(), text, key)
+        wide = cut_lineage(wide.join(promising(wide_sets, percent), "d"))
+        counts = cut_lineage(wide.groupBy("k").agg(F.count("*").alias("c")))
+        narrow = narrow.unionByName(wide.join(counts.where(F.col("c").between(2, WIDE)), "k").select("k", "d", "n"))
+        wide = cut_lineage(wide.join(counts.where(F.col("c") > WIDE), "k").drop("c"))
+    pairs = cut_lineage(near_by_signature(cut_lineage(narrow_pairs(narrow, percent).distinct()), reps))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+    links = cut_lineage(confirmed(pairs, sets_of(docs, ids, text, key), percent))
     roots = components(links)
+    if not crowded or wide.isEmpty():
+        return roots
     for round_ in range(STARS):
-        open_rows = spanning(wide, roots)
-        middle = open_rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("d", F.lit(round_)), "d", "n")).alias("m"))
-        star = open_rows.join(middle.select("k", "m.d", "m.n").toDF("k", "m", "mn"), "k").where(
-            (F.col("d") != F.col("m")) & alike_sizes("n", "mn", percent))
-        star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
-        more = cut_lineage(confirmed(
-            cut_lineage(near_by_signature(cut_lineage(star), reps)), docs, text, key, percent))
+        rows = cut_lineage(spanning(wide, roots))
+        if rows.isEmpty():
+            return roots
+        # first the document that shares most with others, then others at random
+        rank = F.col("share") if not round_ else F.xxhash64("d", F.lit(round_))
+        middle = rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root")).alias("m"))
+        star = rows.join(cut_lineage(middle.select("k", "m.d", "m.n", "m.root").toDF("k", "m", "mn", "mr")), "k").where(
+            (F.col("root") != F.col("mr")) & alike_sizes("n", "mn", percent))
+        star = cut_lineage(star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct())
+        more = cut_lineage(confirmed(cut_lineage(near_by_signature(star, reps)), wide_sets, percent))
         links = links.unionByName(more)
         roots = components(links)
-    left = cut_lineage(spanning(wide, roots))
-    if left.isEmpty():
+    rows = cut_lineage(spanning(wide, roots))
+    if rows.isEmpty():
         return roots
-    pairs = cut_lineage(near_by_signature(cut_lineage(wide_pairs(left, percent)), reps))
-    return components(links.unionByName(confirmed(pairs, docs, text, key, percent)))
+    pairs = cut_lineage(across(rows, reps, percent))
+    return components(links.unionByName(confirmed(pairs, wide_sets, percent)))
 
 
 def spanning(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (k, d, n, root) of the keys that span several components."""
+    """Rows (k, d, n, share, root) of the keys that span several components."""
     rows = wide.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select(
-        "k", "chunk", "d", "n", F.coalesce("root", "d").alias("root"))
+        "k", "d", "n", "share", F.coalesce("root", "d").alias("root"))
     several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     return rows.join(several.select("k"), "k")
 
 
-def wide_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components that share wide keys of two chunks and have alike sizes."""
-    one, two = left.alias("one"), left.select("k", "chunk", "d").alias("two")
-    both = one.join(two, "d").where("one.chunk < two.chunk").select(
-        F.xxhash64("one.k", "two.k").alias("k"), "d", "one.n", "one.root")
-    counts = both.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    both = both.join(counts.select("k"), "k")
-    other = both.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"))
-    return both.join(other, "k").where(
-        (F.col("d") < F.col("e")) & (F.col("root") != F.col("other")) & alike_sizes("n", "m", percent)
-    ).select(F.col("d").alias("a"), F.col("e").alias("b")).distinct()
+def across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components that share a key, have alike sizes and near signatures.
+
+    The distance is part of the join's condition, so no other pair leaves it.
+    """
+
+    def symbols(batch):
+        yield from zip(batch["d"].to_pylist(), stacked(batch["sig"]).astype(np.int32).tolist())
+
+    made = cut_lineage(rows_pass(reps.join(rows.select("d").distinct(), "d", "left_semi").select("d", "sig"), symbols,
+                                 "d bigint, sig array<int>"))
+    one = cut_lineage(rows.join(made, "d").select("k", "d", "n", "root", "sig"))
+    two = one.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"),
+                     F.col("sig").alias("sig2"))
+    apart = F.size(F.filter(F.zip_with("sig", "sig2", lambda x, y: x != y), lambda z: z))
+    return one.join(two, (one.k == two.k) & (F.col("d") < F.col("e")) & (F.col("root") != F.col("other"))
+                    & alike_sizes("n", "m", percent) & (apart <= DISTANCE)).select(
+        F.col("d").alias("a"), F.col("e").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
