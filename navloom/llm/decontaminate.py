@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from navloom.llm.membership import members
-from navloom.llm.texts import WordHashes, as_bytes, mixed, rows_pass, words
+from navloom.llm.texts import as_bytes, mixed, rows_pass, word_hashes, words
 from navloom.session import cut_lineage
 
 #: fixed masks over windows of ten words; a 0 ignores the word there, so each mask survives substitutions there
@@ -14,7 +14,11 @@ MASKS = ("1110111011", "1101011011", "1011101101", "1110010111", "0111111010", "
 SPAN = 10
 #: items with fewer words than this name nothing in particular and are not searched for
 LEAST_WORDS = 5
-ODD = np.uint64(0x9E3779B97F4A7C15)
+SHORT = "1" * LEAST_WORDS
+#: words of documents that are hashed at once
+BLOCK_WORDS = 200_000
+#: odd factors of the places in a window
+FACTORS = np.random.default_rng(3).integers(1, 2**63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bare_words(text: bytes) -> list[bytes]:
@@ -23,41 +27,45 @@ def bare_words(text: bytes) -> list[bytes]:
     return [w for w in stripped if w]
 
 
-def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of every window under every mask.
+def seeds(hashes: np.ndarray, lens: np.ndarray, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of every window under every mask, for texts that stand one behind the other.
 
-    Windows of SPAN words need SPAN words; for the sake of shorter items, every text also has windows of
-    LEAST_WORDS words under the full mask at each place.
+    `hashes` are the words of all texts and `lens` how many each has. `keep`, if given, says which hashes are of
+    interest. The last mask is the short window of LEAST_WORDS words, for items with fewer than SPAN.
     """
-    out, at = [], []
-    for number, mask in enumerate((*MASKS, "1" * LEAST_WORDS)):
+    ends = np.cumsum(lens)
+    weighted = [hashes * f for f in FACTORS]
+    out = []
+    for number, mask in enumerate((*MASKS, SHORT)):
         n = len(hashes) - len(mask) + 1
         if n > 0:
             total = np.full(n, number + 1, np.uint64)
-            for i, keep in enumerate(mask):
-                if keep == "1":
-                    total = total * ODD + hashes[i:i + n]
-            out.append(mixed(total))
-            at.append(np.arange(n))
+            for i, on in enumerate(mask):
+                if on == "1":
+                    total += weighted[i][i:i + n]
+            total = mixed(total)
+            at = np.arange(n) if keep is None else np.flatnonzero(keep(total))
+            text = np.searchsorted(ends, at, "right")
+            whole = at + len(mask) <= ends[text]
+            out.append((total[at[whole]], text[whole], (at - ends[text] + lens[text])[whole]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(at)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def item_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds that stand for an item: masked windows, or short windows if it has fewer than SPAN words."""
-    h, at = seeds(hashes)
-    short = max(len(hashes) - LEAST_WORDS + 1, 0)
-    return (h[:-short], at[:-short]) if len(hashes) >= SPAN else (h, at)
+    h, _, at = seeds(hashes, np.array([len(hashes)]))
+    short = len(hashes) - LEAST_WORDS + 1
+    return (h[:-short], at[:-short]) if len(hashes) >= SPAN else (h[-short:], at[-short:])
 
 
 def items_of(benchmark: DataFrame, text: str, key: str) -> DataFrame:
     """(item_id, seeds, places, words) of the items with at least LEAST_WORDS words; equal items keep one row."""
-    held = WordHashes()
 
     def per_batch(batch):
         for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
-            hashes = held.of(bare_words(data))
+            hashes = word_hashes(bare_words(data))
             if len(hashes) >= LEAST_WORDS:
                 h, at = item_seeds(hashes)
                 yield i, h.view(np.int64).tolist(), at.tolist(), hashes.tobytes()
@@ -92,15 +100,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
     items = cut_lineage(items_of(benchmark, item_text, item_key))
     tests = items.select("item_id", F.inline(F.arrays_zip("seeds", "places"))).toDF("item_id", "h", "at")
     wanted = members(tests.select("h").distinct(), "h")
-    held = WordHashes()
+
+    def hits_of(ids: list, texts: list[np.ndarray]):
+        lens = np.array([len(t) for t in texts])
+        h, text, place = seeds(np.concatenate(texts), lens, wanted.value.may_hold)
+        order = np.argsort(text, kind="stable")
+        starts = np.flatnonzero(np.diff(text[order], prepend=-1))
+        for part in np.split(order, starts[1:]) if len(order) else []:
+            t = int(text[part[0]])
+            yield ids[t], h[part].view(np.int64).tolist(), place[part].tolist(), texts[t].tobytes()
 
     def per_batch(batch):
+        ids, texts, n = [], [], 0
         for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
-            hashes = held.of(bare_words(data))
-            h, at = seeds(hashes)
-            keep = np.flatnonzero(wanted.value.may_hold(h))
-            if len(keep):
-                yield i, h[keep].view(np.int64).tolist(), at[keep].tolist(), hashes.tobytes()
+            hashes = word_hashes(bare_words(data))
+            if len(hashes) >= LEAST_WORDS:
+                ids.append(i)
+                texts.append(hashes)
+                n += len(hashes)
+            if n >= BLOCK_WORDS:
+                yield from hits_of(ids, texts)
+                ids, texts, n = [], [], 0
+        if texts:
+            yield from hits_of(ids, texts)
 
     found = cut_lineage(rows_pass(
         docs.select(F.col(key).alias("k"), F.col(text).alias("t")), per_batch,

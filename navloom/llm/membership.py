@@ -15,11 +15,6 @@ BITS, WORDS = 1 << 26, 1 << 20
 SHIFTS = (0, 19, 38)
 
 
-def places(keys: np.ndarray) -> list[np.ndarray]:
-    """The filter's bit places of 64-bit keys."""
-    return [(keys.view(np.uint64) >> np.uint64(s)) & np.uint64(BITS - 1) for s in SHIFTS]
-
-
 class Members:
     """The broadcast filter; `may_hold` answers for an array of 64-bit keys."""
 
@@ -27,9 +22,14 @@ class Members:
         self.bits = bits
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for p in places(keys):
-            out &= (self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        keys = keys.view(np.uint64)
+        at = None
+        for shift in SHIFTS:  # each place is looked up only for the keys the places before let through
+            p = ((keys if at is None else keys[at]) >> np.uint64(shift)) & np.uint64(BITS - 1)
+            hit = np.flatnonzero((self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1))
+            at = hit if at is None else at[hit]
+        out = np.zeros(len(keys), bool)
+        out[at] = True
         return out
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from navloom.llm.components import components
 from navloom.llm.membership import members
-from navloom.llm.texts import WordHashes, as_bytes, mixed, rows_pass, shingles, words
+from navloom.llm.texts import as_bytes, mixed, rows_pass, shingles, word_hashes, words
 from navloom.session import cut_lineage
 
 SYMBOLS, CHUNKS, DISTANCE = 80, 20, 37
@@ -56,11 +56,10 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Per row: doc_id, n_shingles, set_key (names the whole set), sig (empty sets have neither)."""
-    held = WordHashes()
 
     def per_batch(batch):
         for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
-            found = shingles(held.of(words(data)))
+            found = shingles(word_hashes(words(data)))
             if len(found):
                 yield (i, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(),
                        signature(found).tobytes())
@@ -147,13 +146,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
     A filter of fixed size keeps the other texts from leaving their task; what passes it by chance does no harm.
     """
     wanted = members(ids.select(F.xxhash64("d").alias("x")), "x")
-    held = WordHashes()
 
     def per_batch(batch):
         keep = wanted.value.may_hold(batch["x"].to_numpy())
         for i, data, yes in zip(batch["k"].to_pylist(), as_bytes(batch["t"]), keep.tolist()):
             if yes:
-                yield i, shingles(held.of(words(data))).tobytes()
+                yield i, shingles(word_hashes(words(data))).tobytes()
 
     return cut_lineage(rows_pass(
         docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key).alias("x")),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.texts import WordHashes, as_bytes, bounded_sample, id_fold, rows_pass, words
+from navloom.llm.texts import as_bytes, bounded_sample, id_fold, rows_pass, word_hashes, words
 
 #: hashed words, rank of the interactions, bins of a statistic
 BUCKETS, RANK, BINS = 1 << 14, 8, 10
@@ -33,9 +33,9 @@ def statistics(data: bytes, hashes: np.ndarray, counts: np.ndarray) -> list[floa
 N_STATISTICS = 13
 
 
-def sparse(data: bytes, held: WordHashes, extra: list) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def sparse(data: bytes, extra: list) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Hashed words with weights of unit length, and the statistics with the metadata after them."""
-    hashes = held.of(words(data))
+    hashes = word_hashes(words(data))
     found, counts = np.unique(hashes, return_counts=True)
     weights = np.log1p(counts)
     weights /= max(float(np.sqrt((weights ** 2).sum())), 1e-9)
@@ -107,7 +107,6 @@ def fitted(examples: list[tuple], labels: np.ndarray, steps: int = 600, rate: fl
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, folds: int = 5,
             metadata: tuple[str, ...] = ("n_chars",), text: str = "text", key: str = "doc_id") -> Machine:
     """A machine from about `sample` labelled rows outside the held-out fold (crc32 of the id mod `folds` is 0)."""
-    held = WordHashes()
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(
         (id_fold("k", folds) != 0) & F.col("y").isin(0, 1)).dropDuplicates(["k"])
     known = F.broadcast(bounded_sample(known, "k", sample))
@@ -115,7 +114,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     def per_batch(batch):
         extra = [batch[f"m{i}"].to_pylist() for i in range(len(metadata))]
         for y, data, *more in zip(batch["y"].to_pylist(), as_bytes(batch["t"]), *extra):
-            idx, weights, stats = sparse(data, held, more)
+            idx, weights, stats = sparse(data, more)
             yield y, idx.astype("<i4").tobytes(), weights.astype("<f4").tobytes(), stats
 
     rows = rows_pass(source_of(docs, text, key, metadata).join(known, "k"), per_batch,
@@ -144,21 +143,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
     """
     machine = docs.sparkSession.sparkContext.broadcast(
         trained(docs, labels, label, sample, folds, metadata, text, key))
-    held = WordHashes()
 
     def per_batch(batch):
         for i, out, score in zip(batch["k"].to_pylist(), batch["h"].to_pylist(),
-                                 scores_of(batch, machine.value, held, len(metadata))):
+                                 scores_of(batch, machine.value, len(metadata))):
             yield i, out, score, int(score >= threshold)
 
     source = source_of(docs, text, key, metadata).withColumn("h", F.coalesce(id_fold("k", folds) == 0, F.lit(False)))
     return rows_pass(source, per_batch, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def scores_of(batch, machine: Machine, held: WordHashes, n_metadata: int):
+def scores_of(batch, machine: Machine, n_metadata: int):
     extra = [batch[f"m{i}"].to_pylist() for i in range(n_metadata)]
     for data, *more in zip(as_bytes(batch["t"]), *extra):
-        yield machine.score(*sparse(data, held, more))
+        yield machine.score(*sparse(data, more))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, folds: int = 5,
@@ -170,7 +168,6 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     """
     machine = docs.sparkSession.sparkContext.broadcast(
         trained(docs, labels, label, sample, folds, metadata, text, key))
-    held = WordHashes()
     columns = docs.columns
 
     def run(batches):
@@ -178,7 +175,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
         for batch in batches:
             view = {"t": batch.column(text)} | {f"m{i}": batch.column(c) for i, c in enumerate(metadata)}
-            keep = [score >= threshold for score in scores_of(view, machine.value, held, len(metadata))]
+            keep = [score >= threshold for score in scores_of(view, machine.value, len(metadata))]
             yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

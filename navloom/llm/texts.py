@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: entries a worker's own cache may hold before it is emptied; a bound on memory, never on results
@@ -57,17 +57,9 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, computed once per worker and word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in every worker."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def words(text: bytes) -> list[bytes]:
