@@ -134,7 +134,7 @@ def features(page_blocks: list[Block]) -> list[list[str]]:
              f"ends={text[-1] if text[-1] in '.!?:|' else 'a' if text[-1].isalnum() else '-'}"]
         f += [f"in={t}" for t in set(tags) - {"html", "body", "p", "b", "i", "span", "em", "strong", "div", "a"}]
         f += [f"name={p}" for p in names]
-        f.append(f"named={bool(names)}")
+        f += [f"named={bool(names)}", f"alone={len(page_blocks) == 1}"]
         out.append(f)
     return out
 
@@ -233,7 +233,8 @@ def labelled(times: int = 4, seed: int = 4) -> list[tuple[list[list[str]], list[
 
     rows = []
     for layout in [*LAYOUTS * times, *(composed() for _ in range(100 * times))]:
-        found = blocks("<html><body>" + re.sub(r"\{(\w)\}", filled, layout) + "</body></html>")
+        page = re.sub(r"\{(\w)\}", filled, layout)
+        found = blocks(page if draw.random() < 0.2 else f"<html><body>{page}</body></html>")
         labels = ["main" if "\x01" in "".join(b.parts) else "other" for b in found]
         for b in found:
             b.parts = ["".join(b.parts).replace("\x01", "").replace("\x02", "")]
