@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.components import components
+from navloom.llm.components import components, with_more_links
 from navloom.llm.membership import members
 from navloom.llm.texts import as_bytes, mixed, rows_pass, shingles, word_hashes, words
 from navloom.session import cut_lineage
@@ -27,7 +27,7 @@ SYMBOLS, CHUNKS, DISTANCE = 80, 20, 37
 #: a key with more documents than this is not joined with itself but thinned out and linked by stars
 WIDE = 32
 #: rounds of stars before what is left of wide keys is compared in full
-STARS = 3
+STARS = 2
 FACTORS = np.random.default_rng(8).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: shingles taken at once; bounds memory for very long documents
 BLOCK = 4_096
@@ -227,18 +227,16 @@ def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int)
             return roots
         # first the document that shares most with others, then others at random
         rank = F.col("share") if not round_ else F.xxhash64("d", F.lit(round_))
-        middle = rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root")).alias("m"))
-        star = rows.join(cut_lineage(middle.select("k", "m.d", "m.n", "m.root").toDF("k", "m", "mn", "mr")), "k").where(
-            (F.col("root") != F.col("mr")) & alike_sizes("n", "mn", percent))
-        star = cut_lineage(star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct())
+        middle = cut_lineage(rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root")).alias("m")).select(
+            "k", "m.d", "m.n", "m.root").toDF("k", "m", "mn", "mr"))
+        star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & alike_sizes("n", "mn", percent))
+        star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
         more = cut_lineage(confirmed(cut_lineage(near_by_signature(star, reps)), wide_sets, percent))
-        links = links.unionByName(more)
-        roots = components(links)
+        roots = with_more_links(roots, more)
     rows = cut_lineage(spanning(wide, roots))
     if rows.isEmpty():
         return roots
-    pairs = cut_lineage(across(rows, reps, percent))
-    return components(links.unionByName(confirmed(pairs, wide_sets, percent)))
+    return with_more_links(roots, cut_lineage(confirmed(cut_lineage(across(rows, reps, percent)), wide_sets, percent)))
 
 
 def spanning(wide: DataFrame, roots: DataFrame) -> DataFrame:
@@ -252,21 +250,26 @@ def spanning(wide: DataFrame, roots: DataFrame) -> DataFrame:
 def across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of different components that share a key, have alike sizes and near signatures.
 
-    The distance is part of the join's condition, so no other pair leaves it.
+    Only documents outside a key's largest component are matched with its others, and the distance is part of the
+    join's condition, so no other pair is looked at or leaves it.
     """
 
     def symbols(batch):
         yield from zip(batch["d"].to_pylist(), stacked(batch["sig"]).astype(np.int32).tolist())
 
-    made = cut_lineage(rows_pass(reps.join(rows.select("d").distinct(), "d", "left_semi").select("d", "sig"), symbols,
-                                 "d bigint, sig array<int>"))
-    one = cut_lineage(rows.join(made, "d").select("k", "d", "n", "root", "sig"))
-    two = one.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"),
-                     F.col("sig").alias("sig2"))
+    made = rows_pass(reps.join(rows.select("d").distinct(), "d", "left_semi").select("d", "sig"), symbols,
+                     "d bigint, sig array<int>")
+    main = rows.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(
+        F.max(F.struct("c", "root"))["root"].alias("main"))
+    every = cut_lineage(rows.join(made, "d").join(main, "k").select("k", "d", "n", "root", "sig", "main"))
+    one = cut_lineage(every.where("root <> main")).alias("one")
+    two = every.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"),
+                       F.col("sig").alias("sig2")).alias("two")
     apart = F.size(F.filter(F.zip_with("sig", "sig2", lambda x, y: x != y), lambda z: z))
-    return one.join(two, (one.k == two.k) & (F.col("d") < F.col("e")) & (F.col("root") != F.col("other"))
+    return one.join(two, (F.col("one.k") == F.col("two.k")) & (F.col("root") != F.col("other"))
+                    & ((F.col("other") == F.col("main")) | (F.col("d") < F.col("e")))
                     & alike_sizes("n", "m", percent) & (apart <= DISTANCE)).select(
-        F.col("d").alias("a"), F.col("e").alias("b")).distinct()
+        F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
