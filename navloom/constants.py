@@ -26,7 +26,6 @@ ROLL_DAYS = 252
 ALIGN_START = "2023-07-01"
 MIN_COMMON_DAYS = 250
 ALIGN_COVERAGE = 0.95
-NAV_ROW_LIMIT = 5000
 
 # ---- fixed values: composite score ---------------------------------------------------
 COMPOSITE_WEIGHTS = {

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from navloom import constants as K
 from navloom.functions import scalars as X, stats as S
 from navloom.operators.scale import numbered
-from navloom.operators.similarity import shared_mass, similarity_edges
+from navloom.operators.similarity import similarity_edges
 from navloom.session import cut_lineage
 
-TASK_FUNDS = 2000  # a set of this many funds has a 32 MB distance matrix
-
 
 # ---- share classes ------------------------------------------------------------------------
 
@@ -61,57 +57,18 @@ def target_clusters(n):
     return F.least(F.greatest(F.floor(n / 10), F.lit(K.CLUSTER_FLOOR)), F.lit(K.CLUSTER_CEIL)).cast("int")
 
 
-def merge_labels(dist: np.ndarray, k: int) -> np.ndarray:
-    """Ward merging of a small distance matrix down to k groups; labels 1.. by first member."""
-    n = len(dist)
-    d2 = np.square(dist.astype(float))
-    np.fill_diagonal(d2, np.inf)
-    size, group = np.ones(n), np.arange(n)
-    for _ in range(n - max(1, min(k, n))):
-        i, j = np.unravel_index(np.argmin(d2), d2.shape)
-        i, j = min(i, j), max(i, j)
-        row = ((size[i] + size) * d2[i] + (size[j] + size) * d2[j] - size * d2[i, j]) / (size[i] + size[j] + size)
-        row[[i, j]] = np.inf
-        row[np.isinf(d2[i])] = np.inf
-        d2[i], d2[:, i] = row, row
-        d2[j], d2[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        group[group == j] = i
-    return np.unique(group, return_inverse=True)[1] + 1
-
-
-def theme_clusters(vectors: DataFrame, by: list[str], task_funds: int = TASK_FUNDS) -> DataFrame:
-    """(by, fund_code, cluster_id) for every set of at least three funds.
-
-    Sets up to task_funds are clustered in one task each; larger sets go through rounds of
-    joins that merge all reciprocal nearest neighbours at once. Both give the same groups.
+def theme_clusters(vectors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fund_code, cluster_id) for every set of at least three funds, by rounds of joins.
+
+    Every round merges all reciprocal nearest neighbours at once; equal distances go to the lower pair of places.
+    One way for all sizes: about log(n) rounds, sparse, and no set in one task.
     """
     sizes = vectors.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= K.MIN_CLUSTER_FUNDS)
-    sized = vectors.join(sizes, by)
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*by).schema)
-
-    def solve(key, pdf):
-        pdf = pdf.sort_values("pos")
-        n = len(pdf)
-        sim = (K.STOCK_SIM_WEIGHT * shared_mass(list(pdf["stk"]), list(pdf["stk"]))
-               + K.INDUSTRY_SIM_WEIGHT * shared_mass(list(pdf["ind"]), list(pdf["ind"])))
-        out = pd.DataFrame({name: [key[m]] * n for m, name in enumerate(by)})
-        out["fund_code"] = pdf["fund_code"].to_numpy()
-        out["cluster_id"] = merge_labels(np.maximum(2.0 * (1.0 - sim), 0.0), int(pdf["k"].iloc[0])).astype("int32")
-        return out
-
-    small = (
-        sized.where(F.col("_n") <= task_funds).withColumn("k", target_clusters(F.col("_n")))
-        .groupBy(*by).applyInPandas(solve, f"{key_fields}, fund_code string, cluster_id int")
-    )
-    large = sized.where(F.col("_n") > task_funds)
-    if large.isEmpty():
-        return small
-    return small.unionByName(clusters_by_rounds(large.drop("_n"), by))
+    return clusters_by_rounds(vectors.join(sizes.select(*by), by), by)
 
 
 def clusters_by_rounds(vectors: DataFrame, by: list[str]) -> DataFrame:
-    """The same clusters through joins: any set size, about log(n) rounds, sparse.
+    """Ward clusters through joins, for sets of any size.
 
     With P the sum of squared distances inside a group and S the one between two groups, the
     Ward distance is 2ab/(a+b) * (S/(ab) - P_A/a^2 - P_B/b^2) for sizes a and b. Funds that

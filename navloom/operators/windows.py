@@ -25,8 +25,10 @@ def recent_points(nav: DataFrame, limit: int, by: list[str] = ("fund_code",)) ->
     return kept.withColumn("value", F.coalesce("acc_nav", "nav")).where(F.col("value").isNotNull())
 
 
-def first_rows(nav: DataFrame, limit: int = K.NAV_ROW_LIMIT) -> DataFrame:
-    """The first N rows per fund from the oldest; missing unit values are dropped after counting."""
+def first_rows(nav: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first N rows per fund from the oldest, all without a limit; missing unit values are dropped after counting."""
+    if limit is None:
+        return nav.where(F.col("nav").isNotNull())
     w = Window.partitionBy("fund_code").orderBy("trade_date")
     return (
         nav.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")

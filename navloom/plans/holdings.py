@@ -28,11 +28,15 @@ HELD_SQL = "held as (select asset_code stock_code, min(asset_name) held_name fro
 
 
 def known_industry(spark, d):
-    """The industry map without every seventh stock, so that some held stocks have none."""
-    return A.stock_industry(spark, d).where(F.col("stock_code").cast("int") % 7 != 0)
+    """The industry map with all labels of every seventh stock missing, so that some held stocks have none."""
+    known = F.col("stock_code").cast("int") % 7 != 0
+    labels = ("sw_l1", "sw_l2", "sw_l3", "em_industry")
+    return A.stock_industry(spark, d).withColumns({c: F.when(known, F.col(c)) for c in labels})
 
 
-IND_SQL = "ind as (select * from stock_industry where cast(stock_code as int)%7<>0)"
+IND_SQL = "ind as (select * replace (" + ", ".join(
+    f"case when cast(stock_code as int)%7<>0 then {c} end as {c}" for c in ("sw_l1", "sw_l2", "sw_l3", "em_industry")
+) + ") from stock_industry)"
 
 
 @query("industry_page", "J2 A2 O2 X9", "fund_holdings stock_industry", f"""
@@ -85,7 +89,7 @@ with {HELD_SQL}, {IND_SQL}
 select 'uncovered' kind, stock_code, 'A' market from held left join ind using (stock_code)
  where coalesce(sw_l3,'')='' and coalesce(em_industry,'')='' and stock_code not in ('000660','005930','009150','042700','055550','105560') and substr(stock_code,1,3) in ('000','001','002','003')
 union all select 'overseas', stock_code, 'OTHER' from held where substr(stock_code,1,3) in ('000','001','002','003') and stock_code not in ('000660','005930','009150','042700','055550','105560')
- and stock_code not in (select lpad(cast(l_suppkey as varchar),6,'0') from lineitem)""")
+ and stock_code not in (select printf('%06d', l_suppkey) from lineitem)""")
 def uncovered_stocks(spark, d):
     gaps = O.uncovered(held(spark, d), known_industry(spark, d), ["A", "HK"])
     master = A.table(spark, d, "lineitem").select(A.code6("l_suppkey").alias("stock_code")).distinct()

@@ -75,7 +75,7 @@ def parse_nav_pages(spark, d):
 
 
 def manager_html(spark, d):
-    days = F.datediff(F.coalesce("end_date", F.lit("2001-08-01").cast("date")), "start_date")
+    days = F.datediff(F.coalesce("end_date", F.lit("2002-12-31").cast("date")), "start_date")
     text = F.concat(F.floor(days / 365).cast("string"), F.lit("年又"), (days % 365).cast("string"), F.lit("天"))
     cells = [TEXT("start_date"), F.coalesce(TEXT("end_date"), F.lit("至今")), F.concat(F.lit(' <a href="/m">'), "managers", F.lit("</a> ")), text,
              F.concat((days % 100).cast("string"), F.lit(".50%"))]
@@ -91,7 +91,7 @@ def manager_html(spark, d):
 
 @query("parse_manager_pages", "S6 X4 X5", "fund_manager_tenure", """
 select fund_code, seq, start_date, end_date, end_date is null is_current, managers, dd//365||'年又'||dd%365||'天' tenure_text, cast(dd as integer) tenure_days, cast(dd%100+0.5 as double) tenure_return
-from (select *, date_diff('day', start_date, coalesce(end_date, date '2001-08-01')) dd from fund_manager_tenure)""")
+from (select *, date_diff('day', start_date, coalesce(end_date, date '2002-12-31')) dd from fund_manager_tenure)""")
 def parse_manager_pages(spark, d):
     rows = P.manager_pages(manager_html(spark, d), code="key")
     rest = [c for c in rows.columns if c not in ("key", "seq")]
@@ -143,10 +143,10 @@ def parse_holding_rows(spark, d):
 
 
 @query("parse_industry_records", "S9 S10", "", """
-with r as (select lpad(cast(l_partkey as varchar),6,'0') stock_code, l_shipdate dt, l_orderkey*10+l_linenumber o, case when l_linenumber%2=0 then 'M'||l_linenumber else '--' end m, 'B'||l_returnflag b from lineitem),
+with r as (select printf('%06d', l_partkey) stock_code, l_shipdate dt, l_orderkey*10+l_linenumber o, case when l_linenumber%2=0 then 'M'||l_linenumber else '--' end m, 'B'||l_returnflag b from lineitem),
  x as (select stock_code, max(dt) d1, max(case when m<>'--' then dt end) d2 from r group by 1)
 select p.stock_code, coalesce((select max(m) from r where r.stock_code=x.stock_code and dt=d2 and m<>'--'), (select max(b) from r where r.stock_code=x.stock_code and dt=d1)) em_industry,
- coalesce(case when p_brand<>'Brand#3' then p_type end,'') sw_l1, p_brand sw_l2 from (select lpad(cast(p_partkey as varchar),6,'0') stock_code, p_brand, p_type from part) p join x using (stock_code)""")
+ coalesce(case when p_brand<>'Brand#3' then p_type end,'') sw_l1, p_brand sw_l2 from (select printf('%06d', p_partkey) stock_code, p_brand, p_type from part) p join x using (stock_code)""")
 def parse_industry_records(spark, d):
     l = A.table(spark, d, "lineitem")
     dated = l.groupBy(A.code6("l_partkey").alias("stock_code"), F.col("l_shipdate").alias("change_date")).agg(
@@ -213,12 +213,12 @@ with d as (select distinct cast(o_orderdate as date) d from orders)
 select d, year(d - interval 3 month)||'Q'||quarter(d - interval 3 month) prev_quarter,
  case when month(d)>=11 then year(d)||'Q3' when month(d)>=9 then year(d)||'Q2' when month(d)>=5 then year(d)||'Q1' when month(d)>=4 then (year(d)-1)||'Q4' else (year(d)-1)||'Q3' end by_month,
  (select max(x) from (select year(e)||'Q'||quarter(e) x from (select cast(range as date)-1 e from range(date '1993-01-01', date '2003-01-01', interval 3 month)) where e+45<=d)) by_lag,
- cast(d - interval 7 month as date) minus7, d-1095 three_years_ago, round(date_diff('day',d,date '2001-08-01')/365.25,8) age, round(date_diff('day',d,date '2001-08-01')/365.0,8) in_post,
- (year(d)-3)||strftime(d,'-%m-%d') same_day, cast((select count(*) from (select d x union all select cast(date_trunc('month',d) + to_months(cast(5*k as integer)) as date) + cast(least(day(d),28)-1 as integer) from range(1,40) t(k)) where x<=date '2001-08-01') as integer) anchors
-from d where d<=date '2001-08-01'""")
+ cast(d - interval 7 month as date) minus7, d-1095 three_years_ago, round(date_diff('day',d,date '2002-12-31')/365.25,8) age, round(date_diff('day',d,date '2002-12-31')/365.0,8) in_post,
+ (year(d)-3)||strftime(d,'-%m-%d') same_day, cast((select count(*) from (select d x union all select cast(date_trunc('month',d) + to_months(cast(5*k as integer)) as date) + cast(least(day(d),28)-1 as integer) from range(1,40) t(k)) where x<=date '2002-12-31') as integer) anchors
+from d""")
 def date_functions(spark, d):
-    end = F.lit("2001-08-01").cast("date")
-    days = A.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct().where(F.col("d") <= end)
+    end = F.lit("2002-12-31").cast("date")
+    days = A.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
     return days.select(
         "d", X.previous_quarter("d").alias("prev_quarter"), X.disclosed_quarter_month("d").alias("by_month"), X.disclosed_quarter_lag45("d").alias("by_lag"),
         X.minus_months("d", 7).alias("minus7"), X.years_ago("d", 3).alias("three_years_ago"), F.round(X.age_years("d", end), 8).alias("age"),
@@ -226,16 +226,16 @@ def date_functions(spark, d):
 
 
 @query("text_functions", "X1 X7 X8 X12 X25 F22", "", """
-select doc_id, upper(lang) w1, trim(regexp_replace('基金'||source||'(后端)','\\(后端\\)$','')) plain, regexp_matches(lpad(cast(doc_id as varchar),6,'0'),'^\\d{6}$') is_code,
- case when doc_id%3=0 then null else cast(n_chars as double) end num, len(list_filter(list_transform(string_split(replace(substr(text,1,200),chr(10),' '),','), lambda x: trim(x)), lambda x: x<>'')) n_items, '{"k": '||n_chars||'}' js from documents""")
+select doc_id, upper(lang) w1, trim(regexp_replace('基金'||source||'(后端)','\\(后端\\)$','')) plain, regexp_matches(printf('%06d', doc_id),'^\\d{6}$') is_code,
+ case when doc_id%3=0 then null else cast(n_chars as double) end num, len(list_filter(list_transform(string_split(replace(text,chr(10),' '),','), lambda x: trim(x)), lambda x: x<>'')) n_items, '{"k": '||n_chars||'}' js from documents""")
 def text_functions(spark, d):
     n = TEXT("n_chars")
     reply = F.concat(F.lit("Sure:\n```json\n{\"k\": "), n, F.lit("}\n```\nbye"))
-    head = F.regexp_replace(F.substring("text", 1, 200), "\n", " ")
+    items = F.regexp_replace("text", "\n", " ")
     return A.table(spark, d, "documents").select(
         "doc_id", F.upper(X.clean_text("lang")).alias("w1"), F.trim(F.regexp_replace(F.concat(F.lit("基金"), "source", F.lit("(后端)")), r"\(后端\)$", "")).alias("plain"),
         X.is_fund_code(A.code6("doc_id")).alias("is_code"), X.safe_number(F.when(F.col("doc_id") % 3 == 0, "--").otherwise(F.concat(n, F.lit("%")))).alias("num"),
-        F.size(X.csv_items(head)).cast("bigint").alias("n_items"), X.json_object_text(reply).alias("js"))
+        F.size(X.csv_items(items)).cast("bigint").alias("n_items"), X.json_object_text(reply).alias("js"))
 
 
 @query("ai_field_checks", "X24", "", """
@@ -253,7 +253,7 @@ def ai_field_checks(spark, d):
 
 @query("preset_texts", "X26 X27 U8", "", """
 select n_nationkey preset_id, case when n_nationkey%7=1 then 'keyword=FUND&' else '' end || case when n_nationkey%4=0 then 'name_contains=a&' else '' end ||
- case n_nationkey%3 when 0 then 'fund_types=股票型,混合型-偏股&' when 2 then 'fund_types=债券型-长债&' else '' end || 'exclude_codes='||lpad(cast(n_nationkey as varchar),6,'0') ||
+ case n_nationkey%3 when 0 then 'fund_types=股票型,混合型-偏股&' when 2 then 'fund_types=债券型-长债&' else '' end || 'exclude_codes='||printf('%06d', n_nationkey) ||
  case when n_nationkey%5=0 then '&name_excludes=fund 1' else '' end || '&conds=' || case when n_nationkey%2=0 then 'scale:gte:'||n_nationkey*5||'.0,sharpe_3y:gt:1.0' else 'scale:lt:'||n_nationkey*20||'.0' end params,
  case when n_nationkey%2=0 then 3 else 1 end excluded_after, true canonical_equal from nation""")
 def preset_texts(spark, d):
@@ -310,7 +310,7 @@ def drain_update(stream, rows, state):
 
 
 @query("stream_nav_upsert", "T1 T2", "", f"""
-select {"lpad(cast(l_suppkey as varchar),6,'0')"} fund_code, cast(l_shipdate as date) trade_date, {sql32('arg_max(l_extendedprice/l_quantity, l_orderkey*10+l_linenumber)')} nav, count(*) over () keys
+select {"printf('%06d', l_suppkey)"} fund_code, cast(l_shipdate as date) trade_date, {sql32('arg_max(l_extendedprice/l_quantity, l_orderkey*10+l_linenumber)')} nav, count(*) over () keys
 from lineitem group by 1,2""")
 def stream_nav_upsert(spark, d):
     rows, state = stream_paths(spark)
@@ -320,7 +320,7 @@ def stream_nav_upsert(spark, d):
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("nav"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"))
     J.append_versions(increments, rows, state)
     first_rows, first_state = stream_paths(spark)
-    once = J.first_values(lines.select(A.code6("l_suppkey").alias("fund_code"), F.col("l_shipdate").cast("timestamp").alias("ts")), ["fund_code", "ts"], "ts", "20000 days")
+    once = J.first_values(lines.select(A.code6("l_suppkey").alias("fund_code"), F.col("l_shipdate").cast("timestamp").alias("ts")), ["fund_code", "ts"], "ts")
     J.append_versions(once, first_rows, first_state)
     keys = spark.read.parquet(first_rows).agg(F.count("*")).scalar()
     return J.current_rows(spark, rows, ["fund_code", "trade_date"], ["version"]).select(
@@ -328,7 +328,7 @@ def stream_nav_upsert(spark, d):
 
 
 @query("stream_positions", "T3", "", """
-with recursive o as (select o_custkey portfolio_id, lpad(cast(o_custkey%100 as varchar),6,'0') fund_code, case when o_orderstatus='F' then 'sell' else 'buy' end txn_type, o_totalprice amount, o_totalprice/1.25 shares,
+with recursive o as (select o_custkey portfolio_id, printf('%06d', o_custkey%100) fund_code, case when o_orderstatus='F' then 'sell' else 'buy' end txn_type, o_totalprice amount, o_totalprice/1.25 shares,
  row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) n from orders),
 fold as (select distinct portfolio_id, fund_code, 0::bigint n, 0.0::double shares, 0.0::double as cost, 0.0::double realised, 0.0::double invested from o
  union all select f.portfolio_id, f.fund_code, o.n, case when txn_type='buy' then f.shares+o.shares when f.shares>0 then f.shares-least(o.shares,f.shares) else f.shares end,
@@ -343,6 +343,6 @@ def stream_positions(spark, d):
         F.col("o_custkey").alias("portfolio_id"), A.code6(F.col("o_custkey") % 100).alias("fund_code"), F.col("o_orderkey").alias("id"),
         F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("txn_type"), F.col("o_orderdate").cast("date").cast("string").alias("trade_date"),
         F.col("o_totalprice").alias("amount"), (F.col("o_totalprice") / 1.25).alias("shares"))
-    drain_update(J.live_positions(trades), rows, state)
+    J.live_positions(trades, f"{rows}-log", rows, state)
     return J.current_rows(spark, rows, ["portfolio_id", "fund_code"]).select(
         "portfolio_id", "fund_code", *r6("shares", "cost", "realised", "invested", digits=3))

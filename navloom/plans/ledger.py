@@ -86,8 +86,8 @@ def transfer_requests(spark, d):
 
 LEGS_SQL = """
 req as (select o_custkey portfolio_id, o_orderkey row_id, cast(o_orderdate as date) trade_date, o_totalprice-20000 amount,
- case when o_orderkey%3<>0 then lpad(cast(o_custkey%100 as varchar),6,'0') else '' end from_code,
- case when o_orderkey%5<>0 then lpad(cast((o_custkey+7)%100 as varchar),6,'0') else '' end to_code from orders),
+ case when o_orderkey%3<>0 then printf('%06d', o_custkey%100) else '' end from_code,
+ case when o_orderkey%5<>0 then printf('%06d', (o_custkey+7)%100) else '' end to_code from orders),
 legs as (select portfolio_id, row_id, trade_date, amount, 'sell' txn_type, from_code fund_code, from_code<>'' and to_code<>'' paired from req where amount>0 and from_code<>''
  union all select portfolio_id, row_id, trade_date, amount, 'buy', to_code, from_code<>'' and to_code<>'' from req where amount>0 and to_code<>'')"""
 
@@ -158,7 +158,7 @@ def max_industry_share(spark, d):
 
 
 @query("holdings_display", "O4 J25", "portfolio_positions", """
-with t as (select n_nationkey portfolio_id, lpad(cast(n_nationkey*3 as varchar),6,'0') fund_code, n_regionkey seq from nation),
+with t as (select n_nationkey portfolio_id, printf('%06d', n_nationkey*3) fund_code, n_regionkey seq from nation),
 r as (select p.portfolio_id, p.fund_code, seq, market_value, false is_phantom from portfolio_positions p left join t on t.portfolio_id=p.portfolio_id and t.fund_code=p.fund_code
  union all select portfolio_id, fund_code, seq, 0, true from t where not exists (select 1 from portfolio_positions p where p.portfolio_id=t.portfolio_id and p.fund_code=t.fund_code))
 select portfolio_id, fund_code, seq, round(market_value,4) market_value, is_phantom, row_number() over (partition by portfolio_id order by case when market_value<=0.005 then 1 else 0 end,
@@ -174,7 +174,7 @@ def holdings_display(spark, d):
 
 
 @query("resolve_names", "J19 X1 X11 K12", "funds portfolio_positions", """
-with r as (select c_custkey id, case when c_custkey%4=0 then lpad(cast(c_custkey%100 as varchar),6,'0') else '' end code,
+with r as (select c_custkey id, case when c_custkey%4=0 then printf('%06d', c_custkey%100) else '' end code,
   case when c_custkey%4=1 then 'Fund '||(c_custkey%60)||'A' when c_custkey%4=2 then ' Fund '||(c_custkey%60)||'E' when c_custkey%4=3 then 'Unknown '||c_custkey else '' end nm from customer),
 b as (select min(code) code, trim(regexp_replace(name,'[A-Za-z]+$','')) bn from funds group by 2)
 select id, coalesce(nullif(code,''), (select min(code) from funds where name=trim(nm)), (select code from b where bn=trim(regexp_replace(trim(nm),'[A-Za-z]+$','')) and bn<>''), trim(nm)) resolved_code,

@@ -238,7 +238,7 @@ def metrics_at_dates(spark, d):
 @query("prescreen_at_dates", "F16 F17", "nav_daily funds fund_details", f"""
 with {METRICS_SQL}
 select as_of, m.fund_code, round(m.sharpe_1y,6) sharpe_1y from metrics m join funds on code=m.fund_code left join fund_details x on x.fund_code=m.fund_code
-where days>=150 and m.sharpe_1y>0 and name like '%Fund%' and name not like '%Fund 1C%' and (type like '%股票型%' or type like '%混合型%')
+where days>=250 and m.sharpe_1y>0 and name like '%Fund%' and name not like '%Fund 1C%' and (type like '%股票型%' or type like '%混合型%')
   and m.sharpe_3y>0.1 and x.position_stock>50""")
 def prescreen_at_dates(spark, d):
     from navloom.operators.filters import historical_filter
@@ -246,7 +246,7 @@ def prescreen_at_dates(spark, d):
     metrics = H.metrics_at(A.nav_daily(spark, d), quarter_days(spark, d))
     details = A.fund_details(spark, d).select("fund_code", "position_stock")
     funds = A.funds(spark, d).select(F.col("code").alias("fund_code"), "name", "type")
-    pool = metrics.where((F.col("days") >= 150) & (F.col("sharpe_1y") > 0)).join(funds, "fund_code").join(details, "fund_code", "left")
+    pool = metrics.where((F.col("days") >= 250) & (F.col("sharpe_1y") > 0)).join(funds, "fund_code").join(details, "fund_code", "left")
     rules = {"keyword": "Fund", "name_excludes": ["Fund 1C"], "fund_types": ["股票型", "混合型"],
              "conditions": [{"field": "sharpe_3y", "op": "gt", "value": 0.1}, {"field": "position_stock", "op": "gt", "value": 50},
                             {"field": "scale", "op": "gt", "value": 1e9}]}

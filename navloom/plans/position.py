@@ -97,7 +97,7 @@ BY = ["set"]
 
 
 def brand_scenario(spark, d):
-    """Clusters of the brand funds by their newest full-year holdings, with scores and vectors."""
+    """Clusters of the brand funds by their 20 largest holdings of the newest quarter, with scores and vectors."""
     from pyspark.sql import Window  # noqa: F401
 
     held = A.brand_holdings(spark, d).withColumn("set", F.lit("all"))

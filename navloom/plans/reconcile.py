@@ -27,7 +27,7 @@ def held_and_targets(spark, d):
 
 
 SIZE_SQL = """
-th as (select lpad(cast(s_suppkey as varchar),6,'0') fund_code, case when s_suppkey%6<>0 then s_nationkey%8+1 end cluster_id, name from supplier join funds on code=lpad(cast(s_suppkey as varchar),6,'0')),
+th as (select printf('%06d', s_suppkey) fund_code, case when s_suppkey%6<>0 then s_nationkey%8+1 end cluster_id, name from supplier join funds on code=printf('%06d', s_suppkey)),
 held as (select p.*, cluster_id, name from portfolio_positions p join th using (fund_code)),
 rep as (select cluster_id, cluster_id*1.0/sum(cluster_id) over () weight, fund_code, name from (select cluster_id, min(fund_code) fund_code, arg_min(name,fund_code) as name from th where cluster_id is not null group by 1)),
 tt as (select portfolio_id, sum(market_value) held_total, coalesce(sum(case when cluster_id is not null then market_value end),0) matched, coalesce(sum(case when cluster_id is null then market_value end),0) outv from held group by 1),

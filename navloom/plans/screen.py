@@ -124,7 +124,7 @@ def presets(spark, d):
 PRESET_MATCH_SQL = """
   (k%7<>1 or f.code ilike '%fund%' or f.name ilike '%fund%') and (k%4<>0 or f.name ilike '%a%')
   and (k%3=1 or (k%3=0 and f.type in ('股票型','混合型-偏股')) or (k%3=2 and f.type='债券型-长债'))
-  and f.code<>lpad(cast(k as varchar),6,'0') and (k%5<>0 or f.name not ilike '%fund 1%')
+  and f.code<>printf('%06d', k) and (k%5<>0 or f.name not ilike '%fund 1%')
   and ((k%2=0 and d.scale>=k*5 and d.sharpe_3y>1.0) or (k%2=1 and d.scale<k*20))"""
 
 
@@ -165,7 +165,7 @@ def preset_snapshot_build(spark, d):
 
 @query("fund_search", "F11 F12 S2", "funds", """
 select * from (select 'keyword' kind, code, name from funds where code ilike '%1%' or name ilike '%1%' order by code limit 50)
-union all select 'codes', code, name from funds where code in (select lpad(cast(c_nationkey as varchar),6,'0') from customer)
+union all select 'codes', code, name from funds where code in (select printf('%06d', c_nationkey) from customer)
 union all select * from (select 'one', code, name from funds where type='股票型' order by code limit 1)""")
 def fund_search(spark, d):
     funds = A.funds(spark, d).select("code", "name", "type")
@@ -184,7 +184,7 @@ def fund_search(spark, d):
 
 
 @query("snapshot_members", "S12 J4 F13 F14 J31 J28", "snapshot_items fund_ai fund_details", """
-select i.preset_id, i.code, i.name, round(i.scale,4) scale, cast(i.code=lpad(cast(i.preset_id as varchar),6,'0')
+select i.preset_id, i.code, i.name, round(i.scale,4) scale, cast(i.code=printf('%06d', i.preset_id)
     or (i.preset_id%5=0 and i.name like '%Fund 1%') as int) is_excluded, luck_verdict, rating,
   cast(luck_verdict in ('solid','mixed') as int) facet_hit, round(sharpe_3y,6) sharpe_3y, establish_date
 from snapshot_items i left join fund_ai a on a.fund_code=i.code left join fund_details d on d.fund_code=i.code""")
@@ -232,7 +232,7 @@ def fund_type_dimension(spark, d):
 @query("candidate_universe", "F15", "funds fund_details", """
 select code, name, scale from funds join fund_details on code=fund_code where scale between 2 and 400
  and name not like '%年%' and name not like '%月%' and name not like '%季%' and (type like '混合型-偏股%' or type like '混合型-灵活%'
- or type like '混合型-股债平衡%' or type like '股票型%') and code in (select lpad(cast(l_suppkey as varchar),6,'0') from lineitem where l_discount>0.05)""")
+ or type like '混合型-股债平衡%' or type like '股票型%') and code in (select printf('%06d', l_suppkey) from lineitem where l_discount>0.05)""")
 def candidate_universe(spark, d):
     wanted = A.table(spark, d, "lineitem").where(F.col("l_discount") > 0.05).select(A.code6("l_suppkey").alias("code"))
     details = A.fund_details(spark, d).withColumnRenamed("fund_code", "code").drop("fund_name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-CODE6 = "lpad(cast({} as varchar),6,'0')"
+CODE6 = "printf('%06d', {})"
 
 
 def c6(x: str) -> str:

@@ -17,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code6(c):
-    return F.lpad(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), 6, "0")
+    """The number as text of six digits at least; longer numbers keep all of theirs."""
+    text = F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    return F.lpad(text, F.greatest(F.char_length(text), F.lit(6)), "0")
 
 
 def funds(spark, d) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from navloom.sources.landed import last_row_wins
 
@@ -54,36 +52,41 @@ def sync_health(stream: DataFrame, window: str = "5 minutes", late: str = "10 mi
     ).select(F.col("w.start").alias("window_start"), "success", "skip", "fail", (F.col("fail") >= fail_limit).alias("unhealthy"))
 
 
-POSITION_STATE = "shares double, cost double, realised double, invested double, last_day string, last_id bigint"
-POSITION_ROW = ("portfolio_id bigint, fund_code string, shares double, cost double, realised double,"
-                " invested double, late_rows bigint")
-
-
-def _fold_trades(key, chunks, state: GroupState):
-    shares, cost, realised, invested, day, last_id = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, "", -1)
-    late = 0
-    # the new trades of one key in one batch, whose size the trigger bounds
-    for t in pd.concat(list(chunks)).sort_values(["trade_date", "id"]).itertuples(index=False):
-        if (str(t.trade_date), t.id) <= (day, last_id):
-            late += 1  # reported, to be settled by the batch ledger
-            continue
-        if t.txn_type == "buy":
-            shares, cost, invested = shares + t.shares, cost + t.amount, invested + t.amount
-        elif shares > 0:
-            sold = min(t.shares, shares)
-            part = cost * sold / shares
-            shares, cost, realised = shares - sold, cost - part, realised + t.amount - part
-        day, last_id = str(t.trade_date), int(t.id)
-    state.update((shares, cost, realised, invested, day, last_id))
-    yield pd.DataFrame([(*key, shares, cost, realised, invested, late)], columns=[
-        "portfolio_id", "fund_code", "shares", "cost", "realised", "invested", "late_rows"])
-
-
-def live_positions(trades: DataFrame) -> DataFrame:
-    """Running position per (portfolio, fund) from booked trades that arrive in order.
-
-    The state is six numbers. Trades older than the last one folded are counted as late; they
-    change the average cost of everything after them and belong to the batch ledger.
+def live_positions(trades: DataFrame, log: str, rows: str, checkpoint: str, buckets: int = 64) -> None:
+    """Running position per (portfolio, fund) from booked trades that arrive in any order.
+
+    A trade that arrives late changes the average cost of everything after it, so positions are folded from all
+    trades of the keys a batch touches, in the order of date and id. The trades are kept in a log by key bucket and
+    batch; a batch that is run again overwrites its own part, and a trade that is delivered twice counts once. Only
+    the touched buckets are read. The result goes to the version log `rows` and is the same however the trades fall
+    into batches.
     """
-    return trades.groupBy("portfolio_id", "fund_code").applyInPandasWithState(
-        _fold_trades, POSITION_ROW, POSITION_STATE, "update", GroupStateTimeout.NoTimeout)
+    keys = ["portfolio_id", "fund_code"]
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", bucket).withColumn("batch", F.lit(number)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(log)
+            part = spark.read.parquet(log).where(F.col("batch") == number)
+        touched = part.select("bucket", *keys).distinct()
+        all_trades = spark.read.parquet(log).join(touched, ["bucket", *keys], "left_semi").drop("batch", "bucket")
+        folded = settled(all_trades.dropDuplicates([*keys, "id"]))
+        folded.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rows)
+
+    drain(trades.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def settled(trades: DataFrame) -> DataFrame:
+    """(portfolio_id, fund_code, shares, cost, realised, invested) of share-counted trades, by the batch ledger."""
+    from navloom.operators import ledger
+
+    snaps = trades.sparkSession.createDataFrame(
+        [], "portfolio_id bigint, fund_code string, base_shares double, cost double, market_value double")
+    # at a value of one the market value is the share count
+    unit = trades.select("fund_code", F.lit(1.0).alias("nav"), F.current_date().alias("trade_date")).distinct()
+    held = ledger.positions(snaps, trades, unit)
+    return held.select("portfolio_id", "fund_code", "shares", "cost",
+                       (F.col("pnl") - F.col("market_value") + F.col("cost")).alias("realised"),
+                       F.col("total_invested").alias("invested"))

@@ -63,14 +63,12 @@ def test_edges_match_dense_distance_for_any_tile(spark):
                 assert abs(got.get((i, j), 2.0) - want[i, j]) < 1e-12
 
 
-def test_clusters_in_one_task_and_by_rounds_match_the_definition(spark):
-    for seed in (2,):
-        n = 24
-        stocks, industries, v = vectors(spark, n, seed)
-        want = step_ward(dense_distance(stocks, industries, n), 8)
-        for limit in (2000, 5):
-            got = {int(r.fund_code): r.cluster_id for r in T.theme_clusters(v, ["set"], task_funds=limit).collect()}
-            assert [got[i] for i in range(n)] == want
+def test_clusters_match_the_definition(spark):
+    n = 24
+    stocks, industries, v = vectors(spark, n, 2)
+    want = step_ward(dense_distance(stocks, industries, n), 8)
+    got = {int(r.fund_code): r.cluster_id for r in T.theme_clusters(v, ["set"]).collect()}
+    assert [got[i] for i in range(n)] == want
 
 
 def test_sets_below_three_funds_are_left_out(spark):
