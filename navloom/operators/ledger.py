@@ -189,10 +189,6 @@ def display_list(held: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("sort_key", order)
 
 
-def sorted_list(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("portfolio_id", "sort_key")
-
-
 def portfolio_curve(weights: DataFrame, series: DataFrame, by: list[str], value: str = "nav") -> DataFrame:
     """Weighted curve from 1.0 on the dates all members share, with its drawdown.
 

@@ -12,4 +12,5 @@ def catalog():
     return QUERIES
 
 
-MODULES = ["screen", "nav", "holdings", "ledger", "themes", "position", "quality", "history", "reconcile", "ingest"]
+MODULES = ["screen", "nav", "holdings", "ledger", "themes", "position", "quality", "history", "reconcile", "ingest",
+           "records"]

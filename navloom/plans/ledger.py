@@ -173,7 +173,7 @@ def holdings_display(spark, d):
         "portfolio_id", "fund_code", "seq", *r6("market_value", digits=4), "is_phantom", "pos")
 
 
-@query("resolve_names", "J19 X1 X11 K12", "funds portfolio_positions", """
+@query("resolve_names", "J19 X1 X11", "funds portfolio_positions", """
 with r as (select c_custkey id, case when c_custkey%4=0 then printf('%06d', c_custkey%100) else '' end code,
   case when c_custkey%4=1 then 'Fund '||(c_custkey%60)||'A' when c_custkey%4=2 then ' Fund '||(c_custkey%60)||'E' when c_custkey%4=3 then 'Unknown '||c_custkey else '' end nm from customer),
 b as (select min(code) code, trim(regexp_replace(name,'[A-Za-z]+$','')) bn from funds group by 2)

@@ -19,7 +19,7 @@ def valued(nav):
     return nav.withColumn("value", F.coalesce("acc_nav", "nav"))
 
 
-@query("nav_latest", "W1 J26", "nav_daily funds fund_details", f"""
+@query("nav_latest", "W1", "nav_daily funds fund_details", f"""
 select code, name, fund_company, trade_date, {sql32('nav')} nav, {sql32('acc_nav')} acc_nav from funds
 left join fund_details d on code=d.fund_code left join (select fund_code, max(trade_date) trade_date, arg_max(nav, trade_date) nav,
  arg_max(struct_pack(v:=acc_nav), trade_date).v acc_nav from nav_daily group by 1) n on n.fund_code=code""")
@@ -30,7 +30,7 @@ def nav_latest(spark, d):
         last, "fund_code", "left").select("code", "name", "fund_company", "trade_date", *f32("nav", "acc_nav"))
 
 
-@query("nav_recent", "W2 J8", "nav_daily", f"""
+@query("nav_recent", "W2", "nav_daily", f"""
 select fund_code, trade_date, {sql32('coalesce(acc_nav,nav)')} as value from (select *, row_number() over (partition by fund_code order by trade_date desc) rn
 from nav_daily) where rn<=260 and coalesce(acc_nav,nav) is not null""")
 def nav_recent(spark, d):

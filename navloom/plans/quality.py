@@ -106,7 +106,7 @@ def quality_funnel(spark, d):
     return Q.funnel(brand_pool(spark, d), scored, space)
 
 
-@query("quality_backtest", "C14 C26 K10")
+@query("quality_backtest", "C14 C26")
 def quality_backtest(spark, d):
     """Curve figures of every date's portfolio; the saved portfolios are read back as targets."""
     from navloom.operators.reconcile import targets_from_portfolio

@@ -139,7 +139,7 @@ def q_preset_members(spark, d):
     return preset_members(spark, d)
 
 
-@query("preset_snapshot_build", "K9 A46 J30", "funds fund_details fund_holdings", f"""
+@query("preset_snapshot_build", "K9 A46", "funds fund_details fund_holdings", f"""
 with m as (select k preset_id, f.code from (select n_nationkey k from nation), funds f left join fund_details d on f.code=d.fund_code
   where {PRESET_MATCH_SQL}),
  newest as (select fund_code, holding_type, max(quarter) as quarter from fund_holdings group by 1,2),
@@ -183,7 +183,7 @@ def fund_search(spark, d):
     return out
 
 
-@query("snapshot_members", "S12 J4 F13 F14 J31 J28", "snapshot_items fund_ai fund_details", """
+@query("snapshot_members", "S12 J4 F13 F14 J28", "snapshot_items fund_ai fund_details", """
 select i.preset_id, i.code, i.name, round(i.scale,4) scale, cast(i.code=printf('%06d', i.preset_id)
     or (i.preset_id%5=0 and i.name like '%Fund 1%') as int) is_excluded, luck_verdict, rating,
   cast(luck_verdict in ('solid','mixed') as int) facet_hit, round(sharpe_3y,6) sharpe_3y, establish_date

@@ -51,8 +51,3 @@ NAV_PAGE = _row(
     Data=_row(
         LSJZList=T.ArrayType(_row(FSRQ=TEXT, DWJZ=TEXT, LJJZ=TEXT, JZZZL=TEXT, ACTUALSYI=TEXT)), TotalCount=INT),
     ErrCode=TEXT, TotalCount=INT)
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored fund table with its declared types; filters and columns reach the scan."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")

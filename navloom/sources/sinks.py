@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from navloom.session import cut_lineage
+
 
 def replace_all(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -31,6 +33,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_v")).alias("_r")).select(*keys, "_r.*").select(*columns)
 
 
+def upsert_partitions(spark, new: DataFrame, path: str, keys: list[str], partition: str) -> None:
+    """Whole-row upsert into a stored table that reads and writes only the partitions the increment touches.
+
+    The merged partitions are written beside the table first, since a table can't be overwritten while it is read.
+    """
+    touched = [r[0] for r in new.select(partition).distinct().collect()]  # partitions of one increment
+    old = spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(touched))
+    replace_partitions(cut_lineage(upsert(old, new, [*keys, partition])), path, [partition])
+
+
 def replace_groups(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:
     """Groups present in the increment are replaced whole; the others stay."""
     kept = old.join(new.select(*group).distinct(), group, "left_anti")
