@@ -8,6 +8,7 @@ which ranks go into which kind of sequence. Ranks are dealt to pieces in paralle
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from navloom.llm.texts import CACHE_ENTRIES, as_texts, rows_pass
+from navloom.llm.texts import Remembered, as_texts, rows_pass
 from navloom.session import cut_lineage
 
 #: pieces in a block, in which ranks are counted
@@ -29,38 +30,31 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit numbers, encoded once per worker.
+@lru_cache(1)
+def word_ids(path: str) -> Remembered:
+    """Word -> its ids as little-endian unsigned 32-bit numbers; kept by the worker from task to task."""
+    lib = tokenizer(path)
+    return Remembered(lambda word: array("I", lib.encode(word, add_special_tokens=False).ids).tobytes())
+
+
+def ids_of(text: str, known: Remembered) -> bytes:
+    """The ids of a text.
 
     The vocabulary file drops white space between words and no pre-token spans it, so a text's ids are those of
     its words in order; words are parted at spaces and line feeds, and all else is left to the library.
     """
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = tokenizer(self.path).encode(word, add_special_tokens=False).ids
-        value = self[word] = np.asarray(ids, "<u4").tobytes()
-        return value
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text: str = "text",
            key: str = "doc_id") -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32; only longer documents are cut."""
-    held: list[WordIds] = []
     end = np.asarray([end_id], "<u4").tobytes()
 
     def per_batch(batch):
-        if not held:
-            held.append(WordIds(path))
+        known = word_ids(path)
         for i, t in zip(batch["k"].to_pylist(), as_texts(batch["t"])):
-            ids = held[0].of(t) + end
+            ids = ids_of(t, known) + end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 yield i, piece, at // 4, len(part) // 4, zlib.crc32(part)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: entries a worker's own cache may hold before it is emptied; a bound on memory, never on results
+#: entries a generation of a worker's cache may hold; a bound on memory, never on results
 CACHE_ENTRIES = 200_000
 #: rows a pass hands back at once
 OUT_ROWS = 2_000
@@ -57,6 +57,29 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+class Remembered(dict):
+    """Results of `make` by key, kept in two generations: what is asked for again outlives the next change.
+
+    `known`, if given, is asked before `make`.
+    """
+
+    def __init__(self, make: Callable, known: dict | None = None):
+        super().__init__()
+        self.make, self.known, self.old = make, known or {}, {}
+
+    def __missing__(self, key):
+        value = self.known.get(key)
+        if value is None:
+            value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, the same in every worker."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

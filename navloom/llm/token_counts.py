@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.texts import CACHE_ENTRIES, as_bytes, bounded_sample, rows_pass
+from navloom.llm.texts import Remembered, as_bytes, bounded_sample, rows_pass
 
 #: pre-tokens of the byte-level vocabulary files: fixed by their format
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,19 +57,11 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     return dict(zip(rows["piece"].to_pylist(), rows["length"].to_pylist()))
 
 
-class Missed(dict):
-    """Second tier: lengths of the other pre-tokens, encoded once per worker."""
-
-    def __init__(self, path: str, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.path, self.frequent = path, frequent
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-            self.update(self.frequent)
-        n = self[piece] = len(tokenizer(self.path).encode(piece, add_special_tokens=False).ids)
-        return n
+@lru_cache(1)
+def lengths_of(path: str) -> Remembered:
+    """Second tier: lengths of the other pre-tokens, encoded once and kept by the worker from task to task."""
+    lib = tokenizer(path)
+    return Remembered(lambda piece: len(lib.encode(piece, add_special_tokens=False).ids))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -85,12 +77,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     """
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     frequent = source.sparkSession.sparkContext.broadcast(frequent_lengths(source, path))
-    held: list[Missed] = []
 
     def per_batch(batch):
-        if not held:
-            held.append(Missed(path, frequent.value))
-        lengths, find = held[0].__getitem__, pre_tokens(PRE_TOKEN)
+        known = lengths_of(path)
+        known.known = frequent.value
+        lengths, find = known.__getitem__, pre_tokens(PRE_TOKEN)
         for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
             parts = data.decode().split(SPECIAL)
             n = len(parts) - 1 + sum(sum(map(lengths, find(part))) for part in parts)
