@@ -3,7 +3,7 @@ from __future__ import annotations
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from navloom.llm import token_counts
+from navloom.llm import texts, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,7 +40,7 @@ def test_empty_table(no_docs):
 
 
 def test_a_small_cache_gives_the_same(documents, monkeypatch):
-    held = token_counts.Missed(PATH, {"a": 1})
-    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 3)
+    held = texts.Remembered(lambda p: len(Tokenizer.from_file(PATH).encode(p).ids), {"a": 1})
+    monkeypatch.setattr(texts, "CACHE_ENTRIES", 3)
     assert [held[p] for p in ("a", " the", "xyzzy", " the", "qq", "a")] == [
         len(Tokenizer.from_file(PATH).encode(p).ids) for p in ("a", " the", "xyzzy", " the", "qq", "a")]
