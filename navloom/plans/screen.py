@@ -10,6 +10,7 @@ from navloom.operators import joins as J
 from navloom.operators import windows as W
 from navloom.operators.paging import order_columns, page
 from navloom.plans.registry import query
+from navloom.session import cut_lineage
 from navloom.sources import adapters as A
 
 SCREEN = {
@@ -37,9 +38,12 @@ def joined_funds(spark, d):
     )
 
 
-def latest_top(spark, d, limit=10):
-    """Newest top holdings per fund and type as one text."""
-    top = W.top_holdings(A.fund_holdings(spark, d), limit)
+def latest_top(spark, d, limit=10, codes=None):
+    """Newest top holdings per fund and type as one text, of all funds or of the given codes."""
+    holdings = A.fund_holdings(spark, d)
+    if codes is not None:
+        holdings = holdings.join(codes.select(F.col("code").alias("fund_code")).distinct(), "fund_code", "left_semi")
+    top = W.top_holdings(holdings, limit)
     return top.groupBy("fund_code", "holding_type").agg(
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_code"))),
                                      lambda s: s["asset_code"])).alias("codes"))
@@ -57,9 +61,10 @@ select code, name, type, scale, round(sharpe_3y,6) sharpe_3y, round(position_sto
 from paged left join agg on code=fund_code""")
 def fund_screen(spark, d):
     hits = joined_funds(spark, d).where(P.screen_predicate(SCREEN))
+    hits = cut_lineage(hits.select("code", "name", "type", "scale", "sharpe_3y", "position_stock"))
     total = hits.agg(F.count("*").alias("n")).scalar()
     rows = page(hits, order_columns([("sharpe_3y", "desc"), ("bad", "asc")], {"sharpe_3y", "scale"}), 1, 20)
-    stocks = latest_top(spark, d).where(F.col("holding_type") == "stock").select(
+    stocks = latest_top(spark, d, codes=rows).where(F.col("holding_type") == "stock").select(
         F.col("fund_code").alias("code"), F.col("codes").alias("top_stocks"))
     return rows.join(stocks, "code", "left").select(
         "code", "name", "type", "scale", F.round("sharpe_3y", 6).alias("sharpe_3y"),

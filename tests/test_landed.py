@@ -55,10 +55,13 @@ def test_value_scripts_in_all_three_layouts(spark):
     normal = (f'var Data_netWorthTrend = [{{"x":{a},"y":1.2,"equityReturn":null}},{{"x":{b},"y":"1.3","equityReturn":"0.5"}}];'
               f'var Data_ACWorthTrend = [[{a},1.4],[{b},"1.5"]];')
     money = f"var Data_millionCopiesIncome = [[{a},1.2],[{b},1.3]];"
-    scripts = spark.createDataFrame([("n", normal), ("m", money), ("e", "var x = 1;")], "fund_code string, payload string")
+    listed = (f'var Data_netWorthTrend = [[{a},"1.2",null,"1.7"],[{b},1.3,0.5,"none"],[{b}],7];'
+              f'var Data_ACWorthTrend = [[{b},1.6],[{a}]];')
+    scripts = spark.createDataFrame([("n", normal), ("m", money), ("e", "var x = 1;"), ("z", listed)], "fund_code string, payload string")
     got = sorted((r.fund_code, str(r.trade_date), r.nav, r.acc_nav, r.daily_return) for r in P.nav_scripts(scripts).collect())
     assert got == [("m", "2024-01-01", 1.2, None, None), ("m", "2024-01-02", 1.3, None, None),
-                   ("n", "2024-01-01", 1.2, 1.4, None), ("n", "2024-01-02", 1.3, 1.5, 0.5)]
+                   ("n", "2024-01-01", 1.2, 1.4, None), ("n", "2024-01-02", 1.3, 1.5, 0.5),
+                   ("z", "2024-01-01", 1.2, 1.7, None), ("z", "2024-01-02", 1.3, 1.6, 0.5)]
 
 
 def test_pages_map_rows_and_keep_bad_pages_apart(spark):
