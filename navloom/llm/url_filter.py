@@ -161,10 +161,13 @@ def margin(trees: list[Node]) -> Column:
 
 
 def labelled_hosts(spark) -> DataFrame:
-    """The labelled table of URLs: each word of the fixed lists in each form."""
-    rows = [(form.format(w=w, n=1000 + 37 * i), y) for y, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS))
-            for i, w in enumerate(words) for form in FORMS]
-    return spark.createDataFrame(rows, "url string, y int")
+    """The labelled table of URLs: each word of the fixed lists in each form, with a number of its own."""
+    words = [F.struct(F.lit(w).alias("w"), F.lit(y).alias("y"))
+             for y, group in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for w in group]
+    rows = spark.range(1).select(F.inline(F.array(*words))).select(
+        "w", "y", F.explode(F.array(*(F.lit(f) for f in FORMS))).alias("form"))
+    number = F.pmod(F.xxhash64("w", "form"), F.lit(50_000)).cast("string")
+    return rows.select(F.replace(F.replace("form", F.lit("{w}"), F.col("w")), F.lit("{n}"), number).alias("url"), "y")
 
 
 def judged_by_rules(urls: DataFrame, rules) -> DataFrame:
