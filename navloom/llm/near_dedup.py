@@ -114,17 +114,23 @@ def alike_sizes(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def narrow_pairs(keyed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a key, a < b; a key has at most WIDE rows, so pairs grow with the rows.
+def narrow_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key, a < b; a key has at most WIDE rows.
 
-    A key's rows become one list of at most WIDE entries, which is matched with itself.
+    rows: k, d, n, root, state (null: has no wide key, false: has one but no partner among such documents, true: may
+    have one). A key's rows become one list of at most WIDE entries, which is matched with itself.
     """
-    listed = keyed.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("l"))
+    listed = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", "n", "root", "state"))).alias("l"))
+
+    def fits(x, y):
+        no_partner = (x.state.isNotNull() & y.state.isNotNull()) & ~(x.state & y.state)
+        return ((y.n * 100 >= x.n * percent) & (x.n * 100 >= y.n * percent) & (x.root != y.root)
+                & ~F.coalesce(no_partner, F.lit(False)))
+
     pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
-        F.filter(F.slice(F.col("l"), i + 2, F.size("l")), lambda y: (y.n * 100 >= x.n * percent)
-                 & (x.n * 100 >= y.n * percent)),
+        F.filter(F.slice(F.col("l"), i + 2, F.size("l")), lambda y: fits(x, y)),
         lambda y: F.struct(x.d.alias("a"), y.d.alias("b")))))
-    return listed.select(F.inline(pairs))
+    return listed.where(F.size("l") > 1).select(F.inline(pairs))
 
 
 def near_by_signature(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -200,49 +206,54 @@ def promising(sets: DataFrame, percent: int) -> DataFrame:
 def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """(node, root) over all confirmed links between representatives (d, n, sig).
 
-    Narrow keys give all their pairs. Of the documents of wide keys those stay that share enough with any other of
-    them; keys that are narrow by then are treated as such. The documents of a key that is still wide are compared
-    with one of them, round by round, and what such stars join needs no further pairs; what is left spans several
-    components and is compared in full across them.
+    Of the documents of wide keys those stay that share enough with any other of them; keys that are narrow by then
+    are treated as such. The documents of a key that is still wide are compared with one of them, round by round;
+    what such stars join needs no further pairs. Narrow keys give all their pairs across components, and what wide
+    keys still hold in several components is compared in full across them.
     """
+    spark = reps.sparkSession
     keyed = cut_lineage(shared_keys(reps, cut_lineage(key_counts(reps))))
     narrow = keyed.where(F.col("c") <= WIDE).select("k", "d", "n")
-    wide = keyed.where(F.col("c") > WIDE).select("k", "d", "n")
+    wide = keyed.where(F.col("c") > WIDE).select("k", "chunk", "d", "n")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    states = spark.createDataFrame([], "d bigint, state boolean")
     crowded = not wide.isEmpty()
     if crowded:
         wide_sets = sets_of(docs, wide.select("d").distinct(), text, key)
-        wide = cut_lineage(wide.join(promising(wide_sets, percent), "d"))
+        good = promising(wide_sets, percent)
+        states = cut_lineage(wide_sets.select("d").join(good, "d", "left").select("d", F.col("share").isNotNull().alias("state")))
+        wide = cut_lineage(wide.join(good, "d"))
         counts = cut_lineage(wide.groupBy("k").agg(F.count("*").alias("c")))
         narrow = narrow.unionByName(wide.join(counts.where(F.col("c").between(2, WIDE)), "k").select("k", "d", "n"))
         wide = cut_lineage(wide.join(counts.where(F.col("c") > WIDE), "k").drop("c"))
-    pairs = cut_lineage(near_by_signature(cut_lineage(narrow_pairs(narrow, percent).distinct()), reps))
+        for round_ in range(STARS):
+            rows = cut_lineage(spanning(wide, roots))
+            if rows.isEmpty():
+                break
+            # first the document that shares most with others, then others at random
+            rank = F.col("share") if not round_ else F.xxhash64("d", F.lit(round_))
+            middle = cut_lineage(rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root")).alias("m")).select(
+                "k", "m.d", "m.n", "m.root").toDF("k", "m", "mn", "mr"))
+            star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & alike_sizes("n", "mn", percent))
+            star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
+            more = cut_lineage(confirmed(cut_lineage(near_by_signature(star, reps)), wide_sets, percent))
+            roots = with_more_links(roots, more)
+    rows = narrow.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").join(states, "d", "left").select(
+        "k", "d", "n", F.coalesce("root", "d").alias("root"), "state")
+    pairs = cut_lineage(near_by_signature(cut_lineage(narrow_pairs(rows, percent).distinct()), reps))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    links = cut_lineage(confirmed(pairs, sets_of(docs, ids, text, key), percent))
-    roots = components(links)
-    if not crowded or wide.isEmpty():
-        return roots
-    for round_ in range(STARS):
-        rows = cut_lineage(spanning(wide, roots))
-        if rows.isEmpty():
-            return roots
-        # first the document that shares most with others, then others at random
-        rank = F.col("share") if not round_ else F.xxhash64("d", F.lit(round_))
-        middle = cut_lineage(rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root")).alias("m")).select(
-            "k", "m.d", "m.n", "m.root").toDF("k", "m", "mn", "mr"))
-        star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & alike_sizes("n", "mn", percent))
-        star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
-        more = cut_lineage(confirmed(cut_lineage(near_by_signature(star, reps)), wide_sets, percent))
-        roots = with_more_links(roots, more)
-    rows = cut_lineage(spanning(wide, roots))
-    if rows.isEmpty():
+    more = cut_lineage(confirmed(pairs, sets_of(docs, ids, text, key), percent))
+    roots = with_more_links(roots, more)
+    rows = cut_lineage(spanning(wide, roots)) if crowded else None
+    if rows is None or rows.isEmpty():
         return roots
     return with_more_links(roots, cut_lineage(confirmed(cut_lineage(across(rows, reps, percent)), wide_sets, percent)))
 
 
 def spanning(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (k, d, n, share, root) of the keys that span several components."""
+    """Rows (k, chunk, d, n, share, root) of the keys that span several components."""
     rows = wide.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select(
-        "k", "d", "n", "share", F.coalesce("root", "d").alias("root"))
+        "k", "chunk", "d", "n", "share", F.coalesce("root", "d").alias("root"))
     several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     return rows.join(several.select("k"), "k")
 
@@ -261,14 +272,18 @@ def across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                      "d bigint, sig array<int>")
     main = rows.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(
         F.max(F.struct("c", "root"))["root"].alias("main"))
-    every = cut_lineage(rows.join(made, "d").join(main, "k").select("k", "d", "n", "root", "sig", "main"))
+    every = cut_lineage(rows.join(made, "d").join(main, "k").select("k", "chunk", "d", "n", "root", "sig", "main"))
     one = cut_lineage(every.where("root <> main")).alias("one")
     two = every.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"),
                        F.col("sig").alias("sig2")).alias("two")
     apart = F.size(F.filter(F.zip_with("sig", "sig2", lambda x, y: x != y), lambda z: z))
+    # the first chunk in which at most one symbol differs; a pair leaves through that chunk's keys only
+    chunk_of = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda c: F.size(F.filter(
+        F.zip_with(F.slice("sig", c * 4 + 1, 4), F.slice("sig2", c * 4 + 1, 4), lambda x, y: x != y),
+        lambda z: z)) <= 1), True) - 1
     return one.join(two, (F.col("one.k") == F.col("two.k")) & (F.col("root") != F.col("other"))
                     & ((F.col("other") == F.col("main")) | (F.col("d") < F.col("e")))
-                    & alike_sizes("n", "m", percent) & (apart <= DISTANCE)).select(
+                    & alike_sizes("n", "m", percent) & (apart <= DISTANCE) & (F.col("chunk") == chunk_of)).select(
         F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
 
 
