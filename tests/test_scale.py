@@ -90,3 +90,14 @@ def test_new_fields_win_but_marked_rows_stay(spark):
     new = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C")], "k string, l1 string")
     got = {r.k: (r.l1, r.em) for r in K.merge_fields(old, new, ["k"], protect="manual").collect()}
     assert got == {"1": ("A", "x"), "2": ("b", "y"), "3": ("C", None)}
+
+
+def test_an_increment_touches_its_partitions_only(spark, tmp_path):
+    path = tmp_path / "nav"
+    df = spark.createDataFrame([("a", 2023, 1.0), ("a", 2024, 2.0), ("b", 2024, 3.0)], "k string, y int, v double")
+    K.replace_all(df, str(path), ["y"])
+    before = {f.name: f.stat().st_mtime_ns for f in (path / "y=2023").iterdir()}
+    K.upsert_partitions(spark, spark.createDataFrame([("a", 2024, 9.0), ("c", 2024, 4.0)], df.schema), str(path), ["k"], "y")
+    got = sorted((r.k, r.y, r.v) for r in spark.read.schema(df.schema).parquet(str(path)).collect())
+    assert got == [("a", 2023, 1.0), ("a", 2024, 9.0), ("b", 2024, 3.0), ("c", 2024, 4.0)]
+    assert before == {f.name: f.stat().st_mtime_ns for f in (path / "y=2023").iterdir()}
