@@ -104,3 +104,12 @@ def test_plan_places_everything_once():
             for x in lengths:
                 used[x] += times
         assert dict(used) == histogram
+
+
+def test_ids_equal_the_library_s_with_a_small_cache():
+    lib = Tokenizer.from_file(PATH)
+    texts = ["Word, word. WORD! É, é. don't, 1, a1. x!! <|endoftext|>, <|ENDOFTEXT|> İ. ﬁ, ß. Σ, ... , .", "", " ", "a  b\n\nc"]
+    known = packing.WordIds(PATH, entries=3)
+    for _ in range(3):
+        for t in texts:
+            assert known.of([t]) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
