@@ -16,13 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from navloom.llm.texts import as_texts, rows_pass
+from navloom.llm.texts import Remembered, as_texts, groups, rows_pass
 from navloom.session import cut_lineage
 
 #: pieces in a block, in which ranks are counted
 BLOCK_ROWS = 20_000
-#: words a generation of a worker's cache may hold, and texts that are tokenised at once
-WORDS_HELD, TEXTS_AT_ONCE = 500_000, 200
 END_SIGNS = tuple(",.;:?!")
 
 
@@ -33,48 +31,35 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordIds:
-    """Word -> its ids as little-endian unsigned 32-bit numbers, kept by the worker from task to task.
+def ids_of_word(memo: Remembered, lib, word: str) -> bytes:
+    """A word's ids as little-endian unsigned 32-bit numbers.
 
-    The vocabulary file drops white space between words and no pre-token spans it, so a text's ids are those of its
-    words in order; words are parted at spaces and line feeds. A sign after letters is a pre-token of its own and
-    letters are lower-cased, so such words are put together from known ones. All else is left to the library. Two
-    generations bound the memory: what is asked for again outlives the next change.
+    A sign after letters (also when lower-cased) is one pre-token and letters are lower-cased, so such words are put
+    together from others. All else is left to the library. The special strings are cased.
     """
-
-    def __init__(self, path: str, entries: int = WORDS_HELD):
-        self.lib, self.entries = tokenizer(path), entries
-        self.held: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def made(self, word: str) -> bytes:
-        if "<|" not in word:  # the special strings are cased
-            if word[-1:] in END_SIGNS and word[:-1].isalpha() and word[:-1].lower().isalpha():
-                return self.one(word[:-1]) + self.one(word[-1])
-            if word.isascii() and (low := word.lower()) != word:
-                return self.one(low)
-        return array("I", self.lib.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def one(self, word: str) -> bytes:
-        value = self.held.get(word)
-        if value is None:
-            value = self.old.get(word)
-            self.held[word] = value = self.made(word) if value is None else value
-        return value
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.held) >= self.entries:
-            self.held, self.old = {}, self.held
-        parted = [t.replace("\n", " ").split(" ") for t in texts]
-        for word in set().union(*parted).difference(self.held):
-            self.one(word)
-        return [b"".join(map(self.held.__getitem__, words)) for words in parted]
+    if "<|" not in word:
+        if word[-1:] in END_SIGNS and word[:-1].isalpha() and word[:-1].lower().isalpha():
+            return memo.one(word[:-1]) + memo.one(word[-1])
+        if word.isascii() and (low := word.lower()) != word:
+            return memo.one(low)
+    return array("I", lib.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str) -> Remembered:
+    lib = tokenizer(path)
+    return Remembered(lambda memo, word: ids_of_word(memo, lib, word))
+
+
+def ids_of(texts: list[str], known: Remembered) -> list[bytes]:
+    """The ids of each text.
+
+    The vocabulary file drops white space between words and no pre-token spans it, so a text's ids are those of its
+    words in order; words are parted at spaces and line feeds.
+    """
+    parted = [t.replace("\n", " ").split(" ") for t in texts]
+    ids = known.ready(parted)
+    return [b"".join(map(ids.__getitem__, words)) for words in parted]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text: str = "text",
@@ -84,9 +69,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, te
 
     def per_batch(batch):
         keys, texts = batch["k"].to_pylist(), as_texts(batch["t"])
-        for at_doc in range(0, len(keys), TEXTS_AT_ONCE):
-            part_of = slice(at_doc, at_doc + TEXTS_AT_ONCE)
-            for i, ids in zip(keys[part_of], word_ids(path).of(texts[part_of])):
+        for part_of in groups(texts):
+            for i, ids in zip(keys[part_of], ids_of(texts[part_of], word_ids(path))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

@@ -11,7 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: entries a generation of a worker's cache may hold; a bound on memory, never on results
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
+#: texts that are looked up at once, and their characters
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 200, 2_000_000
 #: rows a pass hands back at once
 OUT_ROWS = 2_000
 #: odd multiplier of the shingle polynomial
@@ -57,28 +59,47 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-class Remembered(dict):
-    """Results of `make` by key, kept in two generations: what is asked for again outlives the next change.
+def groups(texts: list) -> Iterator[slice]:
+    """Runs of texts of bounded number and size; a longer text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= TEXTS_AT_ONCE or size + len(t) > CHARS_AT_ONCE):
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
-    `known`, if given, is asked before `make`.
+
+class Remembered:
+    """Values by key, kept by a worker from task to task in two generations that bound its memory.
+
+    What is asked for again outlives the next change of generations. `known` is asked first, `make(self, key)` last.
     """
 
-    def __init__(self, make: Callable, known: dict | None = None):
-        super().__init__()
-        self.make, self.known, self.old = make, known or {}, {}
+    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
+        self.make, self.entries = make, entries
+        self.known, self.held, self.old = {}, {}, {}
 
-    def __missing__(self, key):
-        value = self.known.get(key)
+    def one(self, key):
+        value = self.held.get(key)
         if value is None:
-            value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.old = self.copy()
-            self.clear()
-        self[key] = value
+            value = self.known.get(key)
+            if value is None:
+                value = self.old.get(key)
+            if value is None:
+                value = self.make(self, key)
+            self.held[key] = value
         return value
 
+    def ready(self, parts: list[list]) -> dict:
+        """The table of values, with every key of the parts in it."""
+        if len(self.held) >= self.entries:
+            self.held, self.old = {}, self.held
+        for key in set().union(*parts).difference(self.held):
+            self.one(key)
+        return self.held
+
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, the same in every worker."""

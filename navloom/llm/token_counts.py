@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.texts import Remembered, as_bytes, bounded_sample, rows_pass
+from navloom.llm.texts import Remembered, as_bytes, bounded_sample, groups, rows_pass
 
 #: pre-tokens of the byte-level vocabulary files: fixed by their format
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,7 +61,7 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
 def lengths_of(path: str) -> Remembered:
     """Second tier: lengths of the other pre-tokens, encoded once and kept by the worker from task to task."""
     lib = tokenizer(path)
-    return Remembered(lambda piece: len(lib.encode(piece, add_special_tokens=False).ids))
+    return Remembered(lambda _, piece: len(lib.encode(piece, add_special_tokens=False).ids))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -81,10 +81,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     def per_batch(batch):
         known = lengths_of(path)
         known.known = frequent.value
-        lengths, find = known.__getitem__, pre_tokens(PRE_TOKEN)
-        for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
-            parts = data.decode().split(SPECIAL)
-            n = len(parts) - 1 + sum(sum(map(lengths, find(part))) for part in parts)
-            yield i, len(data), n, n > limit
+        find = pre_tokens(PRE_TOKEN)
+        keys, texts = batch["k"].to_pylist(), as_bytes(batch["t"])
+        for run in groups(texts):
+            parted = [data.decode().split(SPECIAL) for data in texts[run]]
+            found = [[piece for part in parts for piece in find(part)] for parts in parted]
+            lengths = known.ready(found).__getitem__
+            for i, data, parts, pieces in zip(keys[run], texts[run], parted, found):
+                n = len(parts) - 1 + sum(map(lengths, pieces))
+                yield i, len(data), n, n > limit
 
     return rows_pass(source, per_batch, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
