@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from navloom.llm import packing
+from navloom.llm import packing, texts as texts_
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -109,7 +109,7 @@ def test_plan_places_everything_once():
 def test_ids_equal_the_library_s_with_a_small_cache():
     lib = Tokenizer.from_file(PATH)
     texts = ["Word, word. WORD! É, é. don't, 1, a1. x!! <|endoftext|>, <|ENDOFTEXT|> İ. ﬁ, ß. Σ, ... , .", "", " ", "a  b\n\nc"]
-    known = packing.WordIds(PATH, entries=3)
+    known = texts_.Remembered(lambda memo, w: packing.ids_of_word(memo, lib, w), entries=3)
     for _ in range(3):
         for t in texts:
-            assert known.of([t]) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+            assert packing.ids_of([t], known) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]

@@ -39,8 +39,9 @@ def test_empty_table(no_docs):
     assert got(no_docs) == []
 
 
-def test_a_small_cache_gives_the_same(documents, monkeypatch):
-    held = texts.Remembered(lambda p: len(Tokenizer.from_file(PATH).encode(p).ids), {"a": 1})
-    monkeypatch.setattr(texts, "CACHE_ENTRIES", 3)
-    assert [held[p] for p in ("a", " the", "xyzzy", " the", "qq", "a")] == [
-        len(Tokenizer.from_file(PATH).encode(p).ids) for p in ("a", " the", "xyzzy", " the", "qq", "a")]
+def test_a_small_cache_gives_the_same():
+    lib = Tokenizer.from_file(PATH)
+    held = texts.Remembered(lambda _, p: len(lib.encode(p).ids), entries=3)
+    held.known = {"a": 1}
+    for parts in (["a", " the"], ["xyzzy", " the"], ["qq", "a", " the", "xyzzy"], []):
+        assert [held.ready([parts])[p] for p in parts] == [len(lib.encode(p).ids) for p in parts]
