@@ -116,6 +116,8 @@ def clusters_by_rounds(vectors: DataFrame, by: list[str]) -> DataFrame:
             edges.join(hop("a"), [*by, "a"], "left").join(hop("b"), [*by, "b"], "left")
             .select(*by, F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "e").where(F.col("x") != F.col("y"))
             .groupBy(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("e").alias("e")))
+    if not merges:  # no set at all: one of two funds or more has a pair of nearest neighbours
+        return nodes.select(*by, "fund_code", F.lit(1).alias("cluster_id"))
     steps = None
     for n, m in enumerate(merges):
         one = m.select(*by, "a", "b", "h", F.lit(n).alias("round"))
