@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from navloom import constants as K
 from navloom.functions import scalars as X, stats as S
 from navloom.operators.scale import numbered
-from navloom.operators.similarity import similarity_edges
+from navloom.operators.similarity import shared_mass, similarity_edges
 from navloom.session import cut_lineage
 
+TASK_FUNDS = 2000  # a set of this many funds has a 32 MB distance matrix
+
 
 # ---- share classes ------------------------------------------------------------------------
 
@@ -57,14 +61,60 @@ def target_clusters(n):
     return F.least(F.greatest(F.floor(n / 10), F.lit(K.CLUSTER_FLOOR)), F.lit(K.CLUSTER_CEIL)).cast("int")
 
 
-def theme_clusters(vectors: DataFrame, by: list[str]) -> DataFrame:
-    """(by, fund_code, cluster_id) for every set of at least three funds, by rounds of joins.
+def merge_labels(dist: np.ndarray, k: int) -> np.ndarray:
+    """Ward groups of a distance matrix by the rounds of `clusters_by_rounds`; labels 1.. by first member.
 
-    Every round merges all reciprocal nearest neighbours at once; equal distances go to the lower pair of places.
-    One way for all sizes: about log(n) rounds, sparse, and no set in one task.
+    Every round merges all pairs that are nearest to each other, the lower place winning among equals; of all merges
+    the n - k lowest stay, by height, round and places.
+    """
+    n = len(dist)
+    d2 = np.square(dist.astype(float))
+    np.fill_diagonal(d2, np.inf)
+    size, live, merges, round_ = np.ones(n), np.ones(n, bool), [], 0
+    while live.sum() > 1:
+        nearest = d2.argmin(axis=1)
+        pairs = [(i, int(nearest[i])) for i in np.flatnonzero(live) if i < nearest[i] and nearest[nearest[i]] == i]
+        merges += [(d2[i, j], round_, int(i), j) for i, j in pairs]
+        for i, j in pairs:
+            row = ((size[i] + size) * d2[i] + (size[j] + size) * d2[j] - size * d2[i, j]) / (size[i] + size[j] + size)
+            row[[i, j]] = np.inf
+            row[~live] = np.inf
+            d2[i], d2[:, i] = row, row
+            d2[j], d2[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            live[j] = False
+        round_ += 1
+    root = np.arange(n)
+    for _, _, i, j in sorted(sorted(merges)[:n - min(max(k, 1), n)], key=lambda m: m[1]):
+        root[root == j] = i
+    return np.unique(root, return_inverse=True)[1] + 1
+
+
+def theme_clusters(vectors: DataFrame, by: list[str], task_funds: int = TASK_FUNDS) -> DataFrame:
+    """(by, fund_code, cluster_id) for every set of at least three funds.
+
+    One way for all sizes: rounds that merge all pairs nearest to each other, equal distances going to the lower
+    places. Sets of up to task_funds, whose matrix is bounded, run their rounds in one task; those of larger sets
+    are joins.
     """
     sizes = vectors.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= K.MIN_CLUSTER_FUNDS)
-    return clusters_by_rounds(vectors.join(sizes.select(*by), by), by)
+    sized = vectors.join(sizes, by)
+    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*by).schema)
+
+    def solve(key, pdf):
+        pdf = pdf.sort_values("pos")
+        sim = (K.STOCK_SIM_WEIGHT * shared_mass(list(pdf["stk"]), list(pdf["stk"]))
+               + K.INDUSTRY_SIM_WEIGHT * shared_mass(list(pdf["ind"]), list(pdf["ind"])))
+        out = pd.DataFrame({name: [key[m]] * len(pdf) for m, name in enumerate(by)})
+        out["fund_code"] = pdf["fund_code"].to_numpy()
+        out["cluster_id"] = merge_labels(np.maximum(2.0 * (1.0 - sim), 0.0), int(pdf["k"].iloc[0])).astype("int32")
+        return out
+
+    small = (
+        sized.where(F.col("_n") <= task_funds).withColumn("k", target_clusters(F.col("_n")))
+        .groupBy(*by).applyInPandas(solve, f"{key_fields}, fund_code string, cluster_id int"))
+    large = sized.where(F.col("_n") > task_funds)
+    return small if large.isEmpty() else small.unionByName(clusters_by_rounds(large.drop("_n"), by))
 
 
 def clusters_by_rounds(vectors: DataFrame, by: list[str]) -> DataFrame:

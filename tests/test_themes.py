@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from navloom.operators import similarity as M
 from navloom.operators import themes as T
@@ -63,14 +64,26 @@ def test_edges_match_dense_distance_for_any_tile(spark):
                 assert abs(got.get((i, j), 2.0) - want[i, j]) < 1e-12
 
 
-def test_clusters_match_the_definition(spark):
+@pytest.mark.parametrize("limit", [2000, 5])
+def test_clusters_match_the_definition(spark, limit):
     n = 24
     stocks, industries, v = vectors(spark, n, 2)
     want = step_ward(dense_distance(stocks, industries, n), 8)
-    got = {int(r.fund_code): r.cluster_id for r in T.theme_clusters(v, ["set"]).collect()}
+    got = {int(r.fund_code): r.cluster_id for r in T.theme_clusters(v, ["set"], task_funds=limit).collect()}
     assert [got[i] for i in range(n)] == want
 
 
+def test_both_forms_of_the_rounds_agree_on_ties():
+    """Funds in identical pairs and triples: every merge has equals."""
+    dist = np.full((9, 9), 2.0)
+    for group in ((0, 4, 8), (1, 5), (2, 6), (3, 7)):
+        for i in group:
+            for j in group:
+                dist[i, j] = 0.0
+    assert T.merge_labels(dist, 4).tolist() == [1, 2, 3, 4, 1, 2, 3, 4, 1]
+    assert T.merge_labels(np.full((4, 4), 2.0), 2).tolist() == T.merge_labels(np.full((4, 4), 2.0), 2).tolist()
+
+
 def test_sets_below_three_funds_are_left_out(spark):
     assert T.theme_clusters(vectors(spark, 2, 1)[2], ["set"]).count() == 0
 
