@@ -109,23 +109,17 @@ def stacked(sigs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sigs.to_pylist()), "<u2").reshape(-1, SYMBOLS)
 
 
-def alike_sizes(a: str, b: str, percent: int):
-    """Sets of these sizes can have the similarity."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-
 def narrow_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a key, a < b; a key has at most WIDE rows.
 
-    rows: k, d, n, root, state (null: has no wide key, false: has one but no partner among such documents, true: may
-    have one). A key's rows become one list of at most WIDE entries, which is matched with itself.
+    rows: k, d, n, root, shared (null for documents without a wide key). A key's rows become one list of at most
+    WIDE entries, which is matched with itself.
     """
-    listed = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", "n", "root", "state"))).alias("l"))
+    listed = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", "n", "root", "shared"))).alias("l"))
 
     def fits(x, y):
-        no_partner = (x.state.isNotNull() & y.state.isNotNull()) & ~(x.state & y.state)
         return ((y.n * 100 >= x.n * percent) & (x.n * 100 >= y.n * percent) & (x.root != y.root)
-                & ~F.coalesce(no_partner, F.lit(False)))
+                & (x.shared.isNull() | y.shared.isNull() | can_link(x.n, y.n, x.shared, y.shared, percent)))
 
     pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
         F.filter(F.slice(F.col("l"), i + 2, F.size("l")), lambda y: fits(x, y)),
@@ -179,11 +173,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows_pass(both.select("a", "b", "sa", "sb"), check, "a bigint, b bigint")
 
 
-def promising(sets: DataFrame, percent: int) -> DataFrame:
-    """(d, share): the documents that have at least `percent` of their shingles in common with some other of `sets`.
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(d, n, shared): how many shingles a document has, and how many of them some other of `sets` has too.
 
-    A linked document shares that many with its partner alone, so the others have no partner here, whatever
-    passage they share with thousands. A filter of fixed size holds the shingles that several sets have.
+    Two documents have at most the smaller of their shared counts in common, whatever passage they share with
+    thousands. A filter of fixed size holds the shingles that several sets have.
     """
 
     def exploded(batches):
@@ -197,16 +191,22 @@ def promising(sets: DataFrame, percent: int) -> DataFrame:
     def per_batch(batch):
         for d, one in zip(batch["d"].to_pylist(), batch["s"].to_pylist()):
             hit = wanted.value.may_hold(np.frombuffer(one, np.uint64))
-            if 100 * int(hit.sum()) >= percent * len(hit):
-                yield d, float(hit.mean())
+            yield d, len(hit), int(hit.sum())
+
+    return cut_lineage(rows_pass(sets, per_batch, "d bigint, n bigint, shared bigint"))
+
 
-    return cut_lineage(rows_pass(sets, per_batch, "d bigint, share double"))
+def can_link(n, m, shared, other, percent: int):
+    """Whether sets of n and m shingles, of which so many are shared with any others, can reach the similarity."""
+    most = F.least(shared, other)
+    return 100 * most >= percent * (n + m - most)
 
 
 def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """(node, root) over all confirmed links between representatives (d, n, sig).
 
-    Of the documents of wide keys those stay that share enough with any other of them; keys that are narrow by then
+    Of the documents of wide keys those stay that share enough with others of them, and pairs of them are made only if
+    both do; keys that are narrow by then
     are treated as such. The documents of a key that is still wide are compared with one of them, round by round;
     what such stars join needs no further pairs. Narrow keys give all their pairs across components, and what wide
     keys still hold in several components is compared in full across them.
@@ -216,13 +216,12 @@ def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int)
     narrow = keyed.where(F.col("c") <= WIDE).select("k", "d", "n")
     wide = keyed.where(F.col("c") > WIDE).select("k", "chunk", "d", "n")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    states = spark.createDataFrame([], "d bigint, state boolean")
+    shared = spark.createDataFrame([], "d bigint, shared bigint")
     crowded = not wide.isEmpty()
     if crowded:
         wide_sets = sets_of(docs, wide.select("d").distinct(), text, key)
-        good = promising(wide_sets, percent)
-        states = cut_lineage(wide_sets.select("d").join(good, "d", "left").select("d", F.col("share").isNotNull().alias("state")))
-        wide = cut_lineage(wide.join(good, "d"))
+        shared = shared_counts(wide_sets)
+        wide = cut_lineage(wide.join(shared.where(100 * F.col("shared") >= percent * F.col("n")).select("d", "shared"), "d"))
         counts = cut_lineage(wide.groupBy("k").agg(F.count("*").alias("c")))
         narrow = narrow.unionByName(wide.join(counts.where(F.col("c").between(2, WIDE)), "k").select("k", "d", "n"))
         wide = cut_lineage(wide.join(counts.where(F.col("c") > WIDE), "k").drop("c"))
@@ -231,15 +230,17 @@ def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int)
             if rows.isEmpty():
                 break
             # first the document that shares most with others, then others at random
-            rank = F.col("share") if not round_ else F.xxhash64("d", F.lit(round_))
-            middle = cut_lineage(rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root")).alias("m")).select(
-                "k", "m.d", "m.n", "m.root").toDF("k", "m", "mn", "mr"))
-            star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & alike_sizes("n", "mn", percent))
+            rank = F.col("shared") / F.col("n") if not round_ else F.xxhash64("d", F.lit(round_))
+            middle = cut_lineage(rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root", "shared")).alias("m")).select(
+                "k", "m.d", "m.n", "m.root", "m.shared").toDF("k", "m", "mn", "mr", "ms"))
+            star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & can_link(
+                F.col("n"), F.col("mn"), F.col("shared"), F.col("ms"), percent))
             star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
             more = cut_lineage(confirmed(cut_lineage(near_by_signature(star, reps)), wide_sets, percent))
             roots = with_more_links(roots, more)
-    rows = narrow.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").join(states, "d", "left").select(
-        "k", "d", "n", F.coalesce("root", "d").alias("root"), "state")
+    rows = narrow.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").join(
+        shared.select("d", "shared"), "d", "left").select(
+        "k", "d", "n", F.coalesce("root", "d").alias("root"), "shared")
     pairs = cut_lineage(near_by_signature(cut_lineage(narrow_pairs(rows, percent).distinct()), reps))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
     more = cut_lineage(confirmed(pairs, sets_of(docs, ids, text, key), percent))
@@ -251,9 +252,9 @@ def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int)
 
 
 def spanning(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (k, chunk, d, n, share, root) of the keys that span several components."""
+    """Rows (k, chunk, d, n, shared, root) of the keys that span several components."""
     rows = wide.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select(
-        "k", "chunk", "d", "n", "share", F.coalesce("root", "d").alias("root"))
+        "k", "chunk", "d", "n", "shared", F.coalesce("root", "d").alias("root"))
     several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     return rows.join(several.select("k"), "k")
 
@@ -272,10 +273,10 @@ def across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                      "d bigint, sig array<int>")
     main = rows.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(
         F.max(F.struct("c", "root"))["root"].alias("main"))
-    every = cut_lineage(rows.join(made, "d").join(main, "k").select("k", "chunk", "d", "n", "root", "sig", "main"))
+    every = cut_lineage(rows.join(made, "d").join(main, "k").select("k", "chunk", "d", "n", "shared", "root", "sig", "main"))
     one = cut_lineage(every.where("root <> main")).alias("one")
     two = every.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"),
-                       F.col("sig").alias("sig2")).alias("two")
+                       F.col("sig").alias("sig2"), F.col("shared").alias("shared2")).alias("two")
     apart = F.size(F.filter(F.zip_with("sig", "sig2", lambda x, y: x != y), lambda z: z))
     # the first chunk in which at most one symbol differs; a pair leaves through that chunk's keys only
     chunk_of = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda c: F.size(F.filter(
@@ -283,7 +284,8 @@ def across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         lambda z: z)) <= 1), True) - 1
     return one.join(two, (F.col("one.k") == F.col("two.k")) & (F.col("root") != F.col("other"))
                     & ((F.col("other") == F.col("main")) | (F.col("d") < F.col("e")))
-                    & alike_sizes("n", "m", percent) & (apart <= DISTANCE) & (F.col("chunk") == chunk_of)).select(
+                    & can_link(F.col("n"), F.col("m"), F.col("shared"), F.col("shared2"), percent)
+                    & (apart <= DISTANCE) & (F.col("chunk") == chunk_of)).select(
         F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
 
 
