@@ -25,7 +25,7 @@ from navloom.session import cut_lineage
 
 SYMBOLS, CHUNKS, DISTANCE = 80, 20, 37
 #: a key with more documents than this is not joined with itself but thinned out and linked by stars
-WIDE = 32
+WIDE = 24
 #: rounds of stars before what is left of wide keys is compared in full
 STARS = 2
 FACTORS = np.random.default_rng(8).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,7 +236,8 @@ def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int)
             star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & can_link(
                 F.col("n"), F.col("mn"), F.col("shared"), F.col("ms"), percent))
             star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
-            more = cut_lineage(confirmed(cut_lineage(near_by_signature(star, reps)), wide_sets, percent))
+            # most of a star's pairs are linked, so they go to the full sets at once
+            more = cut_lineage(confirmed(cut_lineage(star), wide_sets, percent))
             roots = with_more_links(roots, more)
     rows = narrow.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").join(
         shared.select("d", "shared"), "d", "left").select(
