@@ -9,16 +9,21 @@ from navloom.llm.membership import members
 from navloom.llm.texts import as_bytes, mixed, rows_pass, word_hashes, words
 from navloom.session import cut_lineage
 
-#: fixed masks over windows of ten words; a 0 ignores the word there, so each mask survives substitutions there
-MASKS = ("1110111011", "1101011011", "1011101101", "1110010111", "0111111010", "1111110000", "0000111111")
-SPAN = 10
 #: items with fewer words than this name nothing in particular and are not searched for
 LEAST_WORDS = 5
-SHORT = "1" * LEAST_WORDS
+#: items with fewer words than this are searched for through the short masks
+SPAN = 10
+#: Fixed masks; a 0 ignores the word there. Found by a covering search: wherever a quarter of an item's words are
+#: replaced, one mask meets only kept words at some place. That is enumerated for 10 to 19 words (5 to 9 for the short
+#: masks); a longer item is cut into such parts, one of which has no more than a quarter of its words replaced.
+MASKS = ("110111", "1101000011", "11100011", "110000001011")
+SHORT_MASKS = ("11011", "1111", "11000011", "11101", "10111")
+ALL_MASKS = MASKS + SHORT_MASKS
 #: words of documents that are hashed at once
 BLOCK_WORDS = 200_000
 #: odd factors of the places in a window
-FACTORS = np.random.default_rng(3).integers(1, 2**63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(3).integers(
+    1, 2**63, max(map(len, ALL_MASKS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bare_words(text: bytes) -> list[bytes]:
@@ -27,16 +32,17 @@ def bare_words(text: bytes) -> list[bytes]:
     return [w for w in stripped if w]
 
 
-def seeds(hashes: np.ndarray, lens: np.ndarray, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place) of every window under every mask, for texts that stand one behind the other.
+def seeds(hashes: np.ndarray, lens: np.ndarray, masks, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of every window under the masks of these numbers, for texts one behind the other.
 
     `hashes` are the words of all texts and `lens` how many each has. `keep`, if given, says which hashes are of
-    interest. The last mask is the short window of LEAST_WORDS words, for items with fewer than SPAN.
+    interest.
     """
     ends = np.cumsum(lens)
     weighted = [hashes * f for f in FACTORS]
     out = []
-    for number, mask in enumerate((*MASKS, SHORT)):
+    for number in masks:
+        mask = ALL_MASKS[number]
         n = len(hashes) - len(mask) + 1
         if n > 0:
             total = np.full(n, number + 1, np.uint64)
@@ -53,11 +59,15 @@ def seeds(hashes: np.ndarray, lens: np.ndarray, keep=None) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def masks_for(n_words: int) -> range:
+    """Numbers of the masks an item of so many words is searched for through."""
+    return range(len(MASKS)) if n_words >= SPAN else range(len(MASKS), len(ALL_MASKS))
+
+
 def item_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds that stand for an item: masked windows, or short windows if it has fewer than SPAN words."""
-    h, _, at = seeds(hashes, np.array([len(hashes)]))
-    short = len(hashes) - LEAST_WORDS + 1
-    return (h[:-short], at[:-short]) if len(hashes) >= SPAN else (h[-short:], at[-short:])
+    """(hash, place) of the seeds that stand for an item."""
+    h, _, at = seeds(hashes, np.array([len(hashes)]), masks_for(len(hashes)))
+    return h, at
 
 
 def items_of(benchmark: DataFrame, text: str, key: str) -> DataFrame:
@@ -83,15 +93,21 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     return len(same), first, end
 
 
+def laid_on(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> tuple[int, int, int]:
+    """(matches, first, end) of the shift with most matches, then the first."""
+    n, first, end = max((n, -first, end) for n, first, end in (overlap(doc, item, s) for s in set(shifts)))
+    return n, -first, end
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id",
                  item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_matches, n_words, first_word,
     end_word, similarity.
 
     An item is found where at least `percent` of its words stand in the document in its order, others being
-    replaced one for one. Words are lower-cased and bare of signs. Fixed masks hash windows of ten words, each
-    leaving out other places; test and training hashes are joined, and the words around each hit are compared.
-    Items of five to nine words are found through unbroken windows of five; shorter ones are not searched for.
+    replaced one for one. Words are lower-cased and bare of signs. Fixed masks hash windows of words, each leaving
+    out other places; test and training hashes are joined, and the words around each hit are compared. No placement
+    of replaced words escapes the masks at 75 percent or more; items under five words are not searched for.
     Null and empty texts hold nothing; equal items are reported under the smallest id; repeated rows of a document
     are one; of several places the one with most matches, then the first, is reported. Other columns are not read.
 
@@ -100,10 +116,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
     items = cut_lineage(items_of(benchmark, item_text, item_key))
     tests = items.select("item_id", F.inline(F.arrays_zip("seeds", "places"))).toDF("item_id", "h", "at")
     wanted = members(tests.select("h").distinct(), "h")
+    short, long = items.agg(*(F.coalesce(F.max(c), F.lit(False)) for c in (
+        F.length("words") < 8 * SPAN, F.length("words") >= 8 * SPAN))).first()
+    # masks no item is searched for through aren't laid on documents
+    masks = [*(masks_for(SPAN) if long else ()), *(masks_for(LEAST_WORDS) if short else ())]
 
     def hits_of(ids: list, texts: list[np.ndarray]):
         lens = np.array([len(t) for t in texts])
-        h, text, place = seeds(np.concatenate(texts), lens, wanted.value.may_hold)
+        h, text, place = seeds(np.concatenate(texts), lens, masks, wanted.value.may_hold)
         order = np.argsort(text, kind="stable")
         starts = np.flatnonzero(np.diff(text[order], prepend=-1))
         for part in np.split(order, starts[1:]) if len(order) else []:
@@ -128,20 +148,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
         docs.select(F.col(key).alias("k"), F.col(text).alias("t")), per_batch,
         "doc_id bigint, seeds array<bigint>, places array<bigint>, words binary").dropDuplicates(["doc_id"]))
     hits = found.select("doc_id", F.inline(F.arrays_zip("seeds", "places"))).toDF("doc_id", "h", "place")
-    laid = hits.join(tests, "h").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    laid = hits.join(tests, "h").groupBy("doc_id", "item_id").agg(
+        F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
     around = laid.join(found.select("doc_id", F.col("words").alias("doc")), "doc_id").join(
         items.select("item_id", F.col("words").alias("item")), "item_id")
 
     def verify(batch):
-        for d, i, shift, doc, item in zip(*(batch[c].to_pylist() for c in
-                                            ("doc_id", "item_id", "shift", "doc", "item"))):
-            item = np.frombuffer(item, np.uint64)
-            n, first, end = overlap(np.frombuffer(doc, np.uint64), item, shift)
+        for d, i, shifts, doc, item in zip(*(batch[c].to_pylist() for c in
+                                             ("doc_id", "item_id", "shifts", "doc", "item"))):
+            doc, item = np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64)
+            n, first, end = laid_on(doc, item, shifts)
             if 100 * n >= percent * len(item):
-                yield d, i, n, len(item), first, end
+                yield d, i, n, len(item), first, end, n / len(item)
 
-    best = rows_pass(around, verify, "doc_id bigint, item_id bigint, n int, n_words int, first int, end int")
-    return best.groupBy("doc_id", "item_id", "n_words").agg(
-        F.max(F.struct(F.col("n"), (-F.col("first")).alias("f"), "end")).alias("b")).select(
-        "doc_id", "item_id", F.col("b.n").alias("n_matches"), "n_words", (-F.col("b.f")).alias("first_word"),
-        F.col("b.end").alias("end_word"), (F.col("b.n") / F.col("n_words")).alias("similarity"))
+    return rows_pass(around, verify, "doc_id bigint, item_id bigint, n_matches int, n_words int, first_word int, "
+                                     "end_word int, similarity double")

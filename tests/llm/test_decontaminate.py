@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 from navloom.llm import decontaminate
 
@@ -39,3 +40,24 @@ def test_awkward_rows(session, awkward, no_docs):
     assert found == {(5, 1): 7, (9, 1): 7, (8, 6): 12}
     assert decontaminate.contaminated(no_docs, items).count() == 0
     assert decontaminate.contaminated(awkward, items.limit(0)).count() == 0
+
+
+def test_no_placement_of_replaced_words_escapes_the_seeds():
+    """All placements for 5 to 21 words. Longer items are made of parts of 10 to 19 words, one of which has at most a
+    quarter of its words replaced, so these lengths stand for all."""
+    for n in range(5, 22):
+        masks = [decontaminate.ALL_MASKS[i] for i in decontaminate.masks_for(n)]
+        laid = [sum(1 << (o + i) for i, on in enumerate(m) if on == "1") for m in masks for o in range(n - len(m) + 1)]
+        for places in combinations(range(n), n // 4):
+            gone = sum(1 << p for p in places)
+            assert any(not gone & m for m in laid), (n, places)
+
+
+def test_every_placement_is_found_in_documents(session):
+    items = drawn(5, 4, 8) + drawn(6, 3, 12)
+    docs, want = [], set()
+    for number, item in enumerate(items):
+        for places in combinations(range(len(item)), len(item) // 4):
+            want.add((len(docs), number))
+            docs.append("start " + " ".join("other" if p in places else w for p, w in enumerate(item)) + " end")
+    assert set(run(session, docs, [" ".join(i) for i in items])) == want
