@@ -36,9 +36,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item or a passage of one go."""
     ship_package(spark)
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), passages=True)
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -19,6 +19,10 @@ SPAN = 10
 MASKS = ("110111", "1101000011", "11100011", "110000001011")
 SHORT_MASKS = ("11011", "1111", "11000011", "11101", "10111")
 ALL_MASKS = MASKS + SHORT_MASKS
+#: words a passage of an item has at least, and a piece of one that is added up
+PASSAGE, PIECE = 13, 4
+#: shifts at which the pieces of an item with words put in or left out are added up
+NEAR = 5
 #: words of documents that are hashed at once
 BLOCK_WORDS = 200_000
 #: odd factors of the places in a window
@@ -99,8 +103,65 @@ def laid_on(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> tuple[int,
     return n, -first, end
 
 
+def stretch(same: np.ndarray, least: int, percent: int) -> tuple[int, int] | None:
+    """(first, end) of the longest run of at least `least` places of which `percent` are true, from true to true."""
+    ends = np.flatnonzero(same) + 1
+    if not len(ends) or len(same) < least:
+        return None
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 100, 0) - percent)])
+    low = np.minimum.accumulate(np.where(same, sums[:-1], 100 * len(same)))
+    # for every end, the first start whose sum is no higher
+    starts = np.searchsorted(-low, -sums[ends], "left")
+    longest = int((ends - starts).argmax())
+    first, end = int(starts[longest]), int(ends[longest])
+    return (first, end) if end - first >= least else None
+
+
+def pieces(same: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """The true places that lie in a window of `least` places of which `percent` are true."""
+    if len(same) < least:
+        return np.zeros(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(same)])
+    dense = np.flatnonzero(100 * (sums[least:] - sums[:-least]) >= percent * least)
+    places = np.unique((dense[:, None] + np.arange(least)).ravel())
+    return places[same[places]]
+
+
+def passage(doc: np.ndarray, item: np.ndarray, shifts: list[int], percent: int) -> tuple[int, int, int] | None:
+    """(matches, first, end) of a passage of the item in the document, none if there is none.
+
+    A passage is a stretch of at least PASSAGE places (the whole item, if it is shorter) of which `percent` agree at
+    one of the shifts, or pieces at shifts next to one of them that hold `percent` of the item's words together.
+    """
+    best = None
+    for s in sorted(set(shifts)):
+        first, end = max(s, 0), min(s + len(item), len(doc))
+        same = doc[first:end] == item[first - s:end - s]
+        run = stretch(same, min(PASSAGE, len(item)), percent)
+        if run:
+            n = int(same[run[0]:run[1]].sum())
+            best = max(best or (0, 0, 0), (n, -(first + run[0]), first + run[1]))
+    if best:
+        return best[0], -best[1], best[2]
+    held: dict[int, np.ndarray] = {}
+    for s in sorted(set(shifts)):
+        found, low, high = np.zeros(len(item), bool), len(doc), 0
+        for near in range(s - NEAR, s + NEAR + 1):
+            first, end = max(near, 0), min(near + len(item), len(doc))
+            if end - first < PIECE:
+                continue
+            if near not in held:
+                held[near] = pieces(doc[first:end] == item[first - near:end - near], PIECE, percent) + first
+            if len(held[near]):
+                found[held[near] - near] = True
+                low, high = min(low, int(held[near][0])), max(high, int(held[near][-1]) + 1)
+        if 100 * found.sum() >= percent * len(item):
+            best = max(best or (0, 0, 0), (int(found.sum()), -low, high))
+    return best and (best[0], -best[1], best[2])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id",
-                 item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+                 item_text: str = "text", item_key: str = "item_id", passages: bool = False) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_matches, n_words, first_word,
     end_word, similarity.
 
@@ -108,6 +169,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
     replaced one for one. Words are lower-cased and bare of signs. Fixed masks hash windows of words, each leaving
     out other places; test and training hashes are joined, and the words around each hit are compared. No placement
     of replaced words escapes the masks at 75 percent or more; items under five words are not searched for.
+
+    With `passages`, an item is also found where only a passage of it stands: PASSAGE running words (or the whole of
+    a shorter item) of which `percent` agree, or pieces that words put in or left out have moved by up to NEAR places
+    and that hold `percent` of the item together. Matches, first and end are then those of the passage.
+
     Null and empty texts hold nothing; equal items are reported under the smallest id; repeated rows of a document
     are one; of several places the one with most matches, then the first, is reported. Other columns are not read.
 
@@ -158,8 +224,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
                                              ("doc_id", "item_id", "shifts", "doc", "item"))):
             doc, item = np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64)
             n, first, end = laid_on(doc, item, shifts)
-            if 100 * n >= percent * len(item):
-                yield d, i, n, len(item), first, end, n / len(item)
+            if 100 * n < percent * len(item):
+                part = passage(doc, item, shifts, percent) if passages else None
+                if part is None:
+                    continue
+                n, first, end = part
+            yield d, i, n, len(item), first, end, n / len(item)
 
     return rows_pass(around, verify, "doc_id bigint, item_id bigint, n_matches int, n_words int, first_word int, "
                                      "end_word int, similarity double")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
+
 from navloom.llm import decontaminate
 
 
@@ -61,3 +63,29 @@ def test_every_placement_is_found_in_documents(session):
             want.add((len(docs), number))
             docs.append("start " + " ".join("other" if p in places else w for p, w in enumerate(item)) + " end")
     assert set(run(session, docs, [" ".join(i) for i in items])) == want
+
+
+def test_passages_and_moved_pieces_are_found_if_asked_for(session):
+    items, fill = drawn(7, 7, 59), drawn(8, 8, 40)
+    items = [items[0][:30], items[1], items[2][:20], items[3][:20], items[4][:30], items[5][:30], items[6][:8]]
+    docs = [fill[0] + items[0][:20] + fill[1], items[1][15:] + fill[2], fill[3] + items[2][:10] + ["more"] + items[2][10:],
+            fill[4] + items[3][:10] + items[3][11:] + fill[5], fill[6] + items[4][5:17] + fill[7],
+            fill[0] + [w for i, w in enumerate(items[5][:16]) if i != 5][:5] + fill[1], fill[2] + items[6][:5] + fill[3]]
+    d = session.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = session.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(d, b, passages=True).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert (got[0, 0].n_matches, got[0, 0].first_word, got[0, 0].end_word) == (20, 40, 60)
+    assert (got[2, 2].n_matches, got[2, 2].first_word, got[2, 2].end_word) == (20, 40, 61)
+    assert (got[1, 1].n_matches, got[3, 3].n_matches) == (44, 19)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == set()
+
+
+def test_longest_stretch_against_a_plain_loop():
+    draw = random.Random(9)
+    for _ in range(300):
+        same = np.array([draw.random() < 0.6 for _ in range(draw.randrange(1, 40))])
+        runs = [(j - i) for i in range(len(same)) for j in range(i + 13, len(same) + 1)
+                if same[i] and same[j - 1] and 100 * same[i:j].sum() >= 75 * (j - i)]
+        got = decontaminate.stretch(same, 13, 75)
+        assert (got[1] - got[0] if got else 0) == max(runs, default=0)
