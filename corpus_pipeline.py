@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from navloom.llm.queries import vocabulary
@@ -12,9 +12,32 @@ from navloom.session import cut_lineage, ship_package
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def kept_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id a verdict keeps, in the columns of documents."""
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds `_row`, a number of each row's own: its id, or a fresh one above all ids.
+
+    A fresh one goes to rows without an id and to all but one row of a repeated id (the longest text keeps it).
+    """
+    counts = docs.groupBy("doc_id").count()
+    odd = cut_lineage(counts.where("doc_id is null or count > 1").select(F.col("doc_id").alias("_id")))
+    if odd.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rest = cut_lineage(docs.join(odd, same, "left_semi").orderBy(
+        F.col("doc_id").asc_nulls_last(), F.desc(F.coalesce(F.char_length("text"), F.lit(0))), "text").withColumn(
+        "_place", F.monotonically_increasing_id()))
+    owners = rest.where("doc_id is not null").groupBy("doc_id").agg(F.min("_place").alias("_place"))
+    owners = owners.withColumn("_owner", F.col("doc_id")).drop("doc_id")
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    rest = rest.join(owners, "_place", "left").withColumn(
+        "_row", F.coalesce("_owner", F.greatest(F.lit(top), F.lit(0)) + 1 + F.col("_place"))).drop("_owner", "_place")
+    plain = docs.join(odd, same, "left_anti").withColumn("_row", F.col("doc_id"))
+    return cut_lineage(plain.unionByName(rest))
+
+
+def kept_documents(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of keyed documents whose number a verdict keeps, in the columns of documents."""
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +49,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     ship_package(spark)
-    return kept_documents(docs, exact_dedup.exact_groups(docs))
+    rows = keyed(docs)
+    return kept_documents(rows, exact_dedup.exact_groups(rows, key="_row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays."""
     ship_package(spark)
-    return kept_documents(docs, near_dedup.near_groups(docs))
+    rows = keyed(docs)
+    return kept_documents(rows, near_dedup.near_groups(rows, key="_row"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item or a passage of one go."""
     ship_package(spark)
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), passages=True)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), passages=True, key="_row")
+    return rows.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,7 +88,8 @@ def with_identifiers(made: DataFrame) -> DataFrame:
     # rows that hold a doubtful name are found by an equi-join; their identifiers carry the proof throughout,
     # as do those of every row that could equal them, since equal recipes hold the same names
     held = made.select("doc_id", F.explode("names").alias("h")).join(doubtful, "h", "left_semi").select("doc_id")
-    marked = made.join(held.distinct().withColumn("_held", F.lit(True)), "doc_id", "left")
+    held = held.distinct().select(F.col("doc_id").alias("_id"), F.lit(True).alias("_held"))
+    marked = made.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     return marked.withColumn("recipe", F.when(
         F.col("_held"), F.concat(plain, F.array(F.hex("proofs")))).otherwise(plain)).drop("_held")
 
@@ -97,9 +98,10 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal when they are after deleting the white space characters space and \\x09 to \\x0D. The row with
-    the most code points, then the smallest id, stays. Null is empty; all empty texts are one group (an empty
-    recipe). Repeated rows count each in group_size and share the verdict of their id; an empty table gives no
-    rows; other columns are not read, so their names can't clash.
+    the most code points, then the smallest id, stays; rows without an id only if their group has no others. Null is
+    empty; all empty texts are one group (an empty recipe). Repeated rows count each in group_size and share the
+    verdict of their id, as rows without an id do; an empty table gives no rows; other columns are not read, so their
+    names can't clash.
 
     Ordered identifier lists are grouped, with partial aggregates before the shuffle, so a group with a third of
     all rows is a few partial rows per task; the way back is an equi-join that adaptive execution may split.
@@ -107,12 +109,12 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     made = cut_lineage(recipes(docs, text, key))
     made = with_identifiers(made)
     groups = made.groupBy("recipe").agg(
-        F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("d"))).alias("first"),
+        F.min(F.struct(F.col("doc_id").isNull(), (-F.col("points")).alias("p"), F.col("doc_id").alias("d"))).alias("first"),
         F.count("*").alias("group_size"))
     groups = cut_lineage(groups.where("group_size > 1").select(
         F.col("recipe"), F.col("first.d").alias("keep_id"), "group_size"))
     out = made.join(groups, "recipe", "left").select(
-        "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), "text_sha256",
         F.size("names").alias("n_chunks"))
     return out.select(

@@ -66,3 +66,10 @@ def test_names_that_clash_are_told_apart_by_their_proofs(session):
         "doc_id long, points long, text_sha256 string, names array<long>, proofs binary")
     sizes = exact_dedup.with_identifiers(made).groupBy("recipe").agg(F.sort_array(F.collect_list("doc_id")).alias("d"))
     assert sorted(r.d for r in sizes.collect()) == [[1, 3], [2], [4]]
+
+
+def test_rows_without_an_id_come_last(session):
+    df = session.createDataFrame([(None, "a  b"), (4, "a b"), (3, "ab"), (None, "c"), (None, "c")], "doc_id long, text string")
+    rows = exact_dedup.exact_groups(df).collect()
+    assert [(r.doc_id, r.keep_id, r.kept) for r in sorted(rows, key=lambda r: (r.group_size, r.doc_id or 0))] == [
+        (None, None, True), (None, None, True), (None, 4, False), (3, 4, False), (4, 4, True)]

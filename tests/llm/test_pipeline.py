@@ -52,3 +52,35 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
+
+
+def test_one_row_of_each_group_stays_with_repeated_and_missing_ids(session, sf_dir):
+    import corpus_pipeline
+
+    item = session.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w30 ", "other ")
+    rows = [(1, "same batch"), (1, "same batch"), (1, "same batch"), (2, "same batch"), (None, "no id"), (None, "no id"),
+            (None, "no id either"), (5, "tied text"), (None, "tied text"), (7, "one text"), (7, "another text"),
+            (None, long), (9, near), (None, f"start {item} end")]
+    docs = session.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                   "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    exact = corpus_pipeline.exact_stage(session, docs, sf_dir)
+    want = sorted([(1, "same batch"), (None, "no id"), (None, "no id either"), (5, "tied text"), (7, "one text"),
+                   (7, "another text"), (None, long), (9, near), (None, f"start {item} end")], key=str)
+    assert got(exact) == want
+    want.remove((None, long))
+    close = corpus_pipeline.near_stage(session, exact, sf_dir)
+    assert got(close) == want
+    # a batch delivered twice that the exact stage has not seen
+    assert got(corpus_pipeline.near_stage(session, docs.unionByName(docs), sf_dir)) == want
+    want.remove((None, f"start {item} end"))
+    assert got(corpus_pipeline.benchmark_stage(session, close, sf_dir)) == want
+
+
+def test_exact_stage_keeps_one_awkward_row_of_each_text(session, awkward, sf_dir):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.exact_stage(session, awkward.select(corpus_pipeline.COLUMNS), sf_dir)
+    assert sorted(r.doc_id for r in rows.collect()) == [2, 3, 4, 5, 6, 7, 8, 100]
