@@ -97,14 +97,12 @@ BY = ["set"]
 
 
 def brand_scenario(spark, d):
-    """Clusters of the brand funds by their 20 largest holdings of the newest quarter, with scores and vectors."""
-    from pyspark.sql import Window  # noqa: F401
-
+    """Clusters of the brand funds by all their holdings of the newest quarter, with scores and vectors."""
     held = A.brand_holdings(spark, d).withColumn("set", F.lit("all"))
     newest = held.groupBy("set").agg(F.max("quarter").alias("quarter"))
-    top = W.top_holdings(held.join(newest, ["set", "quarter"], "left_semi"), 20, newest_only=False, by=["fund_code"])
+    held = cut_lineage(held.join(newest, ["set", "quarter"], "left_semi"))
     industry = A.stock_industry(spark, d)
-    stocks, industries, _ = O.profiles(top, industry, BY)
+    stocks, industries, _ = O.profiles(held, industry, BY)
     clusters = cut_lineage(T.theme_clusters(M.fund_vectors(stocks, industries, BY), BY))
     funds = A.brand_funds(spark, d)
     stats = S.return_stats(A.nav_weekly(spark, d), ["fund_code"], "observed_sample")
@@ -113,8 +111,8 @@ def brand_scenario(spark, d):
         (F.col("annual_return") / F.abs("max_drawdown")).alias("risk_return_ratio_3y"), "scale", "establish_date")
     scores = T.composite_scores(metrics, BY, "2001-11-05")
     members = cut_lineage(T.assemble(clusters, T.top_industries(industries, clusters, BY), scores, BY))
-    vectors = O.with_industry(top, industry).groupBy("fund_code", "label").agg(F.sum("hold_ratio").alias("ratio"))
-    return members, vectors, top, industry
+    vectors = O.with_industry(held, industry).groupBy("fund_code", "label").agg(F.sum("hold_ratio").alias("ratio"))
+    return members, vectors, held, industry
 
 
 def caps(spark, d):
@@ -123,9 +121,9 @@ def caps(spark, d):
 
 
 def chosen_funds(spark, d):
-    members, vectors, top, industry = brand_scenario(spark, d)
+    members, vectors, held, industry = brand_scenario(spark, d)
     cands = P.candidates(members, vectors, caps(spark, d), BY)
-    return cut_lineage(P.choose_funds(cands, BY)), top, industry
+    return cut_lineage(P.choose_funds(cands, BY)), held, industry
 
 
 @query("choose_funds", "C2 C3 G2")
@@ -136,16 +134,16 @@ def choose_funds(spark, d):
 @query("position_advice", "C7 X21 A40")
 def position_advice(spark, d):
     """Chosen funds with tags, the curve's figures and look-through totals, for every cap."""
-    chosen, top, industry = chosen_funds(spark, d)
+    chosen, held, industry = chosen_funds(spark, d)
     key = [*BY, "cap"]
     series = A.nav_weekly(spark, d)
     items = P.advice(chosen, last_factors(spark, d), BY)
     curve = L.portfolio_curve(chosen.select(*key, "fund_code", "weight"), series, key)
     stats = S.return_stats(curve, key, "observed_sample").select(*key, "annual_return", "annual_vol", "sharpe", "max_drawdown")
-    holdings = top.select("fund_code", "asset_code", "asset_name", "hold_ratio")
+    holdings = held.select("fund_code", "asset_code", "asset_name", "hold_ratio")
     _, industries, summary = O.look_through(chosen.select(*key, "fund_code", "weight"), holdings, industry, key)
     share = O.max_industry_share(industries, key)
-    fresh = P.freshness(series, top, chosen.select(*key, "fund_code"), key)
+    fresh = P.freshness(series, held, chosen.select(*key, "fund_code"), key)
     return items.select(*key, "cluster_id", "fund_code", "cluster_rank", "weight", "base_weight", "total", "deviation", "tag", "reason") \
         .join(stats, key, "left").join(summary, key, "left").join(share, key, "left").join(fresh, key, "left")
 

@@ -89,3 +89,23 @@ def test_walk_forward_equals_the_loop(spark):
     assert got.keys() == want.keys()
     for day, pair in want.items():
         assert got[day] == pytest.approx(pair, rel=1e-9)
+
+
+def test_choice_is_made_on_all_holdings_of_the_newest_quarter(spark):
+    from navloom.plans import position
+    from navloom.sources import adapters
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = adapters.brand_holdings(spark, sf_dir).collect()
+    quarter = max(r.quarter for r in rows)
+    want = {(r.fund_code, r.asset_code) for r in rows if r.quarter == quarter}
+    _, vectors, held, _ = position.brand_scenario(spark, sf_dir)
+    assert {(r.fund_code, r.asset_code) for r in held.collect()} == want
+    shares = {}
+    for r in rows:
+        if r.quarter == quarter:
+            shares[r.fund_code] = shares.get(r.fund_code, 0.0) + r.hold_ratio
+    got = {r.fund_code: r.s for r in vectors.groupBy("fund_code").agg({"ratio": "sum"}).toDF("fund_code", "s").collect()}
+    assert got == pytest.approx(shares)
+    per_fund = [sum(f == fund for f, _ in want) for fund in {f for f, _ in want}]
+    assert max(per_fund) > 20
