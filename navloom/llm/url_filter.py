@@ -16,19 +16,24 @@ from navloom.session import cut_lineage
 #: (verdict, host/path) rules; the longest that fits wins
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
          ("block", "net/fr/"))
-#: labelled rows the trees are fitted on, suffixes with a statistic of their own, bins of a feature
-SAMPLE, SUFFIXES, BINS = 20_000, 1_000, 12
+#: labelled rows the trees are fitted on, bins of a feature
+SAMPLE, BINS = 20_000, 12
 TREES, DEPTH, RATE, RIDGE = 10, 3, 0.4, 1.0
-#: Words in host names of sites to block, and of sites to allow; they make the labelled table.
-BLOCK_WORDS = ("adult", "ads", "bets", "betting", "casino", "cheap", "clickbait", "escort", "free-download", "gamble",
-               "loan", "lottery", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "viagra",
-               "warez", "win", "xxx")
-ALLOW_WORDS = ("academy", "archive", "books", "city", "city-library", "daily", "garden", "health", "history", "journal",
-               "kitchen", "library", "museum", "music", "news", "nature", "open-data", "research", "school", "science",
-               "travel", "university", "weather", "wiki")
-FORMS = ("https://{w}.example.org/en/{n}", "https://www.{w}-x.example.net/{n}", "http://blog.{w}.example.com/de/{n}/",
-         "https://m.{w}.example.org/{n}.html", "https://{w}-site.example.net/en/{n}?utm_source=feed",
-         "http://www.{w}.example.org/fr/{n}?page=2&ref=x")
+#: Fixed values that make the labelled table. The words stand in hosts of both kinds, so none tells the label; the
+#: forms to block and to allow differ in hyphens, digits, depth and parameters, not in suffixes.
+WORDS = ("academy", "adult", "ads", "archive", "bets", "betting", "books", "casino", "cheap", "city", "city-library",
+         "clickbait", "daily", "escort", "free-download", "gamble", "garden", "health", "history", "journal", "kitchen",
+         "library", "loan", "lottery", "museum", "music", "nature", "news", "open-data", "pills", "poker", "porn",
+         "replica", "research", "school", "science", "sex", "slots", "spam", "track", "travel", "university", "viagra",
+         "warez", "weather", "wiki", "win", "xxx")
+BLOCK_FORMS = ("https://{w}-{v}.example.org/en/{n}", "http://{w}-{v}-{n}.example.net/{n}",
+               "https://www.{w}{n}.example.com/{n}?id={n}&ref={n}&aff={n}",
+               "http://{n}.{w}.{v}.example.net/a/{n}/b/{n}/{w}/{n}.html",
+               "https://best-{w}-online.example.org/fr/{n}?utm_source=x&sid={n}",
+               "http://{w}{v}{n}.example.com/go/{n}?u={n}&k={n}")
+ALLOW_FORMS = ("https://{w}.example.org/en/{n}", "https://www.{w}.example.net/{n}",
+               "http://blog.{w}.example.com/de/{n}/", "https://m.{w}.example.org/{n}.html",
+               "https://{w}.example.net/en/{n}?page=2", "http://www.{w}.example.com/fr/about/{n}")
 
 
 def parted(url: str) -> tuple[Column, Column]:
@@ -62,28 +67,26 @@ def lexical(urls: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     n = F.char_length(url)
     digits = F.char_length(F.regexp_replace(url, "[^0-9]", ""))
-    listed = F.array(*(F.col("host").contains(w).cast("int") for w in BLOCK_WORDS))
     columns = [
         n, F.char_length("host"), F.char_length("path"), F.size(F.split("host", r"\.")),
         F.char_length(F.regexp_replace("path", "[^/]", "")), digits / F.greatest(n, F.lit(1)),
         F.coalesce(entropy("host"), F.lit(0.0)), F.char_length(F.regexp_replace(url, "[^&?=]", "")),
         F.char_length(F.regexp_replace("host", "[^-]", "")), F.char_length(F.regexp_replace("host", "[^0-9]", "")),
-        F.aggregate(listed, F.lit(0), lambda a, b: a + b), F.coalesce("suffix_blocked", F.lit(0.5)),
+        F.coalesce("suffix_blocked", F.lit(0.5)),
         F.coalesce("suffix_count", F.lit(0.0))]
     return urls.withColumns({f"f{i}": c.cast("double") for i, c in enumerate(columns)})
 
 
-N_FEATURES = 13
+N_FEATURES = 12
 
 
 def suffix_statistics(judged: DataFrame) -> DataFrame:
-    """(suffix, suffix_blocked, suffix_count) over all rows, for the SUFFIXES most frequent last labels of a host.
+    """(suffix, suffix_blocked, suffix_count) over all rows, for every last label of a host.
 
     The blocked share is that of the rows a rule blocks, with one blocked and one other row added.
     """
     return judged.groupBy("suffix").agg(
-        F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("b")).orderBy(
-        F.desc("n"), "suffix").limit(SUFFIXES).select(
+        F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("b")).select(
         "suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_blocked"),
         F.log2(F.col("n") + 1.0).alias("suffix_count"))
 
@@ -160,14 +163,17 @@ def margin(trees: list[Node]) -> Column:
     return sum((t.column() for t in trees), F.lit(0.0))
 
 
-def labelled_hosts(spark) -> DataFrame:
-    """The labelled table of URLs: each word of the fixed lists in each form, with a number of its own."""
-    words = [F.struct(F.lit(w).alias("w"), F.lit(y).alias("y"))
-             for y, group in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for w in group]
-    rows = spark.range(1).select(F.inline(F.array(*words))).select(
-        "w", "y", F.explode(F.array(*(F.lit(f) for f in FORMS))).alias("form"))
-    number = F.pmod(F.xxhash64("w", "form"), F.lit(50_000)).cast("string")
-    return rows.select(F.replace(F.replace("form", F.lit("{w}"), F.col("w")), F.lit("{n}"), number).alias("url"), "y")
+def labelled_hosts(spark, words=WORDS) -> DataFrame:
+    """The labelled table of URLs: each word in each form, with another of the words and a number of its own."""
+    pairs = [F.struct(F.lit(w).alias("w"), F.lit(words[(i + 7) % len(words)]).alias("v")) for i, w in enumerate(words)]
+    forms = [F.struct(F.lit(f).alias("form"), F.lit(y).alias("y"))
+             for y, group in ((1, BLOCK_FORMS), (0, ALLOW_FORMS)) for f in group]
+    rows = spark.range(1).select(F.inline(F.array(*pairs))).select("w", "v", F.inline(F.array(*forms)))
+    url = F.col("form")
+    for sign, value in (("{w}", F.col("w")), ("{v}", F.col("v")),
+                        ("{n}", F.pmod(F.xxhash64("w", "form"), F.lit(50_000)).cast("string"))):
+        url = F.replace(url, F.lit(sign), value)
+    return rows.select(url.alias("url"), "y")
 
 
 def judged_by_rules(urls: DataFrame, rules) -> DataFrame:
@@ -183,14 +189,14 @@ def verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, s
     """One row per page: page_id, host, path, rule, verdict (allow or block), score.
 
     A rule fits its host and all subdomains if the path starts with its own; the longest wins, and its text is in
-    `rule`. Where none fits, boosted trees on length, depth, digit ratio, entropy, parameter counts, listed words
+    `rule`. Where none fits, boosted trees on length, depth, digit ratio, entropy, parameter counts, signs
     and suffix statistics (over all pages) decide: block from a score of 1/2. They learn from about `sample` rows of
     `labelled` (url, y: 1 to block), by default the fixed table. Rules are no examples: they judge a few sections
     of a suffix, so all examples of a suffix might be blocked. Null URLs and such without `://` have an empty host
     and path and are judged by the trees. Repeated rows repeat; an empty table gives no rows.
     """
     judged = judged_by_rules(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url")), rules)
-    suffixes = F.broadcast(cut_lineage(suffix_statistics(judged)))  # at most SUFFIXES rows
+    suffixes = cut_lineage(suffix_statistics(judged))
     examples = labelled_hosts(pages.sparkSession) if labelled is None else bounded_sample(
         labelled.select("url", "y"), "url", sample)
     known = cut_lineage(lexical(judged_by_rules(examples, ()).join(suffixes, "suffix", "left")))
