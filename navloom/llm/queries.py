@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from navloom.llm import (decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, personal_data,
-                         quality, token_counts, url_filter)
+                         quality, resampling, token_counts, url_filter)
 from navloom.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,45 @@ def op9_personal_data(spark, sf_dir):
 @query()
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(r"""
+with steps as (  -- the 256 steps of crc32
+  select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i:
+    case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as step),
+w as (
+  select doc_id, false as target, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as l from documents
+  union all
+  select item_id, true, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+f as (select doc_id, target, unnest(l) as word from w),
+bytes as (
+  select word, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::bigint) as b
+  from (select distinct word, hex(encode(word)) as x from f)),
+buckets as (
+  select word, xor(list_reduce(list_concat([4294967295], b), lambda c, y: xor(step[(xor(c, y) & 255) + 1], c >> 8)),
+                   4294967295) % 10000 as bucket
+  from bytes, steps),
+counts as (
+  select bucket, count(*) filter (not target) as s, count(*) filter (target) as t from f join buckets using (word)
+  group by bucket),
+gain as (
+  select bucket, floor(1000 * ln(((t + 1) * (sum(s) over () + 10000))::double
+                                 / ((s + 1) * (sum(t) over () + 10000))::double))::bigint as gain
+  from counts),
+d as (select f.doc_id, sum(gain) as weight from f join buckets using (word) join gain using (bucket)
+      where not target group by f.doc_id),
+scored as (
+  select w.doc_id, len(w.l)::bigint as n_features, coalesce(d.weight, 0)::bigint as weight,
+         (coalesce(d.weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from w left join d using (doc_id) where not w.target),
+drawn as (
+  select doc_id, row_number() over (order by score desc, doc_id) as k, count(*) over () as n
+  from scored where n_features >= 20)
+select scored.*, case when k <= n * 10 // 100 then k end as rank from scored left join drawn using (doc_id)""")
+def op11_resampling(spark, sf_dir):
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
