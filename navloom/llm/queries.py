@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navloom.llm import (decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, personal_data,
-                         quality, resampling, token_counts, url_filter)
+from navloom.llm import (decontaminate, exact_dedup, html_text, language_id, near_dedup, neighbours, packing,
+                         personal_data, quality, resampling, token_counts, url_filter)
 from navloom.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,8 @@ drawn as (
 select scored.*, case when k <= n * 10 // 100 then k end as rank from scored left join drawn using (doc_id)""")
 def op11_resampling(spark, sf_dir):
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_nearest(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
