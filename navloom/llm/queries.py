@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navloom.llm import (decontaminate, exact_dedup, html_text, language_id, near_dedup, neighbours, packing,
-                         personal_data, quality, resampling, token_counts, url_filter)
+from navloom.llm import (alignment, decontaminate, exact_dedup, html_text, language_id, near_dedup, neighbours,
+                         packing, personal_data, quality, resampling, token_counts, url_filter)
 from navloom.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,9 @@ def op11_resampling(spark, sf_dir):
 @query()
 def op12_nearest(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_alignment(spark, sf_dir):
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                               vocabulary("piece_bpe_32k.model"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: entries a generation of a worker's cache may hold; a bound on memory, never on results
-CACHE_ENTRIES = 500_000
+#: entries and characters a generation of a worker's cache may hold; a bound on memory, never on results
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 8_000_000
 #: texts that are looked up at once, and their characters
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 200, 2_000_000
 #: rows a pass hands back at once
@@ -80,6 +80,7 @@ class Remembered:
     def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
         self.make, self.entries = make, entries
         self.known, self.held, self.old = {}, {}, {}
+        self.chars = 0
 
     def one(self, key):
         value = self.held.get(key)
@@ -90,12 +91,14 @@ class Remembered:
             if value is None:
                 value = self.make(self, key)
             self.held[key] = value
+            self.chars += len(key)
         return value
 
     def ready(self, parts: list[list]) -> dict:
         """The table of values, with every key of the parts in it."""
-        if len(self.held) >= self.entries:
-            self.held, self.old = {}, self.held
+        if len(self.held) >= self.entries or self.chars >= CACHE_CHARS:
+            self.held, self.old = {}, self.held if self.chars < 2 * CACHE_CHARS else {}
+            self.chars = 0
         for key in set().union(*parts).difference(self.held):
             self.one(key)
         return self.held
