@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.crf import best_paths, fitted
+from navloom.llm.crf import Chain, best_paths, fitted
 from navloom.llm.texts import as_texts, rows_pass
 
 #: Element names by the way HTML treats them.
@@ -26,6 +26,9 @@ CLOSED_BY = {"p": BLOCK - {"button", "option", "optgroup", "noscript", "td", "th
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "p": {"table", "button", "td", "th", "body"}, "option": {"select"}, "head": set()}
 
+#: elements that say nothing about what they hold
+PLAIN = {"html", "body", "p", "b", "i", "span", "em", "strong", "div", "a"}
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -33,13 +36,44 @@ ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: elements that a start tag of the key closes, and those that end the search for one
+CLOSES = {name: {k for k, by in CLOSED_BY.items() if name in by} for name in BLOCK}
+STOPS = {name: set().union(*(WALLS[k] for k in CLOSES[name])) for name in BLOCK}
+
+
+class Around:
+    """The names of the open elements and of their classes, counted, so that a block reads them without a walk.
+
+    `known` (None: all) bounds the names that are kept; the others only count as being there.
+    """
+
+    def __init__(self, known: tuple[set, set] | None):
+        self.known, self.tags, self.names = known, {}, {}
+        self.named, self.seen = 0, None
+
+    def change(self, tag: str, parts: tuple, by: int) -> None:
+        self.seen = None
+        self.named += by * len(parts)
+        for held, keys, kept in ((self.tags, (tag,), 0), (self.names, parts, 1)):
+            for key in keys:
+                if self.known is None or key in self.known[kept]:
+                    held[key] = held.get(key, 0) + by
+                    if not held[key]:
+                        del held[key]
+
+    def now(self) -> tuple[list[str], list[str], bool]:
+        if self.seen is None:
+            self.seen = sorted(self.tags), sorted(self.names), self.named > 0
+        return self.seen
+
+
 class Block:
-    """A leaf block: its text, the part of it in links, and the names of the elements around it."""
+    """A leaf block: its text, the part of it in links, its parent block, and the names of the elements around it."""
 
-    __slots__ = ("parts", "linked", "around")
+    __slots__ = ("parts", "linked", "parent", "around")
 
-    def __init__(self, around: tuple):
-        self.parts, self.linked, self.around = [], 0, around
+    def __init__(self, parent: str, around: tuple):
+        self.parts, self.linked, self.parent, self.around = [], 0, parent, around
 
     @property
     def text(self) -> str:
@@ -60,19 +94,26 @@ def name_parts(attributes: str) -> list[str]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Text between two block tags is one block; inline tags and comments don't part it."""
+def blocks(page: str, known: tuple[set, set] | None = None) -> list[Block]:
+    """Leaf blocks in page order. Text between two block tags is one block; inline tags and comments don't part it.
+
+    Open elements are found by the places of their names in the stack, so the time is linear in the page.
+    """
     stack: list[tuple[str, tuple]] = []
+    places: dict[str, list[int]] = {}
+    parents: list[int] = []  # places of block elements
+    around = Around(known)
     out: list[Block] = []
     here: Block | None = None
     at, links = 0, 0
+    last = page.rfind(">") + 1  # no tag ends after it
 
     def text(raw: str) -> None:
         nonlocal here
         if here is None:
             if not raw.strip():
                 return
-            here = Block(tuple(stack))
+            here = Block(stack[parents[-1]][0] if parents else "-", around.now())
             out.append(here)
         plain = html.unescape(raw) if "&" in raw else raw
         here.parts.append(plain)
@@ -81,15 +122,25 @@ def blocks(page: str) -> list[Block]:
 
     def close(index: int) -> None:
         nonlocal links
-        links -= sum(name == "a" for name, _ in stack[index:])
-        del stack[index:]
-
-    while m := TAG.search(page, at):
+        while len(stack) > index:
+            name, parts = stack.pop()
+            places[name].pop()
+            if name in BLOCK:
+                parents.pop()
+            links -= name == "a"
+            around.change(name, parts, -1)
+
+    def highest(names: set) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    while m := TAG.search(page, at, last):
         if m.start() > at:
             text(page[at:m.start()])
         at = m.end()
         end, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         name = name.lower()
         if name in BLOCK:
@@ -97,28 +148,26 @@ def blocks(page: str) -> list[Block]:
         elif name == "br" and here is not None:
             here.parts.append(" ")
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK and (name not in BLOCK or name == "p"):
-                    break
-            continue
-        for i in range(len(stack) - 1, -1, -1):
-            open_name = stack[i][0]
-            if open_name in CLOSED_BY and name in CLOSED_BY[open_name]:
+            i = highest({name})
+            if i >= 0 and (name in BLOCK and name != "p" or not parents or parents[-1] <= i):
                 close(i)
-                break
-            if any(open_name in WALLS[k] for k, by in CLOSED_BY.items() if name in by) or name not in BLOCK:
-                break
+            continue
+        if name in BLOCK and (i := highest(CLOSES[name])) >= 0 and i >= highest(STOPS[name]):
+            close(i)
         if name in RAW:
-            closing = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = closing.end() if closing else len(page)
+            closing = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            at = page.find(">", closing.end()) + 1 if closing else 0
+            at = at or len(page)
         elif name not in VOID:
-            stack.append((name, tuple(name_parts(attributes)) if "=" in attributes or "hidden" in attributes else ()))
+            parts = tuple(name_parts(attributes)) if "=" in attributes or "hidden" in attributes else ()
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                parents.append(len(stack))
+            stack.append((name, parts))
             links += name == "a"
+            around.change(name, parts, 1)
     if at < len(page):
-        text(page[at:])
+        text(page[at:].split("<!--")[0])
     return [b for b in out if b.text]
 
 
@@ -127,18 +176,22 @@ def features(page_blocks: list[Block]) -> list[list[str]]:
     out = []
     for b in page_blocks:
         text = b.text
-        tags = [name for name, _ in b.around]
-        names = {p for _, parts in b.around for p in parts}
-        f = ["bias", f"parent={next((t for t in reversed(tags) if t in BLOCK), '-')}",
+        tags, names, named = b.around
+        f = ["bias", f"parent={b.parent}",
              f"links={min(4, 4 * b.linked // max(len(text), 1))}", f"long={len(text) > 200}",
              f"ends={text[-1] if text[-1] in '.!?:|' else 'a' if text[-1].isalnum() else '-'}"]
-        f += [f"in={t}" for t in set(tags) - {"html", "body", "p", "b", "i", "span", "em", "strong", "div", "a"}]
+        f += [f"in={t}" for t in tags if t not in PLAIN]
         f += [f"name={p}" for p in names]
-        f += [f"named={bool(names)}", f"alone={len(page_blocks) == 1}"]
+        f += [f"named={named}", f"alone={len(page_blocks) == 1}"]
         out.append(f)
     return out
 
 
+def known_names(chain: Chain) -> tuple[set, set]:
+    """Names of elements and of classes that the field has weights for."""
+    return tuple({f.split("=", 1)[1] for f in chain.index if f.startswith(start)} for start in ("in=", "name="))
+
+
 #: Layouts of the labelled pages. {m} is a paragraph of the main text, {t} its heading, {b} other text,
 #: {s} a short other text; what stands in them is drawn.
 LAYOUTS = (
@@ -254,9 +307,10 @@ def main_texts(pages: DataFrame, html_column: str = "html", key: str = "page_id"
     chain = pages.sparkSession.sparkContext.broadcast(fitted(labelled(), LABELS))
 
     def per_batch(batch):
+        known = known_names(chain.value)
         ids, urls, texts = batch["k"].to_pylist(), batch["u"].to_pylist(), as_texts(batch["t"])
         for i in range(0, len(ids), 200):
-            found = [blocks(t) for t in texts[i:i + 200]]
+            found = [blocks(t, known) for t in texts[i:i + 200]]
             paths = best_paths([chain.value.emissions(features(b)) for b in found], chain.value.move)
             for k, u, b, path in zip(ids[i:i + 200], urls[i:i + 200], found, paths):
                 text = " ".join(x.text for x, y in zip(b, path) if y == 1)

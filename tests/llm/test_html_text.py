@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -67,3 +68,36 @@ def test_awkward_pages(session):
     by = {r.page_id: r.text for r in got if r.page_id != 4}
     assert by[1] == by[2] == by[6] == "" and by[7] == "<b> é"
     assert html_text.main_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>x", "<p", "<span>x", "<ul><li>x", "<a href=x>x", "<!--", "<b>x</p>", "< ", '<a "',
+                                  "<table><tr><td>x", "<div class=c%d>x", "<script>x</script ", "<p>x", "</div>x"])
+def test_many_or_open_tags_take_seconds(chain, page):
+    whole = "".join(page.replace("%d", str(i)) for i in range(100_000))
+    known = html_text.known_names(chain)
+    start = time.process_time()
+    found = html_text.blocks(whole, known)
+    crf.best_paths([chain.emissions(html_text.features(found))], chain.move)
+    assert time.process_time() - start < 30
+
+
+def test_elements_that_close_each_other():
+    def got(page):
+        return [(b.text, b.parent, b.around[0]) for b in html_text.blocks(page)]
+
+    assert got("<ul><li>a<ul><li>b</ul>c<li>d</ul>") == [
+        ("a", "li", ["li", "ul"]), ("b", "li", ["li", "ul"]), ("c", "li", ["li", "ul"]), ("d", "li", ["li", "ul"])]
+    assert got("<p>a<div>b</p>c</div>d") == [
+        ("a", "p", ["p"]), ("b", "div", ["div"]), ("c", "div", ["div"]), ("d", "-", [])]
+    assert got("<table><tr><td>a<table><tr><td>b</table>c<td>d") == [
+        (x, "td", ["table", "td", "tr"]) for x in "abcd"]
+    assert got("<div><span>a</div>b") == [("a", "div", ["div", "span"]), ("b", "-", [])]
+    assert got("a<!-- <p>b") == [("a", "-", [])] and got("a<!-- b") == [("a", "-", [])]
+
+
+def test_names_the_field_does_not_know_only_count(chain):
+    known = html_text.known_names(chain)
+    page = "<div class='zzz content'><p class=qqq>a</p></div>"
+    all_names, few = (html_text.features(html_text.blocks(page, k))[0] for k in (None, known))
+    assert "name=zzz" in all_names and "name=zzz" not in few and {"name=content", "named=True"} <= set(few)
+    assert (chain.emissions([all_names]) == chain.emissions([few])).all()
