@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from navloom.functions import scalars as X
 from navloom.operators.windows import top_holdings
+from navloom.operators.timeline import visible_totals
 from navloom.session import cut_lineage
 
 
@@ -111,8 +112,11 @@ def available_quarters(holdings: DataFrame) -> DataFrame:
         F.reverse(F.array_sort(F.collect_set("quarter"))).alias("quarters"))
 
 
-def style_drift(holdings: DataFrame, by: list[str] = ("fund_code",)) -> DataFrame:
-    """Mean distance of adjacent quarters: sum|a-b| / sum(a+b), from shared assets and totals."""
+def quarter_distances(holdings: DataFrame, by: list[str] = ("fund_code",)) -> DataFrame:
+    """Distance of every quarter to the one before: sum|a-b| / sum(a+b), from shared assets and totals.
+
+    One row (by, quarter, distance) for each quarter that has an earlier one.
+    """
     by = list(by)
     now = cut_lineage(holdings.groupBy(*by, "quarter", "asset_code").agg(F.sum("hold_ratio").alias("a")))
     totals = now.groupBy(*by, "quarter").agg(F.sum("a").alias("total"))
@@ -125,8 +129,23 @@ def style_drift(holdings: DataFrame, by: list[str] = ("fund_code",)) -> DataFram
     )
     den = F.col("total") + F.col("next_total")
     pairs = totals.where(den > 0).join(shared, [*by, "quarter"], "left")
-    dist = (den - 2 * F.coalesce("common", F.lit(0.0))) / den
-    return pairs.groupBy(*by).agg(F.avg(dist).alias("drift"))
+    return pairs.select(*by, F.col("next").alias("quarter"),
+                        ((den - 2 * F.coalesce("common", F.lit(0.0))) / den).alias("distance"))
+
+
+def style_drift(holdings: DataFrame, by: list[str] = ("fund_code",)) -> DataFrame:
+    """Mean distance of adjacent quarters."""
+    return quarter_distances(holdings, by).groupBy(*by).agg(F.avg("distance").alias("drift"))
+
+
+def drift_at(holdings: DataFrame, dates: DataFrame) -> DataFrame:
+    """Mean distance of the adjacent quarters visible at each date: (as_of, fund_code, drift).
+
+    Two quarters are compared once, whatever the dates; a date takes the running mean at the last quarter it sees.
+    """
+    pairs = quarter_distances(holdings).select("fund_code", "quarter", "distance", F.lit(1).alias("n"))
+    seen = visible_totals(pairs, dates, ["fund_code"], ["distance", "n"])
+    return seen.select("as_of", "fund_code", (F.col("distance") / F.col("n")).alias("drift"))
 
 
 def quarter_profile(holdings: DataFrame, industry: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from navloom.functions import scalars as X
+from navloom.operators.timeline import date_list, visible_from
 
 
 # ---- as-of -----------------------------------------------------------------------------
@@ -123,12 +124,12 @@ def resolve_quarter(dates: DataFrame, quarters: DataFrame, as_of: str = "as_of")
 
 
 def disclosed_cut(holdings: DataFrame, dates: DataFrame, as_of: str = "as_of") -> DataFrame:
-    """Holdings visible at each decision date: quarter not after the last disclosed one.
+    """Holdings visible at each decision date, row by row: quarter not after the last disclosed one.
 
-    Each date is spread over the quarters it may see, which makes the join an equi-join.
+    The quarters that the holdings have meet the dates first, so all of them are found, however old. What only needs
+    sums over visible quarters takes `timeline.visible_totals`, whose rows don't grow with the dates.
     """
-    last = F.trunc(F.date_sub(F.trunc(F.date_sub(F.col(as_of), 44), "quarter"), 1), "quarter")
-    starts = F.sequence(F.lit("1970-01-01").cast("date"), last, F.expr("interval 3 months"))
-    seen = dates.select(as_of).distinct().select(
-        as_of, F.explode(F.transform(starts, X.quarter_of)).alias("quarter"))
+    quarters = holdings.select("quarter").distinct().withColumn("_dates", date_list(dates, as_of))
+    seen = quarters.withColumn("_from", visible_from("quarter")).select(
+        "quarter", F.explode(F.filter("_dates", lambda d: d >= F.col("_from"))).alias(as_of))
     return holdings.join(seen, "quarter")

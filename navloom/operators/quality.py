@@ -12,10 +12,10 @@ from pyspark.sql.window import Window
 from navloom import constants as K
 from navloom.functions import stats as S
 from navloom.operators import holdings as O
-from navloom.operators.joins import disclosed_cut
 from navloom.operators.ledger import portfolio_curve
 from navloom.operators.similarity import tiled
 from navloom.operators.themes import best_share
+from navloom.operators.timeline import date_list, day_at, days_upto, series_index
 from navloom.operators.windows import tenure_at
 from navloom.session import cut_lineage
 
@@ -82,26 +82,42 @@ def _residual_vectors(z: pd.Series, dirs: pd.Series, scale: pd.Series) -> pd.Dat
 def score(funds: DataFrame, nav: DataFrame, holdings: DataFrame, dates: DataFrame, run_date: str, p: QualityParams) -> DataFrame:
     """Scored pool per decision date, share classes reduced to one.
 
-    funds: fund_code, name, company, tenure_days (on the run date). The rolling Sharpe of a day
-    does not depend on the decision date, so it is computed once and aggregated per date.
+    funds: fund_code, name, company, tenure_days (on the run date). The rolling Sharpe of a day and the sums up to it
+    don't depend on the decision date, nor does the distance of two quarters: they are computed once, and a date reads
+    them from a fund's index.
     """
     w = Window.partitionBy("fund_code").orderBy("trade_date")
-    frame = w.rowsBetween(-(p.roll - 1), 0)
+    frame, upto = w.rowsBetween(-(p.roll - 1), 0), w.rowsBetween(Window.unboundedPreceding, 0)
     rows = S.simple_returns(nav, ["fund_code"]).withColumn("_s", F.stddev_pop("ret").over(frame))
-    rows = rows.withColumn("_sharpe", F.when(
+    rows = rows.withColumn("sh", F.when(
         (F.count("ret").over(frame) == p.roll) & (F.col("_s") > 0),
         F.avg("ret").over(frame) / F.col("_s") * F.sqrt(F.lit(252.0))))
     r, loss = F.col("ret"), F.when(F.col("ret") < 0, F.col("ret"))
-    down = F.sqrt(F.avg(loss * loss))
-    enough = (F.count("*") >= p.roll + 20) & (F.count("_sharpe") >= 10)
-    per_date = _at_dates(rows.select("fund_code", "trade_date", "ret", "_sharpe"), dates).groupBy("as_of", "fund_code").agg(
-        F.count("*").alias("days"), F.when(enough, F.median("_sharpe")).alias("sharpe_med"),
-        F.when(enough, F.stddev_pop("_sharpe")).alias("sharpe_std"),
-        F.when((F.count(loss) >= 5) & (down > 0), F.avg(r) / down * F.sqrt(F.lit(252.0))).alias("sortino"))
-    gated = per_date.where(F.col("days") >= p.min_nav_days).join(funds, "fund_code").withColumn(
+    # sums up to each day, so that a date needs one day's row
+    rows = rows.select(
+        "fund_code", "trade_date", "nav", "sh", F.stddev_pop("sh").over(upto).alias("sd"), F.avg(r).over(upto).alias("mean"),
+        F.count(loss).over(upto).alias("losses"), F.sqrt(F.avg(loss * loss).over(upto)).alias("down"))
+    index = series_index(rows, ["fund_code"], "nav", carry=("sh", "sd", "mean", "losses", "down"))
+
+    def read(x):
+        day, n = day_at(x["n"]), x["n"]
+        ordered = F.array_sort(F.filter(F.transform(F.slice("days", 1, n), lambda y: y["sh"]), lambda y: y.isNotNull()))
+        return F.struct(x["as_of"].alias("as_of"), n.cast("bigint").alias("days"), ordered.alias("ordered"), day.alias("day"))
+
+    places = F.transform("_dates", lambda d: F.struct(d.alias("as_of"), days_upto(d).alias("n")))
+    found = index.withColumn("_dates", date_list(dates)).withColumn("_x", F.filter(places, lambda x: x["n"] >= p.min_nav_days))
+    found = found.select("fund_code", F.inline(F.transform("_x", read)))
+    count = F.size("ordered")
+    middle = 0.5 * F.get("ordered", F.floor((count - 1) / 2).cast("int")) + 0.5 * F.get("ordered", F.floor(count / 2).cast("int"))
+    enough = (F.col("days") >= p.roll + 20) & (count >= 10)
+    per_date = found.select(
+        "as_of", "fund_code", "days", F.when(enough, middle).alias("sharpe_med"), F.when(enough, F.col("day.sd")).alias("sharpe_std"),
+        F.when((F.col("day.losses") >= 5) & (F.col("day.down") > 0),
+               F.col("day.mean") / F.col("day.down") * F.sqrt(F.lit(252.0))).alias("sortino"))
+    gated = per_date.join(funds, "fund_code").withColumn(
         "tenure_days", tenure_at(F.col("tenure_days"), F.lit(run_date).cast("date"), F.col("as_of"))
     ).where(F.col("tenure_days") >= p.min_tenure_days)
-    drift = O.style_drift(disclosed_cut(holdings, dates), ["as_of", "fund_code"])
+    drift = O.drift_at(holdings, dates)
     scorable = cut_lineage(gated.where(F.col("sharpe_med").isNotNull()).join(drift, ["as_of", "fund_code"], "left"))
     z = S.robust_z(scorable, ["as_of"], list(K.QUALITY_WEIGHTS), floor=1e-12)
     z = z.withColumn("quality", S.weighted_z(K.QUALITY_WEIGHTS)).drop(*[f"z_{c}" for c in K.QUALITY_WEIGHTS])

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from navloom import constants as K
 from navloom.functions import scalars as X
+from navloom.operators.timeline import date_list, day_at, days_upto, series_index
 
 
 def latest(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -125,16 +126,25 @@ def momentum_to_first(prices: DataFrame, by: list[str], price: str = "price") ->
 
 
 def ytd_return(nav: DataFrame, dates: DataFrame, value: str = "value") -> DataFrame:
-    """Percent from the last point of the year before to the last point of the year, per (as_of, fund)."""
-    year = F.year("as_of")
-    near = nav.withColumn("_y", F.explode(F.array(F.year("trade_date"), F.year("trade_date") + 1)))
-    rows = near.join(dates.withColumn("_y", year), "_y").where(F.col("trade_date") <= F.col("as_of"))
-    old, new = F.year("trade_date") < F.col("_y"), F.year("trade_date") == F.col("_y")
-    pick = lambda ok: F.max_by(F.when(ok, F.col(value)), F.when(ok, F.col("trade_date")))
-    base, last = pick(old), pick(new)
-    first = F.min_by(F.when(new, F.col(value)), F.when(new, F.col("trade_date")))
-    return rows.groupBy("as_of", "fund_code").agg(
-        F.when(base > 0, (last / base - 1) * 100).alias("ytd_from_year_end"),
+    """Percent from the last point of the year before to the last point of the year, per (as_of, fund).
+
+    Read from the months' index of each fund; dates are not joined with values.
+    """
+    found = series_index(nav.where(F.col(value).isNotNull()), ["fund_code"], value)
+
+    def read(x):
+        start = F.trunc(x["as_of"], "year")
+        base, here = day_at(x["old"]), x["hi"] > x["old"]
+        return F.struct(
+            x["as_of"].alias("as_of"), F.when(base["d"] >= F.add_months(start, -12), base["p"]).alias("base"),
+            F.when(here, day_at(x["old"] + 1)["p"]).alias("first"), F.when(here, day_at(x["hi"])["p"]).alias("last"))
+
+    places = F.transform("_dates", lambda d: F.struct(
+        d.alias("as_of"), days_upto(d).alias("hi"), days_upto(F.date_sub(F.trunc(d, "year"), 1)).alias("old")))
+    rows = found.withColumn("_dates", date_list(dates)).withColumn("_x", places).select("fund_code", F.inline(F.transform("_x", read)))
+    base, first, last = F.col("base"), F.col("first"), F.col("last")
+    return rows.where(base.isNotNull() | last.isNotNull()).select(
+        "as_of", "fund_code", F.when(base > 0, (last / base - 1) * 100).alias("ytd_from_year_end"),
         F.when(first > 0, (last / first - 1) * 100).alias("ytd_from_first_point"))
 
 

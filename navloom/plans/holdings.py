@@ -219,10 +219,12 @@ with d as (select distinct cast(date_trunc('quarter', o_orderdate) as date)+59 a
    where e+45<=as_of)) cutoff from d)
 select as_of, count(*) as n, max(quarter) as newest, round(sum(hold_ratio),4) ratio from c join fund_holdings on quarter<=cutoff group by 1""")
 def disclosed_holdings(spark, d):
+    from navloom.operators.timeline import visible_totals
     from navloom.plans.nav import quarter_days
 
-    rows = J.disclosed_cut(A.fund_holdings(spark, d), quarter_days(spark, d))
-    return rows.groupBy("as_of").agg(F.count("*").alias("n"), F.max("quarter").alias("newest"), F.round(F.sum("hold_ratio"), 4).alias("ratio"))
+    totals = A.fund_holdings(spark, d).groupBy("quarter").agg(F.count("*").alias("n"), F.sum("hold_ratio").alias("ratio"))
+    seen = visible_totals(totals, quarter_days(spark, d), [], ["n", "ratio"])
+    return seen.select("as_of", "n", "newest", F.round("ratio", 4).alias("ratio"))
 
 
 @query("resolve_quarter", "J23 X15", "holdings_overlap", """
