@@ -64,6 +64,26 @@ def test_edges_match_dense_distance_for_any_tile(spark):
                 assert abs(got.get((i, j), 2.0) - want[i, j]) < 1e-12
 
 
+@pytest.mark.parametrize("dense", [0.0, float("inf")])
+@pytest.mark.parametrize("least", [0.0, 0.05, 0.3, 0.6, 1.0])
+def test_pairs_that_reach_a_similarity(spark, dense, least):
+    """Tiles and inverted lists give the same pairs and sums, whatever the threshold."""
+    stocks, industries, v = vectors(spark, 40, 5)
+    want = dense_distance(stocks, industries, 40)
+    pairs = {(i, j): want[i, j] for i in range(40) for j in range(i + 1, 40)}
+    got = {(int(r.i), int(r.j)): r.dist for r in M.similarity_edges(v, ["set"], least=least, dense=dense).collect()}
+    hits = {p for p, dist in pairs.items() if 1 - dist / 2 >= (least or 1e-15)}
+    assert got.keys() == hits and all(abs(got[p] - pairs[p]) < 1e-12 for p in got)
+
+
+def test_long_lists_are_matched_in_blocks(spark):
+    _, _, v = vectors(spark, 40, 6)
+    _, lists = M.postings(v, ["set"])
+    rows = lambda most: sorted((r.a, r.b, round(r.stock, 9), round(r.industry, 9)) for r in M.partial_sums(lists, most).collect())
+    whole = rows(10_000)
+    assert len(whole) > 100 and rows(3) == whole and rows(1) == whole
+
+
 @pytest.mark.parametrize("limit", [2000, 5])
 def test_clusters_match_the_definition(spark, limit):
     n = 24
