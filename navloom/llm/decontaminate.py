@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.membership import members
+from navloom.llm.membership import written_with
 from navloom.llm.texts import as_bytes, mixed, rows_pass, word_hashes, words
 from navloom.session import cut_lineage
 
-#: items with fewer words than this name nothing in particular and are not searched for
+#: items with fewer words than this are searched for as whole sequences
 LEAST_WORDS = 5
 #: items with fewer words than this are searched for through the short masks
 SPAN = 10
@@ -18,7 +18,9 @@ SPAN = 10
 #: masks); a longer item is cut into such parts, one of which has no more than a quarter of its words replaced.
 MASKS = ("110111", "1101000011", "11100011", "110000001011")
 SHORT_MASKS = ("11011", "1111", "11000011", "11101", "10111")
-ALL_MASKS = MASKS + SHORT_MASKS
+#: masks of items under five words: every word counts
+WHOLE_MASKS = tuple("1" * n for n in range(1, LEAST_WORDS))
+ALL_MASKS = MASKS + SHORT_MASKS + WHOLE_MASKS
 #: words a passage of an item has at least, and a piece of one that is added up
 PASSAGE, PIECE = 13, 4
 #: shifts at which the pieces of an item with words put in or left out are added up
@@ -30,6 +32,11 @@ FACTORS = np.random.default_rng(3).integers(
     1, 2**63, max(map(len, ALL_MASKS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: the result's columns
+FOUND = "doc_id bigint, item_id bigint, n_matches int, n_words int, first_word int, end_word int, similarity double"
+FOUND_NAMES = [field.split()[0] for field in FOUND.split(", ")]
+
+
 def bare_words(text: bytes) -> list[bytes]:
     """Words without the ASCII signs around them; words of signs only are dropped."""
     stripped = (w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in words(text))
@@ -65,7 +72,9 @@ def seeds(hashes: np.ndarray, lens: np.ndarray, masks, keep=None) -> tuple[np.nd
 
 def masks_for(n_words: int) -> range:
     """Numbers of the masks an item of so many words is searched for through."""
-    return range(len(MASKS)) if n_words >= SPAN else range(len(MASKS), len(ALL_MASKS))
+    if n_words < LEAST_WORDS:
+        return range(len(ALL_MASKS) - LEAST_WORDS + n_words, len(ALL_MASKS) - LEAST_WORDS + n_words + 1)
+    return range(len(MASKS)) if n_words >= SPAN else range(len(MASKS), len(MASKS + SHORT_MASKS))
 
 
 def item_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +84,12 @@ def item_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def items_of(benchmark: DataFrame, text: str, key: str) -> DataFrame:
-    """(item_id, seeds, places, words) of the items with at least LEAST_WORDS words; equal items keep one row."""
+    """(item_id, seeds, places, words) of the items with words; equal items keep one row."""
 
     def per_batch(batch):
         for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
             hashes = word_hashes(bare_words(data))
-            if len(hashes) >= LEAST_WORDS:
+            if len(hashes):
                 h, at = item_seeds(hashes)
                 yield i, h.view(np.int64).tolist(), at.tolist(), hashes.tobytes()
 
@@ -161,33 +170,36 @@ def passage(doc: np.ndarray, item: np.ndarray, shifts: list[int], percent: int)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id",
-                 item_text: str = "text", item_key: str = "item_id", passages: bool = False) -> DataFrame:
+                 item_text: str = "text", item_key: str = "item_id", passages: bool = True) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_matches, n_words, first_word,
     end_word, similarity.
 
     An item is found where at least `percent` of its words stand in the document in its order, others being
-    replaced one for one. Words are lower-cased and bare of signs. Fixed masks hash windows of words, each leaving
-    out other places; test and training hashes are joined, and the words around each hit are compared. No placement
-    of replaced words escapes the masks at 75 percent or more; items under five words are not searched for.
+    replaced one for one; an item under five words, where it stands as a whole. Words are lower-cased and bare of
+    signs. Fixed masks hash windows of words, each leaving out other places; test and training hashes are joined, and
+    the words around each hit are compared. No placement of replaced words escapes the masks at 75 percent or more.
 
     With `passages`, an item is also found where only a passage of it stands: PASSAGE running words (or the whole of
     a shorter item) of which `percent` agree, or pieces that words put in or left out have moved by up to NEAR places
     and that hold `percent` of the item together. Matches, first and end are then those of the passage.
 
-    Null and empty texts hold nothing; equal items are reported under the smallest id; repeated rows of a document
-    are one; of several places the one with most matches, then the first, is reported. Other columns are not read.
+    Null and empty texts hold nothing; equal items are reported under the smallest id; rows of one id are one document,
+    whose best place is reported, and each row without an id is a document of its own; of several places the one with
+    most matches, then the first, is reported. Other columns are not read.
 
     Only documents with a hash that a filter of fixed size may hold leave their task, as word hashes.
     """
     items = cut_lineage(items_of(benchmark, item_text, item_key))
     tests = items.select("item_id", F.inline(F.arrays_zip("seeds", "places"))).toDF("item_id", "h", "at")
-    wanted = members(tests.select("h").distinct(), "h")
-    short, long = items.agg(*(F.coalesce(F.max(c), F.lit(False)) for c in (
-        F.length("words") < 8 * SPAN, F.length("words") >= 8 * SPAN))).first()
     # masks no item is searched for through aren't laid on documents
-    masks = [*(masks_for(SPAN) if long else ()), *(masks_for(LEAST_WORDS) if short else ())]
-
-    def hits_of(ids: list, texts: list[np.ndarray]):
+    lengths = [r["n"] for r in items.select(
+        F.least(F.length("words") / 8, F.lit(SPAN)).cast("int").alias("n")).distinct().collect()]
+    masks = sorted({m for n in lengths for m in masks_for(n)})
+    if not masks:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    least = min(len(ALL_MASKS[m]) for m in masks)
+
+    def hits_of(wanted, ids: list, texts: list[np.ndarray]):
         lens = np.array([len(t) for t in texts])
         h, text, place = seeds(np.concatenate(texts), lens, masks, wanted.value.may_hold)
         order = np.argsort(text, kind="stable")
@@ -196,32 +208,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
             t = int(text[part[0]])
             yield ids[t], h[part].view(np.int64).tolist(), place[part].tolist(), texts[t].tobytes()
 
-    def per_batch(batch):
-        ids, texts, n = [], [], 0
-        for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
-            hashes = word_hashes(bare_words(data))
-            if len(hashes) >= LEAST_WORDS:
-                ids.append(i)
-                texts.append(hashes)
-                n += len(hashes)
-            if n >= BLOCK_WORDS:
-                yield from hits_of(ids, texts)
-                ids, texts, n = [], [], 0
-        if texts:
-            yield from hits_of(ids, texts)
-
-    found = cut_lineage(rows_pass(
-        docs.select(F.col(key).alias("k"), F.col(text).alias("t")), per_batch,
-        "doc_id bigint, seeds array<bigint>, places array<bigint>, words binary").dropDuplicates(["doc_id"]))
-    hits = found.select("doc_id", F.inline(F.arrays_zip("seeds", "places"))).toDF("doc_id", "h", "place")
-    laid = hits.join(tests, "h").groupBy("doc_id", "item_id").agg(
+    def made(wanted):
+        def per_batch(batch):
+            ids, texts, n = [], [], 0
+            for i, data in zip(batch["k"].to_pylist(), as_bytes(batch["t"])):
+                hashes = word_hashes(bare_words(data))
+                if len(hashes) >= least:
+                    ids.append(i)
+                    texts.append(hashes)
+                    n += len(hashes)
+                if n >= BLOCK_WORDS:
+                    yield from hits_of(wanted, ids, texts)
+                    ids, texts, n = [], [], 0
+            if texts:
+                yield from hits_of(wanted, ids, texts)
+
+        return rows_pass(
+            docs.select(F.col(key).alias("k"), F.col(text).alias("t")), per_batch,
+            "doc_id bigint, seeds array<bigint>, places array<bigint>, words binary").withColumn(
+            "row", F.monotonically_increasing_id())
+
+    found = written_with(tests.select("h").distinct(), "h", made)
+    hits = found.select("row", F.inline(F.arrays_zip("seeds", "places"))).toDF("row", "h", "place")
+    laid = hits.join(tests, "h").groupBy("row", "item_id").agg(
         F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
-    around = laid.join(found.select("doc_id", F.col("words").alias("doc")), "doc_id").join(
+    around = laid.join(found.select("row", "doc_id", F.col("words").alias("doc")), "row").join(
         items.select("item_id", F.col("words").alias("item")), "item_id")
 
     def verify(batch):
-        for d, i, shifts, doc, item in zip(*(batch[c].to_pylist() for c in
-                                             ("doc_id", "item_id", "shifts", "doc", "item"))):
+        for r, d, i, shifts, doc, item in zip(*(batch[c].to_pylist() for c in
+                                                ("row", "doc_id", "item_id", "shifts", "doc", "item"))):
             doc, item = np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64)
             n, first, end = laid_on(doc, item, shifts)
             if 100 * n < percent * len(item):
@@ -229,7 +245,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text:
                 if part is None:
                     continue
                 n, first, end = part
-            yield d, i, n, len(item), first, end, n / len(item)
+            yield r, d, i, n, len(item), first, end, n / len(item)
 
-    return rows_pass(around, verify, "doc_id bigint, item_id bigint, n_matches int, n_words int, first_word int, "
-                                     "end_word int, similarity double")
+    rows = rows_pass(around, verify, f"row bigint, {FOUND}")
+    document = F.when(F.col("doc_id").isNull(), F.col("row"))
+    best = F.struct(F.col("n_matches").alias("m"), (-F.col("first_word")).alias("p"), *FOUND_NAMES[2:])
+    return rows.groupBy("doc_id", document.alias("row"), "item_id").agg(F.max(best).alias("best")).select(
+        "doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in FOUND_NAMES[2:]])

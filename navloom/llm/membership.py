@@ -6,9 +6,13 @@ that would drop them anyway: when it fills up, more rows go to the join and resu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from navloom.session import cut_lineage
+
 #: 2**26 bits are 8 MB
 BITS, WORDS = 1 << 26, 1 << 20
 #: a key's bit places are these shifts of its 64 bits
@@ -45,3 +49,11 @@ def members(keys: DataFrame, column: str):
     bits = np.zeros(WORDS, np.uint64)
     bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(Members(bits))
+
+
+def written_with(keys: DataFrame, column: str, make: Callable[[object], DataFrame]) -> DataFrame:
+    """The written rows of `make(filter of the keys)`; the filter is let go once they are."""
+    wanted = members(keys, column)
+    rows = cut_lineage(make(wanted))
+    wanted.destroy()
+    return rows

@@ -64,22 +64,51 @@ with w as (
       '[\x20\x09-\x0D]+'),
     lambda x: regexp_replace(regexp_replace(x, '^[!-/:-@\[-`{-~]+', ''), '[!-/:-@\[-`{-~]+$', '')), lambda x: x <> '')
   from benchmark),
-u as (select id, item, l, len(l) as n, unnest(range(len(l))) as p from w where len(l) >= 5),
+u as (select id, item, l, len(l) as n, unnest(range(len(l))) as p from w),
 v as (select id, item, n, p, l[p + 1] as a, l[p + 2] as b from u),
-laid as (
+laid as (  -- a word pair in common, or the only word of an item
   select distinct d.id as doc_id, i.id as item_id, d.p - i.p as shift
-  from v d join v i on d.a = i.a and d.b = i.b and d.b is not null and not d.item and i.item),
-m as (
-  select laid.doc_id, laid.item_id, i.n as n_words, laid.shift, count(*) as n_matches, any_value(d.n) as doc_words
+  from v d join v i on d.a = i.a and (d.b = i.b or i.n = 1) and not d.item and i.item),
+hit as (  -- the words that agree, place by place
+  select laid.doc_id, laid.item_id, i.n as n_words, d.n as doc_words, laid.shift, d.p
   from laid join v i on i.item and i.id = laid.item_id
-  join v d on not d.item and d.id = laid.doc_id and d.p = i.p + laid.shift and d.a = i.a
-  group by all having 100 * count(*) >= 75 * i.n),
-r as (select *, row_number() over (partition by doc_id, item_id
-        order by n_matches desc, greatest(shift, 0)) as k from m)
-select doc_id, item_id, n_matches::int as n_matches, n_words::int as n_words,
-       greatest(shift, 0)::int as first_word, least(shift + n_words, doc_words)::int as end_word,
-       n_matches / n_words as similarity
-from r where k = 1""")
+  join v d on not d.item and d.id = laid.doc_id and d.p = i.p + laid.shift and d.a = i.a),
+whole as (
+  select doc_id, item_id, n_words, count(*) as n, greatest(shift, 0) as first_word, least(shift + n_words, any_value(doc_words)) as end_word
+  from hit group by doc_id, item_id, n_words, shift
+  having count(*) * 100 >= n_words * case when n_words < 5 then 100 else 75 end),
+placed as (  -- longer items that aren't there as a whole
+  select *, row_number() over (partition by doc_id, item_id, shift order by p) as r
+  from hit anti join whole using (doc_id, item_id) where n_words >= 5),
+stretches as (
+  select x.doc_id, x.item_id, x.n_words, x.shift, y.r - x.r + 1 as n, x.p as first_word, y.p + 1 as end_word
+  from placed x join placed y using (doc_id, item_id, shift)
+  where y.p - x.p + 1 >= least(13, x.n_words) and 100 * (y.r - x.r + 1) >= 75 * (y.p - x.p + 1)),
+stretch as (
+  select * from stretches
+  qualify row_number() over (partition by doc_id, item_id, shift order by end_word - first_word desc, end_word) = 1),
+open as (select * from placed anti join stretch using (doc_id, item_id)),
+windows as (  -- four places of which three agree
+  select doc_id, item_id, shift, t from (
+    select distinct doc_id, item_id, shift, n_words, doc_words, p, unnest(range(p - 3, p + 1)) as t from open)
+  where t >= greatest(shift, 0) and t + 4 <= least(shift + n_words, doc_words)
+  group by doc_id, item_id, shift, t having count(*) >= 3),
+piece as (
+  select distinct o.doc_id, o.item_id, o.n_words, o.shift, o.p
+  from open o join windows s using (doc_id, item_id, shift) where o.p between s.t and s.t + 3),
+moved as (
+  select c.doc_id, c.item_id, p.n_words, count(distinct p.p - p.shift) as n, min(p.p) as first_word, max(p.p) + 1 as end_word
+  from (select distinct doc_id, item_id, shift from piece) c
+  join piece p on p.doc_id = c.doc_id and p.item_id = c.item_id and p.shift between c.shift - 5 and c.shift + 5
+  group by c.doc_id, c.item_id, p.n_words, c.shift having 100 * count(distinct p.p - p.shift) >= 75 * p.n_words),
+every as (
+  select doc_id, item_id, n_words, n, first_word, end_word from whole
+  union all select doc_id, item_id, n_words, n, first_word, end_word from stretch
+  union all select doc_id, item_id, n_words, n, first_word, end_word from moved)
+select doc_id, item_id, n::int as n_matches, n_words::int as n_words, first_word::int as first_word,
+       end_word::int as end_word, n / n_words as similarity
+from every
+qualify row_number() over (partition by doc_id, item_id order by n desc, first_word, end_word desc) = 1""")
 def op3_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
