@@ -47,6 +47,18 @@ def parse_nav_scripts(spark, d):
     return P.nav_scripts(nav_scripts(spark, d)).select("fund_code", "trade_date", *f32("nav", "acc_nav", "daily_return"))
 
 
+@query("landed_nav_files", "S3 X13", "nav_daily", f"""
+select fund_code, trade_date, {sql32('nav')} nav, case when cast(fund_code as int)%5<>0 then {sql32('acc_nav')} end acc_nav from nav_daily""")
+def landed_nav_files(spark, d):
+    """The scripts landed as one file per fund, read back as a stream of files and parsed batch by batch."""
+    folder = f"{ensure_checkpoint_dir(spark)}/landed/{uuid.uuid4().hex}"
+    nav_scripts(spark, d).write.partitionBy("fund_code").text(f"{folder}/in")
+    stream = P.payload_files(spark, f"{folder}/in", streaming=True)
+    P.nav_scripts(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/ck").trigger(
+        availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("fund_code", "trade_date", *f32("nav", "acc_nav"))
+
+
 def nav_pages(spark, d):
     """JSON pages per fund and year; every seventh fund answers with an error, every eleventh with no data."""
     row = F.struct(TEXT("trade_date").alias("FSRQ"), TEXT("nav").alias("DWJZ"), TEXT("acc_nav").alias("LJJZ"), F.lit("--").alias("JZZZL"),

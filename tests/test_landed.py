@@ -64,6 +64,44 @@ def test_value_scripts_in_all_three_layouts(spark):
                    ("z", "2024-01-01", 1.2, 1.7, None), ("z", "2024-01-02", 1.3, 1.6, 0.5)]
 
 
+def test_scripts_are_aligned_without_a_shuffle(spark):
+    """Gaps, other orders and repeated dates in either list, against a plain lookup; no exchange in the plan."""
+    days = [ms((2024, 1, d)) for d in range(1, 29)]
+    trend = [(days[i], 1 + i / 100) for i in (5, 3, 3, 8, 20, 21, 0, 27)]
+    acc = [(days[i], 2 + i / 100) for i in (3, 5, 9, 8, 27, 21, 26)]
+    text = (f'var Data_netWorthTrend = [{",".join(f"[{a},{b},0]" for a, b in trend)}];'
+            f'var Data_ACWorthTrend = [{",".join(f"[{a},{b}]" for a, b in acc)}];')
+    scripts = spark.createDataFrame([("f", text)], "fund_code string, payload string")
+    rows = P.nav_scripts(scripts)
+    held = dict(acc)
+    want = [(b, held.get(a)) for a, b in trend]
+    assert sorted(((r.nav, r.acc_nav) for r in rows.collect()), key=str) == sorted(want, key=str)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_payload_files_read_in_batch_and_stream(spark, tmp_path):
+    rows = [("000001", "one ä\n two"), ("000002", "x" * 5000), ("000003", "")]
+    for code, text in rows:
+        (tmp_path / "in" / f"fund_code={code}").mkdir(parents=True)
+        (tmp_path / "in" / f"fund_code={code}" / "page.txt").write_text(text)
+    folder = str(tmp_path / "in")
+    got = lambda df: sorted((r.fund_code, r.payload) for r in df.collect())
+    rows = rows[:2]  # an empty file is no row
+    assert got(P.payload_files(spark, folder)) == rows
+    out = str(tmp_path / "out")
+
+    def run():
+        P.payload_files(spark, folder, streaming=True).writeStream.format("parquet").option(
+            "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out).awaitTermination()
+        return got(spark.read.parquet(out))
+
+    assert run() == rows
+    (tmp_path / "in" / "fund_code=000004").mkdir()
+    (tmp_path / "in" / "fund_code=000004" / "page.txt").write_text("late")
+    assert run() == [*rows, ("000004", "late")]  # files that were read before are not read again
+
+
 def test_pages_map_rows_and_keep_bad_pages_apart(spark):
     row = {"FSRQ": "2024-01-02", "DWJZ": "1.1", "LJJZ": "--", "JZZZL": "0.3", "ACTUALSYI": None}
     pages = [
