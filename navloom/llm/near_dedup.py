@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from navloom.llm.components import components, with_more_links
-from navloom.llm.membership import members
+from navloom.llm.membership import written_with
 from navloom.llm.texts import as_bytes, mixed, rows_pass, shingles, word_hashes, words
 from navloom.session import cut_lineage
 
 SYMBOLS, CHUNKS, DISTANCE = 80, 20, 37
 #: a key with more documents than this is not joined with itself but thinned out and linked by stars
 WIDE = 24
-#: rounds of stars before what is left of wide keys is compared in full
+#: rounds of stars before what is left of wide keys is compared by prefixes of the full sets
 STARS = 2
+#: places of the table of shingle counts that orders them
+COUNTS = 1 << 20
 FACTORS = np.random.default_rng(8).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: shingles taken at once; bounds memory for very long documents
 BLOCK = 4_096
@@ -83,26 +85,30 @@ def key_counts(reps: DataFrame) -> DataFrame:
     return reps.select("sig").mapInArrow(run, "k bigint").groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
 
 
-def shared_keys(reps: DataFrame, counts: DataFrame) -> DataFrame:
-    """(k, chunk, d, n, c): the rows of keys that several representatives have.
-
-    A filter of fixed size drops most other keys in their task; the equi-join decides.
-    """
-    wanted = members(counts, "k")
-    chunk = np.repeat(np.arange(CHUNKS, dtype=np.int32), 4)
+def key_rows(reps: DataFrame, wanted) -> DataFrame:
+    """(k, and the columns of reps but sig): a row for each key of a document that the filter lets through."""
+    kept = [c for c in reps.columns if c != "sig"]
 
     def run(batches):
         for batch in batches:
-            sig = stacked(batch["sig"])
-            d, n = batch["d"].to_numpy(), batch["n"].to_numpy()
-            for i in range(0, len(sig), 1_000):
-                keys = mixed(chunk_keys(sig[i:i + 1_000]))
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                keys = mixed(chunk_keys(stacked(part.column("sig"))))
                 row, place = np.nonzero(wanted.value.may_hold(keys.ravel()).reshape(keys.shape))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[row, place].view(np.int64)), pa.array(chunk[place]),
-                     pa.array(d[i:i + 1_000][row]), pa.array(n[i:i + 1_000][row])], names=["k", "chunk", "d", "n"])
+                    [pa.array(keys[row, place].view(np.int64)), *(part.column(c).take(pa.array(row)) for c in kept)],
+                    names=["k", *kept])
+
+    return reps.select(*kept, "sig").mapInArrow(run, ", ".join(["k bigint", *(f"{c} bigint" for c in kept)]))
 
-    return reps.select("d", "n", "sig").mapInArrow(run, "k bigint, chunk int, d bigint, n bigint").join(counts, "k")
+
+def shared_keys(reps: DataFrame, counts: DataFrame) -> DataFrame:
+    """(k, d, n, c): the rows of keys that several representatives have.
+
+    A filter of fixed size drops most other keys in their task; the equi-join decides.
+    """
+    return written_with(counts, "k", lambda wanted: key_rows(reps.select("d", "n", "sig"), wanted).join(
+        counts, "k"))
 
 
 def stacked(sigs: pa.Array) -> np.ndarray:
@@ -145,17 +151,17 @@ def sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
 
     A filter of fixed size keeps the other texts from leaving their task; what passes it by chance does no harm.
     """
-    wanted = members(ids.select(F.xxhash64("d").alias("x")), "x")
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key).alias("x"))
 
-    def per_batch(batch):
-        keep = wanted.value.may_hold(batch["x"].to_numpy())
-        for i, data, yes in zip(batch["k"].to_pylist(), as_bytes(batch["t"]), keep.tolist()):
-            if yes:
+    def made(wanted):
+        def per_batch(batch):
+            keep = np.flatnonzero(wanted.value.may_hold(batch["x"].to_numpy()))
+            for i, data in zip(batch["k"].take(pa.array(keep)).to_pylist(), as_bytes(batch["t"].take(pa.array(keep)))):
                 yield i, shingles(word_hashes(words(data))).tobytes()
 
-    return cut_lineage(rows_pass(
-        docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key).alias("x")),
-        per_batch, "d bigint, s binary").dropDuplicates(["d"]))
+        return rows_pass(source, per_batch, "d bigint, s binary").dropDuplicates(["d"])
+
+    return written_with(ids.select(F.xxhash64("d").alias("x")), "x", made)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,27 +179,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows_pass(both.select("a", "b", "sa", "sb"), check, "a bigint, b bigint")
 
 
-def shared_counts(sets: DataFrame) -> DataFrame:
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(s, c): the shingles that several of the sets have, and how many have them."""
+
+    def exploded(batches):
+        for batch in batches:
+            for one in batch["s"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64))], names=["s"])
+
+    return cut_lineage(sets.select("s").mapInArrow(exploded, "s bigint").groupBy("s").agg(
+        F.count("*").alias("c")).where("c > 1"))
+
+
+def shared_counts(sets: DataFrame, common: DataFrame) -> DataFrame:
     """(d, n, shared): how many shingles a document has, and how many of them some other of `sets` has too.
 
     Two documents have at most the smaller of their shared counts in common, whatever passage they share with
     thousands. A filter of fixed size holds the shingles that several sets have.
     """
 
-    def exploded(batches):
-        for batch in batches:
-            for one in batch["s"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64))], names=["s"])
+    def made(wanted):
+        def per_batch(batch):
+            for d, one in zip(batch["d"].to_pylist(), batch["s"].to_pylist()):
+                hit = wanted.value.may_hold(np.frombuffer(one, np.uint64))
+                yield d, len(hit), int(hit.sum())
 
-    common = sets.select("s").mapInArrow(exploded, "s bigint").groupBy("s").agg(F.count("*").alias("c"))
-    wanted = members(common.where("c > 1").select("s"), "s")
+        return rows_pass(sets, per_batch, "d bigint, n bigint, shared bigint")
 
-    def per_batch(batch):
-        for d, one in zip(batch["d"].to_pylist(), batch["s"].to_pylist()):
-            hit = wanted.value.may_hold(np.frombuffer(one, np.uint64))
-            yield d, len(hit), int(hit.sum())
+    return written_with(common.select("s"), "s", made)
+
+
+def rare_pairs(crowd: DataFrame, sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components that a prefix filter on the full sets can't rule out.
 
-    return cut_lineage(rows_pass(sets, per_batch, "d bigint, n bigint, shared bigint"))
+    crowd: d, n, shared, root. With all shingles in one order, two sets of the similarity share one among the first
+    n - ceil(percent * n / 100) + 1 of each. The order goes from rare to frequent: shingles that no other set has come
+    first, then by a table of counts whose size is fixed (counts that fall together only make the order worse), so what
+    thousands of documents share is outside the prefixes of all that have anything else.
+    """
+    spark = crowd.sparkSession
+    places = F.col("s").bitwiseAND(F.lit(COUNTS - 1)).cast("int")
+    table = common.groupBy(places.alias("p")).agg(F.max("c").alias("c")).toArrow()
+    counts = np.zeros(COUNTS, np.int64)
+    counts[table["p"].to_numpy()] = table["c"].to_numpy()
+    held = spark.sparkContext.broadcast(counts)
+
+    def prefixes(wanted):
+        def per_batch(batch):
+            given = (batch[c].to_pylist() for c in ("d", "n", "shared", "root", "s"))
+            for d, n, shared, root, one in zip(*given):
+                found = np.frombuffer(one, np.uint64)
+                known = wanted.value.may_hold(found)
+                order = np.lexsort((found, np.where(known, held.value[found & np.uint64(COUNTS - 1)], 0)))
+                first = order[:n - (percent * n + 99) // 100 + 1]
+                for place in np.flatnonzero(known[first]).tolist():
+                    yield int(found[first[place]].view(np.int64)), d, n, shared, root, place
+
+        return rows_pass(crowd.join(sets, "d").select("d", "n", "shared", "root", "s"), per_batch,
+                         "s bigint, d bigint, n bigint, shared bigint, root bigint, place bigint")
+
+    rows = written_with(common.select("s"), "s", prefixes)
+    held.destroy()
+    several = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    rows = cut_lineage(rows.join(several, "s"))
+    other = rows.toDF("s", "e", "m", "shared2", "root2", "place2")
+    # what is shared from the first common shingle on is enough
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2"))
+    return cut_lineage(rows.join(other, "s").where(
+        (F.col("d") < F.col("e")) & (F.col("root") != F.col("root2"))
+        & can_link(F.col("n"), F.col("m"), F.col("shared"), F.col("shared2"), percent)
+        & ((100 + percent) * most >= percent * (F.col("n") + F.col("m")))).select(
+        F.col("d").alias("a"), F.col("e").alias("b")).distinct())
 
 
 def can_link(n, m, shared, other, percent: int):
@@ -205,89 +261,64 @@ def can_link(n, m, shared, other, percent: int):
 def linked(reps: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """(node, root) over all confirmed links between representatives (d, n, sig).
 
-    Of the documents of wide keys those stay that share enough with others of them, and pairs of them are made only if
-    both do; keys that are narrow by then
-    are treated as such. The documents of a key that is still wide are compared with one of them, round by round;
-    what such stars join needs no further pairs. Narrow keys give all their pairs across components, and what wide
-    keys still hold in several components is compared in full across them.
+    Of the documents of wide keys those stay that share enough with others of them; keys that are narrow by then are
+    treated as such. The documents of a key that is still wide are compared with one of them, and those that stay alone
+    once more among each other; what such stars join needs no further pairs. Narrow keys give all their pairs across components, and what wide keys
+    still hold in several components is compared in full across them.
+
+    Between the steps a crowded document is one row with its signature; its keys are made from that when they are
+    needed, and only those that are.
     """
     spark = reps.sparkSession
-    keyed = cut_lineage(shared_keys(reps, cut_lineage(key_counts(reps))))
+    counts = cut_lineage(key_counts(reps))
+    keyed = shared_keys(reps, counts)
     narrow = keyed.where(F.col("c") <= WIDE).select("k", "d", "n")
-    wide = keyed.where(F.col("c") > WIDE).select("k", "chunk", "d", "n")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     shared = spark.createDataFrame([], "d bigint, shared bigint")
-    crowded = not wide.isEmpty()
-    if crowded:
-        wide_sets = sets_of(docs, wide.select("d").distinct(), text, key)
-        shared = shared_counts(wide_sets)
-        wide = cut_lineage(wide.join(shared.where(100 * F.col("shared") >= percent * F.col("n")).select("d", "shared"), "d"))
-        counts = cut_lineage(wide.groupBy("k").agg(F.count("*").alias("c")))
-        narrow = narrow.unionByName(wide.join(counts.where(F.col("c").between(2, WIDE)), "k").select("k", "d", "n"))
-        wide = cut_lineage(wide.join(counts.where(F.col("c") > WIDE), "k").drop("c"))
+    crowded = counts.where(F.col("c") > WIDE)
+    crowd = None
+    if not crowded.isEmpty():
+        wide_sets = sets_of(docs, keyed.where(F.col("c") > WIDE).select("d").distinct(), text, key)
+        common = shared_shingles(wide_sets)
+        shared = shared_counts(wide_sets, common)
+        stay = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("d", "shared")
+        crowd = cut_lineage(reps.join(stay, "d"))
+        rows = written_with(crowded.select("k"), "k", lambda wanted: key_rows(crowd, wanted))
+        counts = cut_lineage(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"))
+        narrow = narrow.unionByName(rows.join(counts.where(F.col("c") <= WIDE), "k").select("k", "d", "n"))
+        crowded = cut_lineage(counts.where(F.col("c") > WIDE).select("k"))
         for round_ in range(STARS):
-            rows = cut_lineage(spanning(wide, roots))
-            if rows.isEmpty():
-                break
+            if round_:  # documents that no star has linked yet
+                alone = crowd.join(roots, F.col("d") == F.col("node"), "left_anti")
+                rows = written_with(crowded, "k", lambda wanted: key_rows(alone, wanted))  # noqa: B023
             # first the document that shares most with others, then others at random
             rank = F.col("shared") / F.col("n") if not round_ else F.xxhash64("d", F.lit(round_))
-            middle = cut_lineage(rows.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "d", "n", "root", "shared")).alias("m")).select(
-                "k", "m.d", "m.n", "m.root", "m.shared").toDF("k", "m", "mn", "mr", "ms"))
-            star = rows.join(middle, "k").where((F.col("root") != F.col("mr")) & can_link(
-                F.col("n"), F.col("mn"), F.col("shared"), F.col("ms"), percent))
-            star = star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct()
+            middle = rows.groupBy("k").agg(
+                F.max(F.struct(rank.alias("r"), "d", "n", "shared")).alias("m"), F.count("*").alias("c")).where(
+                F.col("c") > (1 if round_ else WIDE)).select("k", "m.d", "m.n", "m.shared")
+            star = rows.join(middle.toDF("k", "m", "mn", "ms"), "k").where(
+                (F.col("d") != F.col("m")) & can_link(F.col("n"), F.col("mn"), F.col("shared"), F.col("ms"), percent))
+            star = cut_lineage(star.select(F.least("d", "m").alias("a"), F.greatest("d", "m").alias("b")).distinct())
+            if star.isEmpty():
+                break
             # most of a star's pairs are linked, so they go to the full sets at once
-            more = cut_lineage(confirmed(cut_lineage(star), wide_sets, percent))
-            roots = with_more_links(roots, more)
+            roots = with_more_links(roots, cut_lineage(confirmed(star, wide_sets, percent)))
     rows = narrow.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").join(
-        shared.select("d", "shared"), "d", "left").select(
-        "k", "d", "n", F.coalesce("root", "d").alias("root"), "shared")
+        shared.select("d", "shared"), "d", "left").select("k", "d", "n", F.coalesce("root", "d").alias("root"), "shared")
     pairs = cut_lineage(near_by_signature(cut_lineage(narrow_pairs(rows, percent).distinct()), reps))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
     more = cut_lineage(confirmed(pairs, sets_of(docs, ids, text, key), percent))
     roots = with_more_links(roots, more)
-    rows = cut_lineage(spanning(wide, roots)) if crowded else None
-    if rows is None or rows.isEmpty():
+    if crowd is None:
         return roots
-    return with_more_links(roots, cut_lineage(confirmed(cut_lineage(across(rows, reps, percent)), wide_sets, percent)))
-
+    pairs = rare_pairs(rooted(crowd, roots).drop("sig"), wide_sets, common, percent)
+    return roots if pairs.isEmpty() else with_more_links(roots, cut_lineage(confirmed(pairs, wide_sets, percent)))
 
-def spanning(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (k, chunk, d, n, shared, root) of the keys that span several components."""
-    rows = wide.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select(
-        "k", "chunk", "d", "n", "shared", F.coalesce("root", "d").alias("root"))
-    several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return rows.join(several.select("k"), "k")
-
-
-def across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components that share a key, have alike sizes and near signatures.
-
-    Only documents outside a key's largest component are matched with its others, and the distance is part of the
-    join's condition, so no other pair is looked at or leaves it.
-    """
 
-    def symbols(batch):
-        yield from zip(batch["d"].to_pylist(), stacked(batch["sig"]).astype(np.int32).tolist())
-
-    made = rows_pass(reps.join(rows.select("d").distinct(), "d", "left_semi").select("d", "sig"), symbols,
-                     "d bigint, sig array<int>")
-    main = rows.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(
-        F.max(F.struct("c", "root"))["root"].alias("main"))
-    every = cut_lineage(rows.join(made, "d").join(main, "k").select("k", "chunk", "d", "n", "shared", "root", "sig", "main"))
-    one = cut_lineage(every.where("root <> main")).alias("one")
-    two = every.select("k", F.col("d").alias("e"), F.col("n").alias("m"), F.col("root").alias("other"),
-                       F.col("sig").alias("sig2"), F.col("shared").alias("shared2")).alias("two")
-    apart = F.size(F.filter(F.zip_with("sig", "sig2", lambda x, y: x != y), lambda z: z))
-    # the first chunk in which at most one symbol differs; a pair leaves through that chunk's keys only
-    chunk_of = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda c: F.size(F.filter(
-        F.zip_with(F.slice("sig", c * 4 + 1, 4), F.slice("sig2", c * 4 + 1, 4), lambda x, y: x != y),
-        lambda z: z)) <= 1), True) - 1
-    return one.join(two, (F.col("one.k") == F.col("two.k")) & (F.col("root") != F.col("other"))
-                    & ((F.col("other") == F.col("main")) | (F.col("d") < F.col("e")))
-                    & can_link(F.col("n"), F.col("m"), F.col("shared"), F.col("shared2"), percent)
-                    & (apart <= DISTANCE) & (F.col("chunk") == chunk_of)).select(
-        F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+def rooted(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(d, n, shared, root, sig) of the crowded documents."""
+    return crowd.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select(
+        "d", "n", "shared", F.coalesce("root", "d").alias("root"), "sig")
 
 
 def near_groups(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -296,7 +327,8 @@ def near_groups(docs: DataFrame, percent: int = 75, text: str = "text", key: str
     Two documents are linked when 100 * intersection >= percent * union of their 5-word shingle sets (words
     `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; fewer words make one shingle). Null and empty texts have no shingle and
     are linked with nothing. Documents with one set are one class and joined by its smallest id, without pairs.
-    Repeated rows of an id share its verdict; an empty table gives no rows; only the key and text are read.
+    Repeated rows of an id share its verdict, and where different texts stand under one id one of them stands for
+    all; rows without an id link with nothing. An empty table gives no rows; only the key and text are read.
     """
     made = cut_lineage(signatures(docs, text, key))
     full = made.where("n_shingles > 0")

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 8_000_000
 #: texts that are looked up at once, and their characters
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 200, 2_000_000
-#: rows a pass hands back at once
-OUT_ROWS = 2_000
+#: rows a pass takes up and hands back at once
+IN_ROWS, OUT_ROWS = 1_000, 2_000
 #: odd multiplier of the shingle polynomial
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,17 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rows_pass(df: DataFrame, per_batch: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """One Arrow pass: `per_batch` gets a batch as lists by column and yields rows of `schema`.
+    """One Arrow pass: `per_batch` gets some rows of a batch as arrays by column and yields rows of `schema`.
 
-    Rows go back in small batches, so that a worker holds one incoming batch and a few rows.
+    Rows go in and back in small parts, so that a worker holds one incoming batch and a few rows.
     """
     names = [field.split()[0] for field in schema.split(", ")]
     arrow = to_arrow(df.sparkSession, schema)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                rows = per_batch({n: batch.column(n) for n in batch.schema.names})
+            for at in range(0, batch.num_rows, IN_ROWS):
+                some = batch.slice(at, IN_ROWS)
+                rows = per_batch({n: some.column(n) for n in some.schema.names})
                 while part := list(islice(rows, OUT_ROWS)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], names=names)
@@ -59,11 +60,11 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def groups(texts: list) -> Iterator[slice]:
+def groups(texts: list, chars: int = CHARS_AT_ONCE) -> Iterator[slice]:
     """Runs of texts of bounded number and size; a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):
-        if i > start and (i - start >= TEXTS_AT_ONCE or size + len(t) > CHARS_AT_ONCE):
+        if i > start and (i - start >= TEXTS_AT_ONCE or size + len(t) > chars):
             yield slice(start, i)
             start, size = i, 0
         size += len(t)
