@@ -199,3 +199,20 @@ SYNC_GROUPS = {
            "@QDII_OVERSEAS"],
 }
 HK_MARKERS = ["港股", "香港", "恒生", "港币"]
+
+# Sentences of the reconciliation, in their order there. {} is a fund, a sum of money or a similarity.
+NOTE_HOLD = "已在目标 ± 缓冲带内，保持不动（抗噪）"
+NOTE_NO_MONEY = "低配，但本轮可动用资金已用尽，暂缓补仓"
+NOTE_OPEN = "低配，建议建仓「{}」"
+NOTE_ADD = "低配，建议加仓「{}」"
+NOTE_SHORT = "（资金有限，距目标还差约 {} 元，未完全到位）"
+NOTE_TRIM = "超配，减仓（先卖非目标基金）用于补低配赛道"
+NOTE_NOT_NEEDED = "超配，但低配已被其它资金补足，本轮暂不减"
+NOTE_SWAPPED = "簇内非目标基金已换成目标基金「{}」，总仓位不变"
+NOTE_ALSO_SWAPPED = "；并把簇内剩余非目标基金换成「{}」"
+NOTE_NO_DATA = "库中无该基金持仓数据，无法归类"
+NOTE_OUTSIDE = "不属于本组合任一赛道（最高相似度 {}）"
+NOTE_SOLD_OUT = "，清仓用于补低配赛道"
+NOTE_SOLD_PART = "，部分卖出用于补低配赛道"
+NOTE_KEPT = "，保留不动"
+NOTE_KEPT_UNUSED = "，本轮无需动用，保留不动"
