@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from navloom.functions import scalars as X
+from navloom.operators import holdings as O
 from navloom.operators.joins import forward_first
+from navloom.operators.windows import top_holdings
 from navloom.session import cut_lineage
 
 
@@ -66,6 +68,48 @@ def regime_returns(cum: DataFrame, starts: DataFrame, as_of: str) -> DataFrame:
         between("exact_team_since").alias("return_since_current_team")).where(F.col("points") >= 2)
 
 
+def holdings_record(holdings: DataFrame, industry: DataFrame) -> DataFrame:
+    """What a fund's record says of its holdings, one row per fund with quarters in order.
+
+    quarters: report type, concentration, the five largest industries and four largest themes of the top ten with
+    their shares, and the leading ones; overlaps: shared top stocks of adjacent quarters; latest: the newest top ten;
+    besides the trends and the sector focus. A fund has a few quarters of ten rows each, so its lists are bounded.
+    """
+    key = ["fund_code", "quarter"]
+    profile = cut_lineage(O.quarter_profile(holdings, industry))
+    stocks = holdings.where((F.col("holding_type") == "stock") & F.col("hold_ratio").isNotNull())
+    top = O.with_industry(top_holdings(stocks, 10, newest_only=False, by=["fund_code"]), industry)
+    l1 = X.effective_l1()
+    top = cut_lineage(top.withColumn("own_l1", F.nullif(l1, F.lit(""))).withColumn(
+        "l1", F.when(l1 == "", "未知").otherwise(l1)).withColumn("theme", X.theme_of(l1)))
+
+    def mix(name: str, most: int) -> DataFrame:
+        sums = top.groupBy(*key, name).agg(F.sum("hold_ratio").alias("ratio"))
+        listed = sums.groupBy(*key).agg(
+            F.sum("ratio").alias("_all"), F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("r"), F.col(name).alias("k")))).alias("_m"))
+        return listed.select(*key, F.transform(F.slice("_m", 1, most), lambda m: F.struct(
+            m["k"].alias(name), (-m["r"]).alias("ratio"), F.try_divide(-m["r"], F.col("_all") / 100).alias("share"))).alias(f"{name}_mix"))
+
+    first = top.where(F.col("rank") == 1).select(*key, F.struct(
+        F.col("asset_name").alias("name"), F.col("hold_ratio").alias("ratio"), F.col("own_l1").alias("l1")).alias("top1"))
+    whole = profile.join(mix("l1", 5), key).join(mix("theme", 4), key).join(first, key)
+    shown = ["quarter", F.when(F.col("is_full_report"), "全量(半年/年报)").otherwise("前十大(季报)").alias("report_type"), "num_stock", "top1",
+             "top3_ratio", "top5_ratio", "top10_ratio", "hhi_top10", "l1_mix", "top_l1", "top_l1_share", "distinct_l1", "theme_mix",
+             "top_theme", "top_theme_share", "l1_mapped"]
+    quarters = whole.groupBy("fund_code").agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("quarters_detail"))
+    overlaps = O.quarter_overlaps(profile).groupBy("fund_code").agg(
+        F.sort_array(F.collect_list(F.struct("from_quarter", "to_quarter", "overlap", "of"))).alias("overlaps"))
+    newest = top.groupBy("fund_code").agg(F.max("quarter").alias("quarter"))
+    latest = top.join(newest, key, "left_semi").groupBy("fund_code").agg(F.sort_array(F.collect_list(F.struct(
+        "rank", F.col("asset_name").alias("name"), "l1", "theme", F.nullif(F.col("sw_l3"), F.lit("")).alias("l3"),
+        F.col("hold_ratio").alias("ratio")))).alias("latest_top10"))
+    out = O.holdings_summary(profile).join(quarters, "fund_code").join(overlaps, "fund_code", "left").join(latest, "fund_code")
+    seq = lambda c: F.transform("quarters_detail", lambda q: q[c])
+    edge = lambda i: F.element_at("quarters_detail", i)["quarter"]
+    return out.withColumn("coverage", F.concat(edge(1), F.lit("~"), edge(-1))).withColumn(
+        "dominant_l1_by_quarter", seq("top_l1")).withColumn("dominant_theme_by_quarter", seq("top_theme"))
+
+
 def fund_bundle(details: DataFrame, managers: DataFrame, summary: DataFrame, regimes: DataFrame) -> DataFrame:
     """One nested record per fund, as JSON, with the caveats on its data."""
     part = lambda df, name: df.select("fund_code", F.struct(*[c for c in df.columns if c != "fund_code"]).alias(name))

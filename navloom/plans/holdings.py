@@ -307,6 +307,65 @@ def regime_returns(spark, d):
         "fund_code", "points", *r6("return_last_1y", "return_last_3y", "return_since_current_team"))
 
 
+def bundles(spark, d):
+    """The whole record of every fund, with its JSON text as `bundle`."""
+    tenure = A.fund_manager_tenure(spark, d)
+    managers = cut_lineage(B.manager_attribution(tenure, AS_OF))
+    regimes = B.regime_returns(cum_returns(spark, d), managers, AS_OF)
+    held = B.holdings_record(A.fund_holdings(spark, d), A.stock_industry(spark, d))
+    return B.fund_bundle(A.fund_details(spark, d), managers, held, regimes)
+
+
+def from_bundle(spark, d, path, schema):
+    """A list of the record, read back from its JSON text."""
+    rows = bundles(spark, d).select("fund_code", F.from_json(F.get_json_object("bundle", path), f"array<struct<{schema}>>").alias("x"))
+    return rows.select("fund_code", F.inline("x"))
+
+
+MIX_SQL = f"""{PROFILE_SQL},
+tot as (select fund_code, quarter, sum(hold_ratio) v from t group by 1,2),
+x1 as (select a.fund_code, a.quarter, string_agg(k||':'||round(a.v/tot.v*100,4), ',' order by a.v desc, k) l1_mix from (select *, row_number() over (partition by fund_code, quarter order by v desc, k) r from a1) a join tot using (fund_code, quarter) where r<=5 group by 1,2),
+x2 as (select a.fund_code, a.quarter, string_agg(k||':'||round(a.v/tot.v*100,4), ',' order by a.v desc, k) theme_mix from (select *, row_number() over (partition by fund_code, quarter order by v desc, k) r from a2) a join tot using (fund_code, quarter) where r<=4 group by 1,2)"""
+
+
+@query("fund_bundle_quarters", "A45", "fund_details fund_holdings stock_industry", f"""
+with {MIX_SQL}
+select p.fund_code, p.quarter, case when is_full_report then '全量(半年/年报)' else '前十大(季报)' end report_type, num_stock, top1_name, f.l1 top1_l1, round(top1_ratio,6) top1_ratio,
+ round(top3_ratio,6) top3_ratio, round(top5_ratio,6) top5_ratio, round(top10_ratio,6) top10_ratio, round(hhi_top10,8) hhi_top10, l1_mix, top_l1, round(top_l1_share,6) top_l1_share, distinct_l1,
+ theme_mix, top_theme, round(top_theme_share,6) top_theme_share, l1_mapped
+from prof p join x1 using (fund_code, quarter) join x2 using (fund_code, quarter) join (select fund_code, quarter, nullif(l1,'') l1 from t0 where rk=1) f using (fund_code, quarter)
+where fund_code in (select fund_code from fund_details)""")
+def fund_bundle_quarters(spark, d):
+    mix = "array<struct<{}:string,ratio:double,share:double>>"
+    rows = from_bundle(spark, d, "$.holdings.quarters_detail", (
+        "quarter:string,report_type:string,num_stock:bigint,top1:struct<name:string,ratio:double,l1:string>,top3_ratio:double,top5_ratio:double,"
+        f"top10_ratio:double,hhi_top10:double,l1_mix:{mix.format('l1')},top_l1:string,top_l1_share:double,distinct_l1:bigint,"
+        f"theme_mix:{mix.format('theme')},top_theme:string,top_theme_share:double,l1_mapped:bigint"))
+    said = lambda name: F.array_join(F.transform(f"{name}_mix", lambda m: F.concat(
+        m[name], F.lit(":"), F.round(m["share"], 4).cast("string"))), ",").alias(f"{name}_mix")
+    return rows.select(
+        "fund_code", "quarter", "report_type", "num_stock", F.col("top1.name").alias("top1_name"), F.col("top1.l1").alias("top1_l1"),
+        F.round("top1.ratio", 6).alias("top1_ratio"), *r6("top3_ratio", "top5_ratio", "top10_ratio"), F.round("hhi_top10", 8).alias("hhi_top10"),
+        said("l1"), "top_l1", *r6("top_l1_share"), "distinct_l1", said("theme"), "top_theme", *r6("top_theme_share"), "l1_mapped")
+
+
+@query("fund_bundle_overlaps", "A45 A24", "fund_details fund_holdings stock_industry", f"""
+with {PROFILE_SQL}, l as (select fund_code, quarter, codes, lead(quarter) over w nq, lead(codes) over w nc from prof window w as (partition by fund_code order by quarter))
+select fund_code, quarter from_quarter, nq to_quarter, cast(len(list_intersect(codes,nc)) as integer) overlap, cast(least(len(codes),len(nc)) as integer) "of" from l
+where nq is not null and fund_code in (select fund_code from fund_details)""")
+def fund_bundle_overlaps(spark, d):
+    return from_bundle(spark, d, "$.holdings.overlaps", "from_quarter:string,to_quarter:string,overlap:int,of:int")
+
+
+@query("fund_bundle_latest", "A45", "fund_details fund_holdings stock_industry", f"""
+with {PROFILE_SQL}, m as (select fund_code, max(quarter) as quarter from t group by 1)
+select t.fund_code, rk as rank, asset_name as name, l1, theme, nullif(sw_l3,'') l3, round(hold_ratio,6) ratio
+from t join m using (fund_code, quarter) left join stock_industry on stock_code=asset_code where t.fund_code in (select fund_code from fund_details)""")
+def fund_bundle_latest(spark, d):
+    rows = from_bundle(spark, d, "$.holdings.latest_top10", "rank:bigint,name:string,l1:string,theme:string,l3:string,ratio:double")
+    return rows.select("fund_code", "rank", "name", "l1", "theme", "l3", *r6("ratio"))
+
+
 @query("fund_bundle", "A45 X6", "fund_details fund_holdings stock_industry nav_daily fund_manager_tenure", f"""
 with {SUMMARY_SQL}, {REGIME_SQL},
 ch as (select fund_code, count(*) filter (managers<>older)+1 teams from (select fund_code, managers, lead(managers) over (partition by fund_code order by seq) older from fund_manager_tenure) group by 1)
@@ -314,11 +373,7 @@ select d.fund_code, fund_company, sector_focus, teams distinct_team_count, point
  case when length(fund_company||' '||fund_name)>12 then substr(fund_company||' '||fund_name,1,12)||'…' else fund_company||' '||fund_name end clipped
 from fund_details d left join summ using (fund_code) left join rg on rg.fund_code=d.fund_code and rg.points>=2 left join ch on ch.fund_code=d.fund_code""")
 def fund_bundle(spark, d):
-    tenure = A.fund_manager_tenure(spark, d)
-    managers = cut_lineage(B.manager_attribution(tenure, AS_OF))
-    regimes = B.regime_returns(cum_returns(spark, d), managers, AS_OF)
-    rows = B.fund_bundle(A.fund_details(spark, d), managers, O.holdings_summary(profile(spark, d)), regimes)
-    return rows.select(
+    return bundles(spark, d).select(
         "fund_code", "meta.fund_company", F.get_json_object("bundle", "$.holdings.sector_focus").alias("sector_focus"),
         "manager.distinct_team_count", "nav_regime.points", F.size("data_caveats").alias("n_caveats"),
         X.clip_text(F.concat_ws("  ", "meta.fund_company", "meta.fund_name"), 12).alias("clipped"))
