@@ -15,19 +15,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds `_row`, a number of each row's own: its id, or a fresh one above all ids.
 
-    A fresh one goes to rows without an id and to all but one row of a repeated id (the longest text keeps it).
+    A fresh one goes to rows without an id and to all but one row of a repeated id (the longest text keeps it). Where
+    ids leave no room above them, all rows are numbered anew in the order of their ids.
     """
     counts = docs.groupBy("doc_id").count()
     odd = cut_lineage(counts.where("doc_id is null or count > 1").select(F.col("doc_id").alias("_id")))
     if odd.isEmpty():
         return docs.withColumn("_row", F.col("doc_id"))
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rest = cut_lineage(docs.join(odd, same, "left_semi").orderBy(
-        F.col("doc_id").asc_nulls_last(), F.desc(F.coalesce(F.char_length("text"), F.lit(0))), "text").withColumn(
+    order = [F.col("doc_id").asc_nulls_last(), F.desc(F.coalesce(F.char_length("text"), F.lit(0))), "text"]
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    if top >= 1 << 62:
+        return cut_lineage(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    rest = cut_lineage(docs.join(odd, same, "left_semi").orderBy(*order).withColumn(
         "_place", F.monotonically_increasing_id()))
     owners = rest.where("doc_id is not null").groupBy("doc_id").agg(F.min("_place").alias("_place"))
     owners = owners.withColumn("_owner", F.col("doc_id")).drop("doc_id")
-    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
     rest = rest.join(owners, "_place", "left").withColumn(
         "_row", F.coalesce("_owner", F.greatest(F.lit(top), F.lit(0)) + 1 + F.col("_place"))).drop("_owner", "_place")
     plain = docs.join(odd, same, "left_anti").withColumn("_row", F.col("doc_id"))
