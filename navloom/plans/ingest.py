@@ -13,7 +13,7 @@ from navloom.plans.columns import f32, r6
 from navloom.plans.registry import query
 from navloom.plans.screen import presets
 from navloom.plans.views import f32 as sql32
-from navloom.session import ensure_checkpoint_dir
+from navloom.session import cut_lineage, ensure_checkpoint_dir
 from navloom.sources import adapters as A
 from navloom.sources import landed as P
 from navloom.sources import sinks as K
@@ -335,12 +335,25 @@ def stream_nav_upsert(spark, d):
         A.code6("l_suppkey").alias("fund_code"), F.col("l_shipdate").cast("date").alias("trade_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("nav"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"))
     J.append_versions(increments, rows, state)
-    first_rows, first_state = stream_paths(spark)
-    once = J.first_values(lines.select(A.code6("l_suppkey").alias("fund_code"), F.col("l_shipdate").cast("timestamp").alias("ts")), ["fund_code", "ts"], "ts")
-    J.append_versions(once, first_rows, first_state)
-    keys = spark.read.parquet(first_rows).agg(F.count("*")).scalar()
-    return J.current_rows(spark, rows, ["fund_code", "trade_date"], ["version"]).select(
-        "fund_code", "trade_date", *f32("nav"), keys.alias("keys"))
+    merged = cut_lineage(J.current_rows(spark, rows, ["fund_code", "trade_date"], ["version"]))
+    return merged.select("fund_code", "trade_date", *f32("nav"), F.lit(merged.count()).cast("bigint").alias("keys"))
+
+
+@query("stream_first_values", "T2", "", """
+select printf('%06d', l_suppkey) fund_code, cast(l_shipdate as date) trade_date, count(*) n from lineitem group by 1,2""")
+def stream_first_values(spark, d):
+    """Increments that arrive in the order of their days, one file per year: repeats are dropped, none is late."""
+    rows, state = stream_paths(spark)
+    lines = A.table(spark, d, "lineitem").select(
+        A.code6("l_suppkey").alias("fund_code"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.year("l_shipdate").alias("y"))
+    counted = cut_lineage(lines.groupBy("fund_code", "ts", "y").agg(F.count("*").alias("n")))
+    for r in counted.select("y").distinct().orderBy("y").collect():
+        part = counted.where(F.col("y") == r["y"]).drop("y")
+        part.unionByName(part.where(F.dayofmonth("ts") == 1)).coalesce(1).write.parquet(f"{rows}/in/{r['y']}")
+    stream = J.read_files(spark, f"{rows}/in/*", "*.parquet", counted.drop("y").schema, files_per_batch=2)
+    J.first_or_late(stream, ["fund_code", "ts"], "ts", f"{rows}/out", state, late_days=400)
+    return spark.read.parquet(f"{rows}/out/first").select("fund_code", F.col("ts").cast("date").alias("trade_date"), "n")
 
 
 @query("stream_positions", "T3", "", """

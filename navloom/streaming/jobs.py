@@ -44,6 +44,38 @@ def first_values(stream: DataFrame, keys: list[str], event_time: str, late: str
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def first_or_late(stream: DataFrame, keys: list[str], event_time: str, path: str, checkpoint: str, late_days: int = 7) -> None:
+    """First row of every key to `path`/first, rows that come too late to `path`/late, repeats nowhere.
+
+    A row is late when its event time lies more than `late_days` before the newest one of all batches before its own;
+    nothing is dropped unseen, and the rule doesn't depend on how rows are ordered inside a batch. Each batch writes its
+    newest event time to `path`/mark. A row of an older batch wins over the rows after it, the earliest event time
+    inside a batch. A repeat lies in the days that are still open, so only these are read back. A batch that is run again
+    overwrites its own part of all three tables.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        write = lambda df, name: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+        rows = batch.withColumn("_day", F.to_date(event_time))
+        write(rows.agg(F.max(event_time).alias("newest")), "mark")
+        newest = spark.read.parquet(f"{path}/mark").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        late = F.lit(False) if newest is None else F.coalesce(
+            F.col(event_time) < F.lit(newest) - F.make_dt_interval(days=F.lit(late_days)), F.lit(False))
+        write(rows.where(late).drop("_day"), "late")
+        fresh = rows.where(~late)
+        order = F.struct(F.col(event_time), *[c for c in batch.columns if c not in (event_time, *keys)])
+        rest = F.struct(*[c for c in rows.columns if c not in keys])
+        fresh = fresh.groupBy(*keys).agg(F.min_by(rest, order).alias("_r")).select(*keys, "_r.*")
+        if newest is not None:
+            seen = spark.read.parquet(f"{path}/first").where((F.col("batch") < number) & (
+                F.col("_day") >= F.date_sub(F.to_date(F.lit(newest)), late_days)))
+            fresh = fresh.join(seen.select(*keys).distinct(), keys, "left_anti")
+        write(fresh, "first")
+
+    drain(stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def sync_health(stream: DataFrame, window: str = "5 minutes", late: str = "10 minutes", fail_limit: int = 50) -> DataFrame:
     """Counts per status and time window, with the unhealthy mark."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
@@ -85,7 +117,7 @@ def settled(trades: DataFrame) -> DataFrame:
     snaps = trades.sparkSession.createDataFrame(
         [], "portfolio_id bigint, fund_code string, base_shares double, cost double, market_value double")
     # at a value of one the market value is the share count
-    unit = trades.select("fund_code", F.lit(1.0).alias("nav"), F.current_date().alias("trade_date")).distinct()
+    unit = trades.select("fund_code", F.lit(1.0).alias("nav"), F.lit("1970-01-01").cast("date").alias("trade_date")).distinct()
     held = ledger.positions(snaps, trades, unit)
     return held.select("portfolio_id", "fund_code", "shares", "cost",
                        (F.col("pnl") - F.col("market_value") + F.col("cost")).alias("realised"),

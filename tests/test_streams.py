@@ -62,3 +62,21 @@ def test_keys_beyond_six_digits_stay_apart(spark):
     df = spark.createDataFrame([(7,), (123456,), (1000000,), (1000009,)], "k long")
     assert [r.c for r in df.select(code6("k").alias("c")).collect()] == ["000007", "123456", "1000000", "1000009"]
     assert df.select(code6(F.col("k") % 1000).alias("c")).first().c == "000007"
+
+
+def test_late_rows_are_named_and_repeats_are_dropped(spark, tmp_path):
+    """Four files in this order; each batch's limit is the newest day of the batches before it, less seven days."""
+    files = [[("a", 10, 1), ("b", 2, 2), ("a", 10, 3)],  # nothing is late in the first batch
+             [("a", 10, 4), ("c", 3, 5), ("d", 2, 6), ("b", 2, 7)],  # limit 3: c is not late, d and the repeat of b are
+             [("e", 30, 8), ("f", 4, 9), ("f", 4, 10)],  # limit still 3: f waits beside the newest of its own batch
+             [("g", 22, 11), ("h", 23, 12), ("f", 4, 13), ("e", 30, 14)]]  # limit 23
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    schema = "k string, ts timestamp, n int"
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame([(k, day(d), n) for k, d, n in rows], "k string, t string, n int")
+        df.select("k", F.to_timestamp("t").alias("ts"), "n").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    stream = J.read_files(spark, f"{tmp_path}/in/*", "*.parquet", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    J.first_or_late(stream, ["k", "ts"], "ts", str(tmp_path / "out"), str(tmp_path / "state"))
+    got = lambda name: sorted((r.k, r.n, r.batch) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect())
+    assert got("late") == [("b", 7, 1), ("d", 6, 1), ("f", 13, 3), ("g", 11, 3)]
+    assert got("first") == [("a", 1, 0), ("b", 2, 0), ("c", 5, 1), ("e", 8, 2), ("f", 9, 2), ("h", 12, 3)]
