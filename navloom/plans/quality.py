@@ -33,8 +33,8 @@ def space_of(spark, d):
     return Q.build_space(brand_pool(spark, d), A.nav_weekly(spark, d), A.brand_holdings(spark, d), half_years(spark, d), RUN_DATE, PARAMS)
 
 
-@query("quality_scores", "A12 F18 W9 A17 A19", "nav_weekly brand_funds brand_holdings", """
-with dd as (select cast(d as date) as_of from (select unnest([date '1998-01-31']) d union all select unnest(range(date '1998-07-28', (select cast(max(o_orderdate) as date)+1 from orders), interval 6 month)))),
+#: the scored pool of every date, as `z`
+SCORED_SQL = """dd as (select cast(d as date) as_of from (select unnest([date '1998-01-31']) d union all select unnest(range(date '1998-07-28', (select cast(max(o_orderdate) as date)+1 from orders), interval 6 month)))),
 r as (select fund_code, trade_date, nav/lag(nav) over (partition by fund_code order by trade_date)-1 r from nav_weekly),
 w as (select *, case when count(r) over f=52 and stddev_pop(r) over f>0 then avg(r) over f/stddev_pop(r) over f*sqrt(252) end sh from r window f as (partition by fund_code order by trade_date rows 51 preceding)),
 g as (select as_of, fund_code, count(*) as days, median(sh) sm, stddev_pop(sh) ss, count(sh) ns, case when count(*) filter (r<0)>=5 then avg(r)/sqrt(avg(r*r) filter (r<0))*sqrt(252) end sortino from dd join w on trade_date<=as_of group by 1,2),
@@ -50,7 +50,11 @@ s as (select *, median(sm) over k m1, stddev_pop(sm) over k s1, median(ss) over
   median(drift) over k m5, stddev_pop(drift) over k s5, count(*) over k n from p window k as (partition by as_of)),
 z as (select *, case when s1>1e-12 then least(greatest((sm-m1)/s1,-2),2) else 0 end z1, case when s2>1e-12 then least(greatest((ss-m2)/s2,-2),2) else 0 end z2,
   case when sortino is not null and s3>1e-12 then least(greatest((sortino-m3)/s3,-2),2) else 0 end z3, case when s4>1e-12 then least(greatest((tenure_days-m4)/s4,-2),2) else 0 end z4,
-  case when drift is not null and s5>1e-12 then least(greatest((drift-m5)/s5,-2),2) else 0 end z5 from s)
+  case when drift is not null and s5>1e-12 then least(greatest((drift-m5)/s5,-2),2) else 0 end z5 from s)"""
+
+
+@query("quality_scores", "A12 F18 W9 A17 A19", "nav_weekly brand_funds brand_holdings", f"""
+with {SCORED_SQL}
 select as_of, fund_code, round(sm,6) sharpe_med, round(ss,6) sharpe_std, round(sortino,6) sortino, round(drift,6) drift, round(0.35*z1-0.20*z2+0.25*z3+0.10*z4-0.10*z5,6) quality from z where n>=10""")
 def quality_scores(spark, d):
     out = Q.score(brand_pool(spark, d), A.nav_weekly(spark, d), A.brand_holdings(spark, d), half_years(spark, d), RUN_DATE, PARAMS)
@@ -100,10 +104,21 @@ def quality_diagnosis(spark, d):
     return Q.diagnose(space, picks, codes, PARAMS)
 
 
-@query("quality_funnel", "A42")
+@query("quality_funnel", "A42 C12", "nav_weekly brand_funds brand_holdings", f"""
+with {SCORED_SQL},
+pool as (select as_of, fund_code from z where n>=10),
+w2 as (select as_of, fund_code, trade_date from pool join nav_weekly using (fund_code) where trade_date>=date '1996-01-01' and trade_date<=as_of),
+td as (select as_of, count(distinct trade_date) total from w2 group by 1),
+al as (select as_of, fund_code from w2 join td using (as_of) group by as_of, fund_code, total having count(*)>=total*0.95),
+an as (select as_of, count(*) m from al group by 1),
+cd as (select as_of, trade_date from w2 join al using (as_of, fund_code) join an using (as_of) group by as_of, trade_date, m having count(*)=m),
+cc as (select as_of, count(*) common from cd group by 1 having count(*)>=60),
+sc as (select as_of, count(*) scored from pool group by 1)
+select sc.as_of, scored, case when common is not null then m end aligned_pool, cast(common as integer) common_days, (select count(*) from brand_funds) universe, round(common/total,6) common_days_ratio
+from sc left join cc using (as_of) left join an using (as_of) left join td using (as_of)""")
 def quality_funnel(spark, d):
     scored, space = space_of(spark, d)
-    return Q.funnel(brand_pool(spark, d), scored, space)
+    return Q.funnel(brand_pool(spark, d), scored, space).withColumn("common_days_ratio", F.round("common_days_ratio", 6))
 
 
 @query("quality_backtest", "C14 C26")
