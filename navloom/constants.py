@@ -216,3 +216,6 @@ NOTE_SOLD_OUT = "，清仓用于补低配赛道"
 NOTE_SOLD_PART = "，部分卖出用于补低配赛道"
 NOTE_KEPT = "，保留不动"
 NOTE_KEPT_UNUSED = "，本轮无需动用，保留不动"
+
+# Marks of the front and back end at the end of a fund's name, in either kind of brackets.
+SIDE_MARKS = ("（前端）", "（后端）", "(前端)", "(后端)", "（前端)", "（后端)", "(前端）", "(后端）")
