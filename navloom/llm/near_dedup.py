@@ -28,6 +28,8 @@ SYMBOLS, CHUNKS, DISTANCE = 80, 20, 37
 WIDE = 24
 #: rounds of stars before what is left of wide keys is compared by prefixes of the full sets
 STARS = 2
+#: keys that are counted in one task
+KEYS_EACH = 300_000
 #: places of the table of shingle counts that orders them
 COUNTS = 1 << 20
 FACTORS = np.random.default_rng(8).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,16 +75,21 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def key_counts(reps: DataFrame) -> DataFrame:
-    """(k, c): the keys that stand in several representatives, and in how many."""
+    """(k, c): the keys that stand in several representatives, and in how many.
+
+    Most keys are unique, so they are dealt out before they are counted: a table of them on the map side would hold
+    nearly every key of a task. The parts are of KEYS_EACH keys, whatever the input.
+    """
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                keys = mixed(chunk_keys(stacked(batch["sig"])))
-                for i in range(0, len(keys), 1_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 1_000].ravel().view(np.int64))], names=["k"])
+            for i in range(0, batch.num_rows, 1_000):
+                keys = mixed(chunk_keys(stacked(batch["sig"].slice(i, 1_000))))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=["k"])
 
-    return reps.select("sig").mapInArrow(run, "k bigint").groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    parts = reps.count() * CHUNKS * 4 // KEYS_EACH + 1
+    return reps.select("sig").mapInArrow(run, "k bigint").repartition(parts, "k").groupBy("k").agg(
+        F.count("*").alias("c")).where("c > 1")
 
 
 def key_rows(reps: DataFrame, wanted) -> DataFrame:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.texts import as_bytes, bounded_sample, id_fold, rows_pass, word_hashes, words
+from navloom.llm.texts import IN_ROWS, as_bytes, bounded_sample, id_fold, rows_pass, word_hashes, words
+from navloom.session import cut_lineage
 
 #: hashed words, rank of the interactions, bins of a statistic
 BUCKETS, RANK, BINS = 1 << 14, 8, 10
@@ -107,9 +108,11 @@ def fitted(examples: list[tuple], labels: np.ndarray, steps: int = 600, rate: fl
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, folds: int = 5,
             metadata: tuple[str, ...] = ("n_chars",), text: str = "text", key: str = "doc_id") -> Machine:
     """A machine from about `sample` labelled rows outside the held-out fold (crc32 of the id mod `folds` is 0)."""
+    # of several labels for one id the lower one counts
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(
-        (id_fold("k", folds) != 0) & F.col("y").isin(0, 1)).dropDuplicates(["k"])
-    known = F.broadcast(bounded_sample(known, "k", sample))
+        (id_fold("k", folds) != 0) & F.col("y").isin(0, 1)).groupBy("k").agg(F.min("y").alias("y"))
+    # written, so that its size is known to be small when it is joined
+    known = cut_lineage(bounded_sample(known, "k", sample).coalesce(1))
 
     def per_batch(batch):
         extra = [batch[f"m{i}"].to_pylist() for i in range(len(metadata))]
@@ -174,8 +177,10 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
         import pyarrow as pa
 
         for batch in batches:
-            view = {"t": batch.column(text)} | {f"m{i}": batch.column(c) for i, c in enumerate(metadata)}
-            keep = [score >= threshold for score in scores_of(view, machine.value, len(metadata))]
-            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, IN_ROWS):
+                part = batch.slice(at, IN_ROWS)
+                view = {"t": part.column(text)} | {f"m{i}": part.column(c) for i, c in enumerate(metadata)}
+                keep = [score >= threshold for score in scores_of(view, machine.value, len(metadata))]
+                yield part.select(columns).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

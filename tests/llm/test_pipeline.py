@@ -37,12 +37,18 @@ def test_stages_on_awkward_and_empty_tables(session, awkward, no_docs, sf_dir):
     import corpus_pipeline
 
     columns = corpus_pipeline.COLUMNS
-    for start in (awkward.select(columns), no_docs.select(columns)):
+    held = {}
+    for name, start in (("awkward", awkward.select(columns)), ("none", no_docs.select(columns))):
         rows = start
-        for name, stage in corpus_pipeline.STAGES:
-            rows = stage(session, rows, sf_dir)
-            assert name == "packing" or rows.columns == columns
-        assert rows.count() >= 0
+        for step, stage in corpus_pipeline.STAGES:
+            before, rows = rows, stage(session, rows, sf_dir)
+            if step != "packing":
+                assert rows.columns == columns
+                assert rows.exceptAll(before).isEmpty()  # a stage only drops rows
+                last = rows
+        held[name] = rows.select("doc_id").distinct().count()
+        assert held[name] == last.select("doc_id").distinct().count()  # each row that is left is packed
+    assert held["none"] == 0
 
 
 def test_every_operator_is_registered():
@@ -79,6 +85,18 @@ def test_one_row_of_each_group_stays_with_repeated_and_missing_ids(session, sf_d
     assert got(corpus_pipeline.benchmark_stage(session, close, sf_dir)) == want
 
 
+def test_ids_without_room_above_them(session, sf_dir):
+    import corpus_pipeline
+
+    last = 2**63 - 1
+    rows = [(last, "same text"), (last, "same text"), (None, "same text"), (-2**63, "own text"), (None, "no id"), (last - 1, "another")]
+    docs = session.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                   "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        got = sorted(((r.doc_id, r.text) for r in stage(session, docs, sf_dir).collect()), key=str)
+        assert got == sorted([(last, "same text"), (-2**63, "own text"), (None, "no id"), (last - 1, "another")], key=str)
+
+
 def test_exact_stage_keeps_one_awkward_row_of_each_text(session, awkward, sf_dir):
     import corpus_pipeline
 
