@@ -9,8 +9,8 @@ shuffled.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,17 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from navloom.llm.texts import Remembered, as_texts, groups, rows_pass
-from navloom.llm.token_counts import PRE_TOKEN, pre_tokens
+from navloom.llm.texts import as_texts, groups, rows_pass
+from navloom.llm.token_counts import PRE_TOKEN
 from navloom.session import cut_lineage
 
 #: frequent pairs whose counts are broadcast, at most
 FREQUENT = 1 << 17
 #: pairs that are written out at once, and those a task holds before it lets their counts go
 AT_ONCE, HELD = 1 << 20, 1 << 20
-#: stands for a unit whose tokens don't spell it
-NONE = np.uint32(2**32 - 1)
+#: characters of texts that are aligned together, and of a part of a text that is encoded at once
+RUN_CHARS, PART = 500_000, 200_000
 META = "▁"
+START = re.compile("[^ ](?= +[^ ])")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -56,38 +57,69 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(META, " ").encode()
                         for i, p in enumerate(pieces)]
-        spelled = {self.bytes_b[i]: i for i in sorted(range(len(pieces)), key=self.b.is_byte, reverse=True)
+        named = {self.bytes_b[i]: i for i in sorted(range(len(pieces)), key=self.b.is_byte, reverse=True)
                    if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i))}
-        self.same = np.asarray([spelled.get(x, -1) for x in self.bytes_a], np.int64)
+        self.same = np.asarray([named.get(x, -1) for x in self.bytes_a], np.int64)
         self.size_a, self.size_b = (np.asarray(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.names_a, self.names_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
         self.names = [f"{i}|{b}" for i, b in enumerate(self.same.tolist())]
         # where no piece has a space after something else, no merge spans the start of a run of spaces
         self.parts = not any(re.search(f"[^{META}]{META}", p) for p in pieces)
-        self.known_a, self.known_b = Remembered(self.ids_a), Remembered(self.ids_b)
-
-    def ids_a(self, _, piece: str) -> bytes:
-        ids = self.a.encode(piece, add_special_tokens=False).ids
-        return array("I", ids if b"".join(self.bytes_a[i] for i in ids) == piece.encode() else [NONE]).tobytes()
-
-    def ids_b(self, _, unit: str) -> bytes:
-        """A unit starts with the space that the library adds; a lone space at the end is a piece of its own."""
-        ids = self.b.encode(unit[1:], num_threads=1) if len(unit) > 1 else [self.b.piece_to_id(META)]
-        return array("I", ids if b"".join(self.bytes_b[i] for i in ids) == unit.encode() else [NONE]).tobytes()
+        self.ranked = ranked_encoding(path_a, code)
+
+    def ids_a(self, text: str) -> np.ndarray:
+        """The ids of a whole text; none where they don't spell it."""
+        ids = self.ranked.encode_ordinary(text) if self.ranked else self.a.encode(text, add_special_tokens=False).ids
+        same = b"".join([self.bytes_a[i] for i in ids]) == text.encode()
+        return np.asarray(ids if same else [], np.uint32)
+
+    def ids_b(self, text: str) -> np.ndarray:
+        """The same by the other library, which adds the first space itself."""
+        ids = [i for part in self.parted(text) for i in self.b.encode(part[1:], num_threads=1)]
+        same = b"".join([self.bytes_b[i] for i in ids]) == text.encode()
+        return np.asarray(ids if same else [], np.uint32)
+
+    def parted(self, text: str) -> Iterator[str]:
+        """Parts of about PART characters that start with a space after something else and aren't spaces only."""
+        at = 0
+        while self.parts and len(text) - at > PART and (m := START.search(text, at + PART)):
+            yield text[at:m.start() + 1]
+            at = m.start() + 1
+        yield text[at:]
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text after a space, by both; none of either where one of them doesn't spell the text."""
         none = np.zeros(0, np.uint32)
-        spaced = [" " + t if t else "" for t in texts]
-        parts_a = [pre_tokens(PRE_TOKEN)(t) for t in spaced]
-        parts_b = [re.findall(" +[^ ]*", t) if self.parts else [t] if t else [] for t in spaced]
-        known_a, known_b = self.known_a.ready(parts_a), self.known_b.ready(parts_b)
-        for t, one, two in zip(spaced, parts_a, parts_b):
-            a = np.frombuffer(b"".join(map(known_a.__getitem__, one)), np.uint32)
-            b = np.frombuffer(b"".join(map(known_b.__getitem__, two)), np.uint32)
-            if sum(map(len, one)) != len(t) or (a == NONE).any() or (b == NONE).any():
-                a = b = none
-            yield a, b
+        for t in texts:
+            b = self.ids_b(" " + t) if t else none
+            a = self.ids_a(" " + t) if len(b) else none
+            yield (a, b) if len(a) else (none, none)
+
+
+def ranked_encoding(path: str, code: dict[str, int]):
+    """The same vocabulary for the faster library that merges by rank, where the file allows it, else None.
+
+    Ids must rise with the order of the merges, and texts must be parted by the byte-level pattern and nothing else.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    model, before = stated["model"], stated.get("pre_tokenizer") or {}
+    merged = [model["vocab"][a + b] for a, b in (m.split(" ") if isinstance(m, str) else m for m in model.get("merges", []))]
+    plain = (model.get("type") == "BPE" and merged == sorted(merged) and not stated.get("normalizer") and not model.get("dropout")
+             and not model.get("ignore_merges") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+             and not before.get("add_prefix_space"))
+    if not plain:
+        return None
+    special = {t["content"] for t in stated.get("added_tokens", [])}
+    ranks = {bytes(code[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding(path, pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+
+def spelled(unit: str, ids: list[int], entries: list[bytes]) -> bytes:
+    """The ids of a unit whose entries spell it, else NONE, as unsigned 32-bit numbers."""
+    return array("I", ids if b"".join([entries[i] for i in ids]) == unit.encode() else [NONE]).tobytes()
 
 
 @lru_cache(1)
@@ -121,6 +153,10 @@ def crossed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, na, nb, fa, fb, width
 
 def counted(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sums n of equal (doc, key), in their order."""
+    if len(key) and (width := int(key.max()) + 1) < 2**62 // (int(doc.max()) + 1):
+        both, at, times = np.unique(doc * width + key, return_inverse=True, return_counts=True)
+        sums = times if (n == 1).all() else np.bincount(at, n, len(both)).astype(np.int64)
+        return both // width, both % width, sums
     order = np.lexsort((key, doc))
     doc, key, n = doc[order], key[order], n[order]
     new = np.ones(len(doc), bool)
@@ -129,52 +165,54 @@ def counted(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return doc[first], key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def run_rows(p: Pair, texts: list[str]) -> Iterator[tuple]:
+    """The numbers, digest and pairs of each text, worked out for all of them together."""
+    made = list(p.encoded(texts))
+    sizes_a, sizes_b = (np.asarray([len(m[i]) for m in made]) for i in (0, 1))
+    a, b = (np.concatenate([m[i] for m in made]).astype(np.int64) for i in (0, 1))
+    # all texts in a row: each one ends where a token of both does
+    ends_a, ends_b = np.cumsum(p.size_a[a]), np.cumsum(p.size_b[b])
+    at = np.searchsorted(ends_b, ends_a)
+    last_a = np.flatnonzero(ends_b[np.minimum(at, len(b) - 1)] == ends_a) if len(b) else at
+    last_b = at[last_a]
+    na, nb = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    fa, fb = last_a - na + 1, last_b - nb + 1
+    doc = np.searchsorted(np.cumsum(sizes_a), last_a, "right")
+    regular = (na == 1) & (nb == 1) & (p.same[a[last_a]] == b[last_b])
+    odd = np.flatnonzero(~regular)
+
+    names = list(map(p.names.__getitem__, a[last_a].tolist()))
+    left, right, name_a, name_b = a.tolist(), b.tolist(), p.names_a, p.names_b
+    for g, i, m, j, n in zip(odd.tolist(), *(x[odd].tolist() for x in (fa, na, fb, nb))):
+        names[g] = ",".join([name_a[x] for x in left[i:i + m]]) + "|" + ",".join([name_b[x] for x in right[j:j + n]])
+
+    width = len(p.bytes_b)
+    od, ok, on = crossed(a, b, doc[odd], na[odd], nb[odd], fa[odd], fb[odd], width)
+    alike = p.same[ok // width] == ok % width  # a pair of the same bytes that an irregular group links
+    plain = a[last_a[regular]]
+    sd, sk, sn = counted(np.concatenate([doc[regular], od[alike]]), np.concatenate([plain, ok[alike] // width]),
+                         np.concatenate([np.ones(len(plain), np.int64), on[alike]]))
+    od, ok, on = od[~alike], ok[~alike], on[~alike]
+    links = np.bincount(doc, na * nb, len(texts)).astype(np.int64)
+    each = np.arange(len(texts) + 1)
+    gs, ss, os_ = (np.searchsorted(x, each).tolist() for x in (doc, sd, od))
+    for i in range(len(texts)):
+        g, s, o = (slice(x[i], x[i + 1]) for x in (gs, ss, os_))
+        digest = hashlib.sha256(";".join(names[g]).encode()).hexdigest() if sizes_a[i] else ""
+        yield (int(sizes_a[i]), int(sizes_b[i]), g.stop - g.start, int(links[i]), digest,
+               sk[s].astype("<u4").tobytes(), sn[s].astype("<u4").tobytes(),
+               ok[o].astype("<i8").tobytes(), on[o].astype("<u4").tobytes())
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str, text: str, key: str) -> DataFrame:
     """Per row: its numbers and digest, the A ids it links with the B id of the same bytes (`same`, with their links)
     and its other pairs (`other`, as A id * B's vocabulary + B id, with their links)."""
 
-    def per_run(p: Pair, texts: list[str]) -> Iterator[tuple]:
-        made = list(p.encoded(texts))
-        sizes_a, sizes_b = (np.asarray([len(m[i]) for m in made]) for i in (0, 1))
-        a, b = (np.concatenate([m[i] for m in made]).astype(np.int64) for i in (0, 1))
-        # all texts in a row: each one ends where a token of both does
-        ends_a, ends_b = np.cumsum(p.size_a[a]), np.cumsum(p.size_b[b])
-        at = np.searchsorted(ends_b, ends_a)
-        last_a = np.flatnonzero(ends_b[np.minimum(at, len(b) - 1)] == ends_a) if len(b) else at
-        last_b = at[last_a]
-        na, nb = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        fa, fb = last_a - na + 1, last_b - nb + 1
-        doc = np.searchsorted(np.cumsum(sizes_a), last_a, "right")
-        regular = (na == 1) & (nb == 1) & (p.same[a[last_a]] == b[last_b])
-        odd = np.flatnonzero(~regular)
-
-        names = list(map(p.names.__getitem__, a[last_a].tolist()))
-        left, right = list(map(p.names_a.__getitem__, a.tolist())), list(map(p.names_b.__getitem__, b.tolist()))
-        for g, i, m, j, n in zip(*(x[odd].tolist() for x in (np.arange(len(na)), fa, na, fb, nb))):
-            names[g] = f"{','.join(left[i:i + m])}|{','.join(right[j:j + n])}"
-
-        width = len(p.bytes_b)
-        od, ok, on = crossed(a, b, doc[odd], na[odd], nb[odd], fa[odd], fb[odd], width)
-        alike = p.same[ok // width] == ok % width  # a pair of the same bytes that an irregular group links
-        plain = a[last_a[regular]]
-        sd, sk, sn = counted(np.concatenate([doc[regular], od[alike]]), np.concatenate([plain, ok[alike] // width]),
-                             np.concatenate([np.ones(len(plain), np.int64), on[alike]]))
-        od, ok, on = od[~alike], ok[~alike], on[~alike]
-        links = np.bincount(doc, na * nb, len(texts)).astype(np.int64)
-        each = np.arange(len(texts) + 1)
-        gs, ss, os_ = (np.searchsorted(x, each).tolist() for x in (doc, sd, od))
-        for i in range(len(texts)):
-            g, s, o = (slice(x[i], x[i + 1]) for x in (gs, ss, os_))
-            digest = hashlib.sha256(";".join(names[g]).encode()).hexdigest() if sizes_a[i] else ""
-            yield (int(sizes_a[i]), int(sizes_b[i]), g.stop - g.start, int(links[i]), digest,
-                   sk[s].astype("<u4").tobytes(), sn[s].astype("<u4").tobytes(),
-                   ok[o].astype("<i8").tobytes(), on[o].astype("<u4").tobytes())
-
     def per_batch(batch):
         p = pair_of(path_a, path_b)
         rows, keys, texts = batch["row"].to_pylist(), batch["k"].to_pylist(), as_texts(batch["t"])
-        for part in groups(texts):
-            yield from ((r, k, *x) for r, k, x in zip(rows[part], keys[part], per_run(p, texts[part])))
+        for part in groups(texts, RUN_CHARS):
+            yield from ((r, k, *x) for r, k, x in zip(rows[part], keys[part], run_rows(p, texts[part])))
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
     return rows_pass(source, per_batch, "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, "

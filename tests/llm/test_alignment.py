@@ -115,6 +115,29 @@ def test_groups_crossed_by_their_distinct_ids(session, monkeypatch):
     assert want == brute(list(enumerate(ODD)))
 
 
+def test_long_texts_are_encoded_in_parts(session, monkeypatch):
+    texts = [*ODD, "  ".join(ODD), " ".join(ODD) + " ", "word " * 50]
+    want = brute(list(enumerate(texts)))
+    p = alignment.pair_of(A, B)
+    monkeypatch.setattr(alignment, "PART", 3)
+    for text in texts:
+        parts = list(p.parted(" " + text))
+        assert "".join(parts) == " " + text and all(x[0] == " " and x.strip(" ") for x in parts[1:])
+        whole = p.b.encode(text) if text else []
+        assert [i for x in parts for i in p.b.encode(x[1:])] == whole
+    assert got(frame(session, texts)) == want
+
+
+def test_both_libraries_give_the_same_ids_for_the_byte_level_file():
+    p = alignment.pair_of(A, B)
+    draw = random.Random(7)
+    assert p.ranked is not None
+    for _ in range(2000):
+        text = "".join(chr(draw.choice((draw.randrange(32, 127), draw.randrange(0, 0x3000), draw.randrange(0xE000, 0x1F900))))
+                       for _ in range(draw.randint(1, 40)))
+        assert p.ranked.encode_ordinary(text) == p.a.encode(text, add_special_tokens=False).ids
+
+
 def test_every_b_id_of_the_identity_table_spells_its_a_id():
     p = alignment.pair_of(A, B)
     held = [i for i, b in enumerate(p.same.tolist()) if b >= 0]
