@@ -84,6 +84,46 @@ def test_long_lists_are_matched_in_blocks(spark):
     assert len(whole) > 100 and rows(3) == whole and rows(1) == whole
 
 
+def test_long_lists_are_added_up_inside_tasks(spark, monkeypatch):
+    """Entries that meet many holders never become shuffled pairs, even where the lists are asked for."""
+    stocks, industries, v = vectors(spark, 40, 7)
+    want = dense_distance(stocks, industries, 40)
+    monkeypatch.setattr(M, "listed_edges", None)
+    got = {(int(r.i), int(r.j)): r.dist for r in M.similarity_edges(v, ["set"], 16, 0.3, float("inf"), meets=2.0).collect()}
+    assert got.keys() == {(i, j) for i in range(40) for j in range(i + 1, 40) if 1 - want[i, j] / 2 >= 0.3}
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
+
+
+@pytest.mark.parametrize("step", [1, 4, 512])
+def test_blocks_of_two_tiles_have_all_sums(spark, step):
+    """Whole rows and picked places, one side with itself and with another."""
+    stocks, industries, v = vectors(spark, 21, 8, keys=30)
+    want = dense_distance(stocks, industries, 21)
+    rows = M.flat(v).toArrow().sort_by("pos")
+    for cut in (0, 9):
+        left, right = (rows, rows) if not cut else (rows.slice(0, cut), rows.slice(cut))
+        seen = np.full((len(left), len(right)), np.nan)
+        for a, b, stock, industry in M.block_sums(left, right, not cut, step):
+            seen[a:a + len(stock), b:b + stock.shape[1]] = 2 * (1 - 0.6 * stock - 0.4 * industry)
+        for i in range(len(left)):
+            for j in range(len(right)):
+                if i < j + cut:
+                    assert abs(seen[i, j] - want[i, j + cut]) < 1e-12
+
+
+def test_sets_of_thousands_are_solved_in_their_task(spark, monkeypatch):
+    monkeypatch.setattr(T, "clusters_by_rounds", None)
+    rows = [(1, f"{f:06d}", f"s{f % 7}", 1.0) for f in range(2_400)]
+    v = M.fund_vectors(spark.createDataFrame(rows, "set int, fund_code string, key string, ratio double"),
+                       spark.createDataFrame([], "set int, fund_code string, key string, ratio double"), ["set"])
+    got = {int(r.fund_code): r.cluster_id for r in T.theme_clusters(v, ["set"]).collect()}
+    groups = {}
+    for f, c in got.items():
+        groups.setdefault(f % 7, set()).add(c)
+    assert len(got) == 2_400 and len(set(got.values())) == 40
+    assert sum(len(c) for c in groups.values()) == 40  # no group of equal funds meets another one
+
+
 @pytest.mark.parametrize("limit", [2000, 5])
 def test_clusters_match_the_definition(spark, limit):
     n = 24
@@ -104,6 +144,15 @@ def test_both_forms_of_the_rounds_agree_on_ties():
     assert T.merge_labels(np.full((4, 4), 2.0), 2).tolist() == T.merge_labels(np.full((4, 4), 2.0), 2).tolist()
 
 
+def test_rounds_match_the_definition_when_the_matrix_shrinks():
+    rng = np.random.default_rng(4)
+    for n in (5, 33, 60):
+        points = rng.normal(size=(n, 3))
+        dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        for k in (1, 4, n):
+            assert T.merge_labels(dist, k).tolist() == step_ward(dist, k)
+
+
 def test_sets_below_three_funds_are_left_out(spark):
     assert T.theme_clusters(vectors(spark, 2, 1)[2], ["set"]).count() == 0
 
