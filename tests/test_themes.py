@@ -94,6 +94,15 @@ def test_long_lists_are_added_up_inside_tasks(spark, monkeypatch):
     assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
 
 
+def test_repeated_keys_meet_alike_in_lists_and_tiles(spark):
+    stocks, industries, _ = vectors(spark, 12, 9)
+    again = stocks + stocks[::5]
+    v = M.fund_vectors(spark.createDataFrame(again, "set int, fund_code string, key string, ratio double"),
+                       spark.createDataFrame(industries, "set int, fund_code string, key string, ratio double"), ["set"])
+    rows = lambda dense: sorted((r.i, r.j, round(r.dist, 9)) for r in M.similarity_edges(v, ["set"], least=0.2, dense=dense).collect())
+    assert len(rows(0.0)) > 10 and rows(0.0) == rows(float("inf"))
+
+
 @pytest.mark.parametrize("step", [1, 4, 512])
 def test_blocks_of_two_tiles_have_all_sums(spark, step):
     """Whole rows and picked places, one side with itself and with another."""
