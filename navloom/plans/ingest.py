@@ -20,6 +20,7 @@ from navloom.sources import sinks as K
 from navloom.streaming import jobs as J
 
 TEXT = lambda c: F.col(c).cast("string")
+FILE_ROWS = 2_000_000  # of an increment's file, so that no task writes or reads a whole year
 
 
 def nav_scripts(spark, d):
@@ -342,16 +343,18 @@ def stream_nav_upsert(spark, d):
 @query("stream_first_values", "T2", "", """
 select printf('%06d', l_suppkey) fund_code, cast(l_shipdate as date) trade_date, count(*) n from lineitem group by 1,2""")
 def stream_first_values(spark, d):
-    """Increments that arrive in the order of their days, one file per year: repeats are dropped, none is late."""
+    """Increments that arrive in the order of their days, two years a batch: repeats are dropped, none is late."""
     rows, state = stream_paths(spark)
     lines = A.table(spark, d, "lineitem").select(
         A.code6("l_suppkey").alias("fund_code"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.year("l_shipdate").alias("y"))
     counted = cut_lineage(lines.groupBy("fund_code", "ts", "y").agg(F.count("*").alias("n")))
-    for r in counted.select("y").distinct().orderBy("y").collect():
-        part = counted.where(F.col("y") == r["y"]).drop("y")
-        part.unionByName(part.where(F.dayofmonth("ts") == 1)).coalesce(1).write.parquet(f"{rows}/in/{r['y']}")
-    stream = J.read_files(spark, f"{rows}/in/*", "*.parquet", counted.drop("y").schema, files_per_batch=2)
+    years = {r["y"]: r["count"] // FILE_ROWS + 1 for r in counted.groupBy("y").count().orderBy("y").collect()}
+    for y, files in years.items():
+        part = counted.where(F.col("y") == y).drop("y")
+        part.unionByName(part.where(F.dayofmonth("ts") == 1)).repartition(files).write.parquet(f"{rows}/in/{y}")
+    stream = J.read_files(spark, f"{rows}/in/*", "*.parquet", counted.drop("y").schema,
+                          files_per_batch=2 * max(years.values(), default=1))
     J.first_or_late(stream, ["fund_code", "ts"], "ts", f"{rows}/out", state, late_days=400)
     return spark.read.parquet(f"{rows}/out/first").select("fund_code", F.col("ts").cast("date").alias("trade_date"), "n")
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from navloom.plans import ingest
 from navloom.sources.adapters import code6
 from navloom.streaming import jobs as J
 
@@ -80,3 +81,21 @@ def test_late_rows_are_named_and_repeats_are_dropped(spark, tmp_path):
     got = lambda name: sorted((r.k, r.n, r.batch) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect())
     assert got("late") == [("b", 7, 1), ("d", 6, 1), ("f", 13, 3), ("g", 11, 3)]
     assert got("first") == [("a", 1, 0), ("b", 2, 0), ("c", 5, 1), ("e", 8, 2), ("f", 9, 2), ("h", 12, 3)]
+
+
+def test_a_year_of_increments_lands_in_several_files(spark, tmp_path, monkeypatch):
+    days = "explode(sequence(date'1995-01-01', date'1997-12-31', interval 1 day))"
+    lines = spark.range(2).selectExpr("id + 1 as l_suppkey", f"{days} as l_shipdate")
+    lines.unionByName(lines.limit(50)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    landed, plain = {}, J.read_files
+
+    def read(session, folder, *rest, **more):
+        for year in (1995, 1996, 1997):
+            landed[year] = session.read.parquet(f"{folder[:-2]}/{year}").select(F.input_file_name()).distinct().count()
+        return plain(session, folder, *rest, **more)
+
+    monkeypatch.setattr(J, "read_files", read)
+    monkeypatch.setattr(ingest, "FILE_ROWS", 300, raising=False)
+    got = ingest.stream_first_values(spark, str(tmp_path)).collect()
+    assert landed == {1995: 3, 1996: 3, 1997: 3}
+    assert len({(r.fund_code, r.trade_date) for r in got}) == len(got) == 2 * 1096 and sum(r.n for r in got) == 2 * 1096 + 50
