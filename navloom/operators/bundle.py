@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from navloom.functions import scalars as X
 from navloom.operators import holdings as O
 from navloom.operators.joins import forward_first
-from navloom.operators.windows import top_holdings
 from navloom.session import cut_lineage
 
 
@@ -76,12 +75,8 @@ def holdings_record(holdings: DataFrame, industry: DataFrame) -> DataFrame:
     besides the trends and the sector focus. A fund has a few quarters of ten rows each, so its lists are bounded.
     """
     key = ["fund_code", "quarter"]
-    profile = cut_lineage(O.quarter_profile(holdings, industry))
-    stocks = holdings.where((F.col("holding_type") == "stock") & F.col("hold_ratio").isNotNull())
-    top = O.with_industry(top_holdings(stocks, 10, newest_only=False, by=["fund_code"]), industry)
-    l1 = X.effective_l1()
-    top = cut_lineage(top.withColumn("own_l1", F.nullif(l1, F.lit(""))).withColumn(
-        "l1", F.when(l1 == "", "未知").otherwise(l1)).withColumn("theme", X.theme_of(l1)))
+    top = O.quarter_tops(holdings, industry)
+    profile = cut_lineage(O.quarter_profile(holdings, industry, top))
 
     def mix(name: str, most: int) -> DataFrame:
         sums = top.groupBy(*key, name).agg(F.sum("hold_ratio").alias("ratio"))

@@ -148,18 +148,23 @@ def drift_at(holdings: DataFrame, dates: DataFrame) -> DataFrame:
     return seen.select("as_of", "fund_code", (F.col("distance") / F.col("n")).alias("drift"))
 
 
-def quarter_profile(holdings: DataFrame, industry: DataFrame) -> DataFrame:
-    """Concentration and industry structure of every fund and quarter."""
+def quarter_tops(holdings: DataFrame, industry: DataFrame) -> DataFrame:
+    """The ten largest stocks of every fund and quarter with industry and theme, and how many stocks there are."""
     stocks = holdings.where((F.col("holding_type") == "stock") & F.col("hold_ratio").isNotNull())
-    key = ["fund_code", "quarter"]
-    counts = stocks.groupBy(*key).agg(F.count("*").alias("num_stock"))
-    top = with_industry(top_holdings(stocks, 10, newest_only=False, by=["fund_code"]), industry)
+    counted = stocks.withColumn("num_stock", F.count("*").over(Window.partitionBy("fund_code", "quarter")))
+    top = with_industry(top_holdings(counted, 10, newest_only=False, by=["fund_code"]), industry)
     l1 = X.effective_l1()
-    # ten rows per fund and quarter, used four times below
-    top = cut_lineage(top.withColumn("l1", F.when(l1 == "", "未知").otherwise(l1)).withColumn("theme", X.theme_of(l1)))
+    return cut_lineage(top.withColumn("own_l1", F.nullif(l1, F.lit(""))).withColumn(
+        "l1", F.when(l1 == "", "未知").otherwise(l1)).withColumn("theme", X.theme_of(l1)))
+
+
+def quarter_profile(holdings: DataFrame, industry: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """Concentration and industry structure of every fund and quarter; `top` has its quarter_tops, if there already."""
+    key = ["fund_code", "quarter"]
+    top = quarter_tops(holdings, industry) if top is None else top  # ten rows per fund and quarter, used three times below
     upto = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("hold_ratio")))
     shape = top.groupBy(*key).agg(
-        upto(1).alias("top1_ratio"), upto(3).alias("top3_ratio"), upto(5).alias("top5_ratio"), upto(10).alias("top10_ratio"),
+        F.max("num_stock").alias("num_stock"), upto(1).alias("top1_ratio"), upto(3).alias("top3_ratio"), upto(5).alias("top5_ratio"), upto(10).alias("top10_ratio"),
         F.sum(F.pow(F.col("hold_ratio") / 100, 2)).alias("hhi_top10"), F.count_if(F.col("l1") != "未知").alias("l1_mapped"),
         F.max(F.when(F.col("rank") == 1, F.col("asset_name"))).alias("top1_name"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_code"))), lambda s: s["asset_code"]).alias("codes_top10"))
@@ -173,7 +178,7 @@ def quarter_profile(holdings: DataFrame, industry: DataFrame) -> DataFrame:
         ).select(*key, F.col("t.k").alias(f"top_{name}"), (F.col("t.v") / F.col("all") * 100).alias(f"top_{name}_share"), f"distinct_{name}")
 
     return (
-        counts.join(shape, key).join(mix("l1"), key).join(mix("theme"), key)
+        shape.join(mix("l1"), key).join(mix("theme"), key)
         .withColumn("is_full_report", F.col("num_stock") > 15)
     )
 

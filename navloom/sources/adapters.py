@@ -120,18 +120,18 @@ def _quarter_name(c: str):
 
 
 def fund_holdings(spark, d) -> DataFrame:
-    """Quarterly holdings; sums and ratios are taken on the numeric keys, names come last."""
+    """Quarterly holdings; sums are taken on the numeric keys, ratios by the names that later steps group by."""
     rows = (
         table(spark, d, "lineitem")
         .groupBy("l_suppkey", _quarter_number("l_shipdate").alias("q"), "l_partkey")
         .agg(F.sum("l_extendedprice").alias("hold_market_value"))
     )
     parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return with_ratio(rows, ["l_suppkey", "q"]).select(
+    rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         code6("l_suppkey").alias("fund_code"), _quarter_name("q").alias("quarter"),
         F.when(F.col("p_type") == "PROMO", "bond").otherwise("stock").alias("holding_type"),
-        code6("l_partkey").alias("asset_code"), F.col("p_name").alias("asset_name"), "hold_market_value", "hold_ratio")
+        code6("l_partkey").alias("asset_code"), F.col("p_name").alias("asset_name"), "hold_market_value")
+    return with_ratio(rows, ["fund_code", "quarter"])
 
 
 def holdings_overlap(spark, d) -> DataFrame:
