@@ -5,7 +5,10 @@ All series have one row per (fund, day): a window holds at most a fund's trading
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructType
 from pyspark.sql.window import Window
 
 from navloom import constants as K
@@ -61,6 +64,51 @@ def rebase(df: DataFrame, by: list[str], date: str = "trade_date", value: str =
         to, F.when(F.coalesce(F.col("_base"), F.lit(0.0)) != 0, F.col(value) / F.col("_base"))).drop("_base")
 
 
+def trailing_stats(values: np.ndarray, known: np.ndarray, rows: int, spread: bool = True) -> dict[str, np.ndarray]:
+    """n, mean and population deviation (sigma, with `spread`) of the known values among the last `rows` up to each place.
+
+    The stretches of all places take up their values together, oldest first, as a window's aggregates do.
+    """
+    n, total, mean, m2 = (np.zeros(len(values)) for _ in range(4))
+    values = np.where(known, values, 0.0)
+    with np.errstate(all="ignore"):
+        for k in range(min(rows, len(values)) - 1, -1, -1):
+            x, here = values[:len(values) - k], known[:len(values) - k]
+            n[k:] += here
+            total[k:] += x
+            if spread:
+                delta = x - mean[k:]
+                step = delta / n[k:]
+                mean[k:] += np.where(here, step, 0.0)
+                m2[k:] += np.where(here, delta * (delta - step), 0.0)
+        return {"n": n, "mean": total / n, **({"sigma": np.sqrt(m2 / n)} if spread else {})}
+
+
+def with_trailing(df: DataFrame, by: list[str], order: str, stats: dict[str, tuple[str, int, bool]]) -> DataFrame:
+    """Adds `trailing_stats` of (column, rows, spread) as <name>_n, <name>_mean, <name>_sigma; of no known value the
+    latter are null.
+
+    A sliding frame takes up all its rows again at every row; here a key's rows, which are one series, go through once
+    as arrays.
+    """
+    schema = StructType([*df.schema.fields])
+    for name, (_, _, spread) in stats.items():
+        for part in ("n", "mean", *(["sigma"] if spread else [])):
+            schema = schema.add(f"{name}_{part}", DoubleType())
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        for name, (column, last, spread) in stats.items():
+            values = rows[column].combine_chunks().cast(pa.float64())
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            found = trailing_stats(values.to_numpy(zero_copy_only=False), known, last, spread)
+            for part, x in found.items():
+                rows = rows.append_column(f"{name}_{part}", pa.array(x, mask=None if part == "n" else found["n"] == 0))
+        return rows
+
+    return df.groupBy(*by).applyInArrow(run, schema)
+
+
 def factors(series: DataFrame, by: list[str] = ("fund_code",), date: str = "trade_date", value: str = "value") -> DataFrame:
     """Momentum, short risk-adjusted return, breadth, streak and deviation at every row.
 
@@ -74,9 +122,6 @@ def factors(series: DataFrame, by: list[str] = ("fund_code",), date: str = "trad
     def back(n):
         return F.lag(value, n).over(w)
 
-    def trailing(n):
-        return w.rowsBetween(-(n - 1), 0)
-
     df = series.withColumn("i", F.row_number().over(w))
     # weighted returns over the horizons that exist, weights renormalised
     num, den = F.lit(0.0), F.lit(0.0)
@@ -87,20 +132,6 @@ def factors(series: DataFrame, by: list[str] = ("fund_code",), date: str = "trad
     df = df.withColumn("_num", num).withColumn("_den", den)
     df = df.withColumn("momentum_raw", F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))).drop("_num", "_den")
     df = df.withColumn("_r", v / back(1) - 1)
-    sigma, mean = F.stddev_pop("_r").over(trailing(60)), F.avg("_r").over(trailing(60))
-    df = df.withColumn("risk_adj_raw", F.when(
-        (F.count("_r").over(trailing(60)) >= 20) & (sigma > 0), mean / sigma * F.sqrt(F.lit(252.0))))
-    df = df.withColumn("_ma20", F.when(F.col("i") >= 20, F.avg(value).over(trailing(20))))
-    df = df.withColumn("_ma60", F.when(F.col("i") >= 60, F.avg(value).over(trailing(60))).otherwise(F.col("_ma20")))
-    score = F.when(v > F.col("_ma20"), 60.0).otherwise(0.0) + F.when(v > F.col("_ma60"), 40.0).otherwise(0.0)
-    d20 = F.when(F.col("_ma20") > 0, (v / F.col("_ma20") - 1) * 100.0).otherwise(0.0)
-    d60 = F.when(F.col("_ma60") > 0, (v / F.col("_ma60") - 1) * 100.0).otherwise(0.0)
-    bonus = F.least(F.greatest(d20, F.lit(-10.0)), F.lit(10.0))
-    df = df.withColumn("breadth", F.when(F.col("i") < 20, 50.0).otherwise(
-        F.least(F.greatest(score + bonus, F.lit(0.0)), F.lit(100.0))))
-    df = df.withColumn("d20", F.when(F.col("i") < 20, 0.0).otherwise(d20))
-    df = df.withColumn("d60", F.when(F.col("i") < 20, 0.0).otherwise(d60))
-    df = df.withColumn("deviation", F.when(F.col("i") < 20, 0.0).otherwise(0.6 * d20 + 0.4 * d60))
     # rows 20 apart form one chain of months; the streak is the distance to its last month that did not rise
     df = df.withColumn("_up", v > back(20)).withColumn("_chain", F.col("i") % 20)
     chain = Window.partitionBy(*by, "_chain").orderBy("i")
@@ -111,7 +142,23 @@ def factors(series: DataFrame, by: list[str] = ("fund_code",), date: str = "trad
     df = df.withColumn("_run", F.col("_place") - broke)
     df = df.withColumn("consistency", F.when(months < 2, 50.0).otherwise(
         F.least(F.col("_run"), months - 1) / (months - 1) * 100.0))
-    return df.drop("_r", "_ma20", "_ma60", "_up", "_chain", "_place", "_run")
+    stats = {"_ret": ("_r", 60, True), "_v20": (value, 20, False), "_v60": (value, 60, False)}
+    df = with_trailing(df.drop("_up", "_chain", "_place", "_run"), by, "i", stats)
+    sigma, mean = F.col("_ret_sigma"), F.col("_ret_mean")
+    df = df.withColumn("risk_adj_raw", F.when(
+        (F.col("_ret_n") >= 20) & (sigma > 0), mean / sigma * F.sqrt(F.lit(252.0))))
+    df = df.withColumn("_ma20", F.when(F.col("i") >= 20, F.col("_v20_mean")))
+    df = df.withColumn("_ma60", F.when(F.col("i") >= 60, F.col("_v60_mean")).otherwise(F.col("_ma20")))
+    score = F.when(v > F.col("_ma20"), 60.0).otherwise(0.0) + F.when(v > F.col("_ma60"), 40.0).otherwise(0.0)
+    d20 = F.when(F.col("_ma20") > 0, (v / F.col("_ma20") - 1) * 100.0).otherwise(0.0)
+    d60 = F.when(F.col("_ma60") > 0, (v / F.col("_ma60") - 1) * 100.0).otherwise(0.0)
+    bonus = F.least(F.greatest(d20, F.lit(-10.0)), F.lit(10.0))
+    df = df.withColumn("breadth", F.when(F.col("i") < 20, 50.0).otherwise(
+        F.least(F.greatest(score + bonus, F.lit(0.0)), F.lit(100.0))))
+    df = df.withColumn("d20", F.when(F.col("i") < 20, 0.0).otherwise(d20))
+    df = df.withColumn("d60", F.when(F.col("i") < 20, 0.0).otherwise(d60))
+    df = df.withColumn("deviation", F.when(F.col("i") < 20, 0.0).otherwise(0.6 * d20 + 0.4 * d60))
+    return df.drop("_r", "_ma20", "_ma60", *[c for c in df.columns if c.startswith(("_ret_", "_v20_", "_v60_"))])
 
 
 def momentum_to_first(prices: DataFrame, by: list[str], price: str = "price") -> DataFrame:
