@@ -172,8 +172,9 @@ def clean_text(text) -> Column:
 
 def safe_number(text) -> Column:
     """Number or null; a percent sign is dropped, NaN and dashes are null."""
-    value = F.trim(F.regexp_replace(F.trim(_col(text).cast("string")), "%+$", "")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    text = F.trim(_col(text).cast("string"))
+    bare = F.when(text.contains("%"), F.trim(F.regexp_replace(text, "%+$", ""))).otherwise(text)  # most have no sign
+    return F.nanvl(bare.try_cast("double"), F.lit(None).cast("double"))
 
 
 def csv_items(text) -> Column:

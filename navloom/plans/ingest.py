@@ -26,19 +26,22 @@ FILE_ROWS = 2_000_000  # of an increment's file, so that no task writes or reads
 def nav_scripts(spark, d):
     """Page scripts made from the values; every fifth fund has the money-fund layout, every seventh lists as trend items."""
     ms = F.unix_date("trade_date").cast("bigint") * 86_400_000 - 8 * 3_600_000
-    nav = A.nav_daily(spark, d).withColumn("ms", ms.cast("string"))
+    k = F.col("fund_code").cast("int")
+    layout = F.when(k % 5 == 0, "money").when(k % 7 == 0, "own").otherwise("normal")
+    nav = A.nav_daily(spark, d).withColumn("ms", ms.cast("string")).withColumn("layout", layout)
     point = F.concat(F.lit('{"x":'), "ms", F.lit(',"y":'), TEXT("nav"), F.lit(',"equityReturn":"'), TEXT("nav"), F.lit('%"}'))
     pair = lambda v: F.concat(F.lit("["), "ms", F.lit(","), TEXT(v), F.lit("]"))
-    lists = nav.groupBy("fund_code").agg(
-        F.concat_ws(",", F.collect_list(point)).alias("trend"), F.concat_ws(",", F.collect_list(pair("acc_nav"))).alias("acc"),
-        F.concat_ws(",", F.collect_list(pair("nav"))).alias("income"),
-        F.concat_ws(",", F.collect_list(F.concat(F.lit("["), "ms", F.lit(","), TEXT("nav"), F.lit(',"'), TEXT("nav"), F.lit('%",'),
-                                                 F.coalesce(TEXT("acc_nav"), F.lit('"x"')), F.lit("]")))).alias("listed"))
+    item = F.concat(F.lit("["), "ms", F.lit(","), TEXT("nav"), F.lit(',"'), TEXT("nav"), F.lit('%",'), F.coalesce(TEXT("acc_nav"), F.lit('"x"')), F.lit("]"))
+    # a fund's lists are those of its layout
+    listed = lambda of, text: F.concat_ws(",", F.collect_list(F.when(F.col("layout") == of, text)))
+    lists = nav.groupBy("fund_code", "layout").agg(
+        listed("normal", point).alias("trend"), listed("normal", pair("acc_nav")).alias("acc"),
+        listed("money", pair("nav")).alias("income"), listed("own", item).alias("listed"))
     normal = F.concat(F.lit("/*a*/var Data_netWorthTrend = ["), "trend", F.lit("];var x=1;var Data_ACWorthTrend = ["), "acc", F.lit("];"))
     money = F.concat(F.lit("var Data_millionCopiesIncome=["), "income", F.lit("];"))
     own = F.concat(F.lit("var Data_netWorthTrend=["), "listed", F.lit("];"))
-    k = F.col("fund_code").cast("int")
-    return lists.select("fund_code", F.when(k % 5 == 0, money).when(k % 7 == 0, own).otherwise(normal).alias("payload"))
+    payload = F.when(F.col("layout") == "money", money).when(F.col("layout") == "own", own).otherwise(normal)
+    return lists.select("fund_code", payload.alias("payload"))
 
 
 @query("parse_nav_scripts", "S3 X13 X7", "nav_daily", f"""

@@ -64,6 +64,19 @@ def test_value_scripts_in_all_three_layouts(spark):
                    ("z", "2024-01-01", 1.2, 1.7, None), ("z", "2024-01-02", 1.3, 1.6, 0.5)]
 
 
+def test_a_trend_list_is_read_at_once_as_item_by_item(spark):
+    """Odd items of a list give the same rows whether or not another item sends the list through item by item."""
+    a, b, c = (ms((2024, 1, d)) for d in (1, 2, 3))
+    odd = [f'{{"x":"{a}","y":1}}', f'{{"x":{a},"y":"1.2","equityReturn":"0.5%"}}', f'{{"x":{b},"y":1.30,"z":{{"x":1}}}}', f'{{"y":2}}',
+           f'{{"x":{c},"y":"--","equityReturn":"5%%"}}', f'{{"x":{c},"y":"2.5%","equityReturn":null}}']
+    rest = {"objects": "", "number": ",7", "null": ",null", "text": ',"t"', "list": f',[{c},3,"--"]', "broken": ',{"x":'}
+    scripts = spark.createDataFrame([(k, f"var Data_netWorthTrend = [{','.join(odd)}{x}];") for k, x in rest.items()], "fund_code string, payload string")
+    got = {k: sorted((str(r.trade_date), r.nav, r.daily_return) for r in P.nav_scripts(scripts.where(F.col("fund_code") == k)).collect()) for k in rest}
+    assert got["objects"] == [("2024-01-01", 1.2, 0.5), ("2024-01-02", 1.3, None), ("2024-01-03", 2.5, None)]
+    assert got["number"] == got["null"] == got["text"] == got["objects"] and got["broken"] == []
+    assert got["list"] == [*got["objects"], ("2024-01-03", 3.0, None)]
+
+
 def test_scripts_are_aligned_without_a_shuffle(spark):
     """Gaps, other orders and repeated dates in either list, against a plain lookup; no exchange in the plan."""
     days = [ms((2024, 1, d)) for d in range(1, 29)]
