@@ -35,13 +35,17 @@ def ids_of_word(memo: Remembered, lib, word: str) -> bytes:
     """A word's ids as little-endian unsigned 32-bit numbers.
 
     A sign after letters (also when lower-cased) is one pre-token and letters are lower-cased, so such words are put
-    together from others. All else is left to the library. The special strings are cased.
+    together from others. The letters a-z are one pre-token that stands for itself, so the model alone has their ids.
+    All else is left to the library. The special strings are cased.
     """
     if "<|" not in word:
         if word[-1:] in END_SIGNS and word[:-1].isalpha() and word[:-1].lower().isalpha():
             return memo.one(word[:-1]) + memo.one(word[-1])
-        if word.isascii() and (low := word.lower()) != word:
-            return memo.one(low)
+        if word.isascii():
+            if (low := word.lower()) != word:
+                return memo.one(low)
+            if word.isalpha():
+                return array("I", [token.id for token in lib.model.tokenize(word)]).tobytes()
     return array("I", lib.encode(word, add_special_tokens=False).ids).tobytes()
 
 

@@ -113,3 +113,17 @@ def test_ids_equal_the_library_s_with_a_small_cache():
     for _ in range(3):
         for t in texts:
             assert packing.ids_of([t], known) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_plain_words_are_left_to_the_model():
+    """Words of a-z never pass the whole library, whose steps before the model don't change them; the ids are equal."""
+    lib = Tokenizer.from_file(PATH)
+    draw = random.Random(10)
+    plain = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(1, 30))) for _ in range(2_000)]
+
+    class ModelOnly:
+        model = lib.model
+
+    known = texts_.Remembered(lambda memo, w: packing.ids_of_word(memo, ModelOnly, w))
+    for w in [*plain, "x" * 3_000, "don", "t", "endoftext"]:
+        assert known.one(w) == known.one(w.upper()) == np.asarray(lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
