@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from navloom.operators import history as H
 from navloom.operators import timeline as T
 from navloom.sources import adapters as A
 
@@ -55,6 +56,53 @@ def test_wanted_holdings_keep_their_ratios(spark, tables):
     assert rows_of(A.overlap_quarters(spark, tables)) == rows_of(whole.select("quarter").distinct()) == [("1996Q4",), ("1997Q4",)]
 
 
+def test_rounds_match_a_loop(spark):
+    """Open rounds, a fund without prices before the purchase, one without any, and prices of funds nobody holds."""
+    draw = random.Random(3)
+    prices = {f: [(DAY + dt.timedelta(days=9 * i + start), draw.uniform(1, 2)) for i in range(40)] for f, start in
+              (("a", 0), ("b", 3), ("late", 120), ("other", 1))}
+    rounds = [(DAY + dt.timedelta(days=60), DAY + dt.timedelta(days=150)), (DAY + dt.timedelta(days=150), DAY + dt.timedelta(days=200)),
+              (DAY + dt.timedelta(days=300), None)]
+    picks = [(buy, f, 0.25) for buy, _ in rounds for f in ("a", "b", "late", "none")]
+    nav = spark.createDataFrame([(f, d, None, p) for f, x in prices.items() for d, p in x], "fund_code string, trade_date date, acc_nav double, nav double")
+    funds, totals = H.round_returns(
+        spark.createDataFrame(rounds, "buy_date date, sell_date date"),
+        spark.createDataFrame(picks, "as_of date, fund_code string, weight double"), nav,
+        nav.groupBy("trade_date").agg(F.avg("nav").alias("price")))
+    at = lambda f, day: next((p for d, p in reversed(prices.get(f, [])) if d <= day), None)
+    want = {}
+    for buy, sell in rounds:
+        for f in ("a", "b", "late", "none"):
+            both = sell and at(f, buy) and at(f, sell)
+            want[buy, f] = None if sell is None else at(f, sell) / at(f, buy) - 1 if both else 0.0
+    got = {(r.buy_date, r.fund_code): r.ret for r in funds.collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == (v if v is None else pytest.approx(v)), k
+    for r in totals.collect():
+        assert r.n_funds == 4
+        mine = [want[r.buy_date, f] for f in ("a", "b", "late", "none")]
+        assert r.portfolio_return == (None if r.sell_date is None else pytest.approx(sum(mine) / 4))
+
+
+def test_only_prices_of_held_funds_are_related_to_the_dates(spark, monkeypatch):
+    """In one pass for both ends of the rounds."""
+    seen = []
+    plain = H.asof
+
+    def watched(events, series, *args, **kw):
+        seen.append((sorted(events.columns), series))
+        return plain(events, series, *args, **kw)
+
+    monkeypatch.setattr(H, "asof", watched)
+    nav = spark.createDataFrame([(f"f{i}", DAY, None, 1.0) for i in range(50)], "fund_code string, trade_date date, acc_nav double, nav double")
+    H.round_returns(spark.createDataFrame([(DAY, DAY)], "buy_date date, sell_date date"),
+                    spark.createDataFrame([(DAY, "f7", 1.0)], "as_of date, fund_code string, weight double"), nav,
+                    nav.groupBy("trade_date").agg(F.avg("nav").alias("price")))
+    related = [series for columns, series in seen if "fund_code" in columns]
+    assert len(related) == 1 and related[0].count() == 1
+
+
 def test_stretches_of_places(spark):
     rows = spark.createDataFrame([(1, 3), (2, 2), (3, 2), (5, 1)], "a int, b int")
     got = [r[0] for r in rows.select(T.stretch(F.col("a"), F.col("b"))).collect()]
