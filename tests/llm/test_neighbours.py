@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from navloom.llm import centroids, neighbours
+from navloom.session import cut_lineage
 
 
 def brute(rows, k=20, divisor=20):
@@ -71,6 +72,51 @@ def test_lengths_copies_and_ties(session, monkeypatch):
     same(got(table(session, rows, "double"), ratio=math.inf, k=3), brute(rows, 3))
 
 
+def test_no_table_has_a_query_once_per_list(session, monkeypatch):
+    """All rows ask and read all lists; the vectors are written a few times, not once for each list."""
+    draw = random.Random(7)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    written = []
+
+    def cut(df):
+        out = cut_lineage(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "cut_lineage", cut)
+    want = brute(rows, 3, 1)
+    got_all = got(table(session, rows, "double"), ratio=math.inf, k=3, divisor=1)
+    same(got_all, want)
+    assert max(written) <= 400
+
+
+def test_queries_go_through_the_vectors_some_at_a_time(session, monkeypatch):
+    draw = random.Random(8)
+    rows = [(i, [float(draw.randint(-9, 9)) * 10.0 ** draw.randint(-3, 3) for _ in range(7)]) for i in range(1, 700)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    rows += [(1_000 + i, v) for i, v in rows[:60]] + rows[:20]
+    monkeypatch.setattr(neighbours, "ASKED_BYTES", 2_000)
+    monkeypatch.setattr(neighbours, "PARTS", 3)
+    same(got(table(session, rows, "double").repartition(7), ratio=math.inf, divisor=3), brute(list(dict(rows).items()), divisor=3))
+
+
+def test_bounds_keep_what_a_plain_search_finds():
+    """Lengths of very different size, many more vectors than fit a tile, lists that some queries don't read."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(3_000, 12)) * 10.0 ** rng.integers(-12, 6, size=(3_000, 1))).astype(np.float32)
+    lists = np.stack([rng.integers(0, 40, 3_000), rng.integers(-1, 40, 3_000)], axis=1).astype(np.int32)
+    reads = rng.random((200, 40)) < 0.3
+    y, longest = x[:200], float(np.linalg.norm(x.astype(np.float64), axis=1).max())
+    held = neighbours.Asked(np.arange(200), y, np.packbits(reads, axis=1), 21, longest)
+    for at in range(0, 3_000, 256):
+        held.meet(np.arange(3_000)[at:at + 256], x[at:at + 256], lists[at:at + 256])
+    found = {q: [t["c"] for t in top] for b in held.best() for q, top in zip(b["q"].to_pylist(), b["top"].to_pylist())}
+    for q in range(200):
+        fit = np.flatnonzero(reads[q, lists[:, 0]] | ((lists[:, 1] >= 0) & reads[q, lists[:, 1]]))
+        score = neighbours.products(np.repeat(y[q:q + 1], len(fit), axis=0), x[fit])
+        assert found[q] == fit[np.lexsort((fit, -score))][:21].tolist()
+
+
 def test_awkward_vectors_take_no_part(session):
     nan, inf = float("nan"), float("inf")
     fine = [(20 * i, [float(i), 1.0, -0.5]) for i in range(1, 4)] + [(1, [0.5, 0.5, 0.0]), (7, [-0.0, 1e-30, 4.0])]
