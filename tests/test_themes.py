@@ -94,6 +94,32 @@ def test_long_lists_are_added_up_inside_tasks(spark, monkeypatch):
     assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
 
 
+def test_blocks_of_funds_meet_without_a_shuffle(spark, monkeypatch):
+    """A fund is written once however many blocks its set has, and no set is dealt out by its key."""
+    from navloom.session import cut_lineage
+
+    stocks, industries, v = vectors(spark, 40, 11)
+    want, sizes = dense_distance(stocks, industries, 40), []
+
+    def cut(df):
+        out = cut_lineage(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "cut_lineage", cut)
+    edges = M.similarity_edges(v, ["set"], 4, 0.2, float("inf"), meets=2.0)
+    assert sizes == [10] and "hashpartitioning" not in edges._jdf.queryExecution().executedPlan().toString()
+    got = {(int(r.i), int(r.j)): r.dist for r in edges.collect()}
+    assert got.keys() == {(i, j) for i in range(40) for j in range(i + 1, 40) if 1 - want[i, j] / 2 >= 0.2}
+
+
+def test_funds_without_code_have_no_place(spark):
+    rows = [(1, None, "x", 1.0), (1, "b", "x", 2.0), (1, "a", "y", 0.0), (None, "c", "x", 1.0), (1, "b", "y", 6.0)]
+    stocks = spark.createDataFrame(rows, "set int, fund_code string, key string, ratio double")
+    got = {(r.set, r.fund_code): (r.pos, sorted((x.k, x.v) for x in r.stk), r.ind) for r in M.fund_vectors(stocks, stocks.limit(0), ["set"]).collect()}
+    assert got == {(1, "a"): (0, [("y", 0.0)], None), (1, "b"): (1, [("x", 0.25), ("y", 0.75)], None)}
+
+
 def test_repeated_keys_meet_alike_in_lists_and_tiles(spark):
     stocks, industries, _ = vectors(spark, 12, 9)
     again = stocks + stocks[::5]
